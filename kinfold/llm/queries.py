@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe_codec, exact_dedup, language_id, packing, quality_rules, secret_scan, suffix_dedup, token_rollup
+from kinfold.llm import bpe_codec, exact_dedup, language_id, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, token_rollup
 from kinfold.llm.common import remainder, scratch_path
 
 
@@ -29,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
