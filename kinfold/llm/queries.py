@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe_codec, exact_dedup, language_id, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, token_rollup
+from kinfold.llm import bpe_codec, exact_dedup, language_id, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, token_rollup, toxicity
 from kinfold.llm.common import remainder, scratch_path
 
 
@@ -29,6 +29,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(remainder("doc_id", 5) != 0)
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
