@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
 Words score by their log-odds under an informative Dirichlet prior (the background frequencies), for whole words and
-for word beginnings; all other words share one small negative score. A linear-time scan finds every maximal-scoring
+for word beginnings, each counted once a text; all other words share one small negative score. A word's k-th occurrence
+in a text scores a k-th, so that junk which repeats a word is no evidence. A linear-time scan finds every maximal-scoring
 segment of a text. An extreme-value law fitted on clean texts turns segment scores into expected counts, the
 significant passages of a text are summed, and a logistic curve gives the score.
 """
@@ -106,8 +107,13 @@ class Scanner:
         for w in set(words).difference(self.known):
             self.known[w] = self.model.word_score(w)
         scores = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-        at = np.flatnonzero(scores)
-        return len(words), maximal_segments(at.tolist(), scores[at].tolist(), self.model.drift)
+        at = np.flatnonzero(scores).tolist()
+        times: Counter = Counter()
+        damped = []
+        for i in at:
+            times[words[i]] += 1
+            damped.append(float(scores[i]) / times[words[i]])
+        return len(words), maximal_segments(at, damped, self.model.drift)
 
 
 def _terms(sample: DataFrame) -> Model:
@@ -116,15 +122,11 @@ def _terms(sample: DataFrame) -> Model:
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             for a, b in bounded(batch["text"]):
-                words = [Counter(), Counter()]
-                for label, text in zip(batch["label"][a:b].to_pylist(), batch["text"][a:b].to_pylist(), strict=True):
-                    words[label].update(text.split() if text else [])
                 terms = [Counter(), Counter()]
-                for label in (0, 1):
-                    terms[label]["*"] = sum(words[label].values())
-                    for w, n in words[label].items():
-                        for t in terms_of(w):
-                            terms[label][t] += n
+                for label, text in zip(batch["label"][a:b].to_pylist(), batch["text"][a:b].to_pylist(), strict=True):
+                    own = {t for w in set(text.split() if text else []) for t in terms_of(w)}
+                    terms[label].update(own)
+                    terms[label]["*"] += sum(t[0] == "=" for t in own)
                 names = list(terms[0] | terms[1])
                 yield {"term": names, "n1": [terms[1][t] for t in names], "n0": [terms[0][t] for t in names]}
 
