@@ -85,3 +85,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     both = light.unionByName(heads).unionByName(rest)
     return both.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """The rows of docs, with all their columns, that exact_dedup keeps: one for each normalised text.
+
+    docs must give the same rows in the same order when read again, as files do; rows are told apart by that order.
+    """
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), "__row")
+    judged = exact_dedup(numbered.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", counters)
+    gone = judged.filter(~F.col("kept")).select(F.col("key.__row").alias("__row"))
+    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)

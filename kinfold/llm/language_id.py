@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,6 +165,50 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, name: st
     return Model(languages, table, prior, name)
 
 
+class Judge:
+    """Languages of texts under a model; keeps the scores of words seen in a bounded cache."""
+
+    def __init__(self, model: Model):
+        self.model, self.pieces = model, vocabulary(model.name)
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((0, len(model.languages)))
+
+    def _learn(self, split: list[list[str]]) -> None:
+        if len(self.known) > CACHE:
+            self.known, self.scores = {}, self.scores[:0]
+        missing: set[str] = set()
+        for words in split:
+            missing.update(words)
+        new = list(missing.difference(self.known))
+        parts = [(part, k) for k, w in enumerate(new) for part in marked(w)]
+        names, of = [p for p, _ in parts], np.array([k for _, k in parts], dtype=np.int64)
+        more = np.zeros((len(new), len(self.model.languages)))
+        for group in by_length(names):
+            np.add.at(more, of[group], forward([names[g] for g in group], self.pieces, self.model.table))
+        self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
+        self.scores = np.concatenate([self.scores, more])
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """(language, score) of each text."""
+        m = self.model
+        split = [t.split() if t else [] for t in texts]
+        self._learn(split)
+        langs, sure = [], []
+        for t, words in zip(texts, split, strict=True):
+            if not m.languages or not t or not any(map(str.isalpha, t)):
+                langs.append(UNDETERMINED)
+                sure.append(0.0)
+                continue
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            total = self.scores[at].sum(axis=0)
+            z = total * min(1.0, 8 / max(1, len(words))) + np.log(m.prior)
+            best = int(np.argmax(total + np.log(m.prior)))
+            e = np.exp(z - z.max())
+            langs.append(m.languages[best])
+            sure.append(float(e[best] / e.sum()))
+        return langs, sure
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, lang_pred, score (0 to 1, the posterior of that language at a damped word count).
 
@@ -172,42 +217,31 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def judge(batches: Iterator[dict]) -> Iterator[dict]:
-        m = shared.value
-        pieces, known = vocabulary(m.name), {}
-        scores = np.zeros((0, len(m.languages)))
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        judge = Judge(shared.value)
         for batch in batches:
             for a, b in bounded(batch["text"]):
-                texts = batch["text"][a:b].to_pylist()
-                split = [t.split() if t else [] for t in texts]
-                if len(known) > CACHE:
-                    known, scores = {}, scores[:0]
-                missing: set[str] = set()
-                for words in split:
-                    missing.update(words)
-                new = list(missing.difference(known))
-                parts = [(part, k) for k, w in enumerate(new) for part in marked(w)]
-                names, of = [p for p, _ in parts], np.array([k for _, k in parts], dtype=np.int64)
-                more = np.zeros((len(new), len(m.languages)))
-                for group in by_length(names):
-                    np.add.at(more, of[group], forward([names[g] for g in group], pieces, m.table))
-                known.update(zip(new, range(len(scores), len(scores) + len(new)), strict=True))
-                scores = np.concatenate([scores, more])
-                langs, sure = [], []
-                for t, words in zip(texts, split, strict=True):
-                    if not m.languages or not t or not any(map(str.isalpha, t)):
-                        langs.append(UNDETERMINED)
-                        sure.append(0.0)
-                        continue
-                    at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                    total = scores[at].sum(axis=0)
-                    z = total * min(1.0, 8 / max(1, len(words))) + np.log(m.prior)
-                    best = int(np.argmax(total + np.log(m.prior)))
-                    e = np.exp(z - z.max())
-                    langs.append(m.languages[best])
-                    sure.append(float(e[best] / e.sum()))
+                langs, sure = judge.judge(batch["text"][a:b].to_pylist())
                 yield {"id": batch["id"][a:b], "lang_pred": langs, "score": sure}
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_columns(read, judge, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return map_columns(read, run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def keep_determined(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is determined with at least that score.
+
+    Every row is judged by itself, so repeated rows and null ids need no special care.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        judge = Judge(shared.value)
+        for batch in batches:
+            for a, b in bounded(batch[text_col]):
+                langs, sure = judge.judge(batch[text_col][a:b].to_pylist())
+                stay = pa.array([x != UNDETERMINED and s >= least_score for x, s in zip(langs, sure, strict=True)])
+                yield {n: v[a:b].filter(stay) for n, v in batch.items()}
+
+    return map_columns(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
