@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import map_columns
@@ -42,7 +42,7 @@ class Shape:
     def __init__(self, length: int):
         if not 8 <= length <= 255:
             raise ValueError("lengths from 8 to 255 bytes are supported")
-        self.length, self.gram = length, max(4, length // 4)
+        self.length, self.gram = length, max(4, length // 6)
         self.windows = length - self.gram + 1
         self.left = self.windows - 1
         self.width = length + self.left + 2
@@ -185,16 +185,21 @@ def joined(first: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([first[at], np.append(upto[at[1:] - 1], upto[-1:])], axis=1).astype("<i8")
 
 
-_PACKING = zstandard.ZstdCompressionParameters(window_log=23, hash_log=20, chain_log=20, search_log=1, min_match=6, target_length=0, strategy=1)
+def planes(column: np.ndarray) -> bytes:
+    """The lowest byte of every number, then the second ...: ids and places have few bytes that vary."""
+    return np.ascontiguousarray(column.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").ravel()
 
 
 def front_coded(rows: np.ndarray, ids: np.ndarray, keys: np.ndarray, at: np.ndarray) -> bytes:
     """A sorted run: of each row the bytes after its common prefix with the one before."""
     lcp = prefixes(rows)
-    tails = rows[np.arange(rows.shape[1]) >= lcp[:, None]].tobytes()
-    head = struct.pack("<QQ", len(rows), len(tails))
-    body = head + lcp.astype(np.uint16).tobytes() + ids.astype("<i8").tobytes() + keys.astype("<i8").tobytes() + at.astype("<i8").tobytes() + tails
-    return zstandard.ZstdCompressor(compression_params=_PACKING).compress(body)
+    tails = zstandard.ZstdCompressor(level=5).compress(rows[np.arange(rows.shape[1]) >= lcp[:, None]].tobytes())
+    numbers = zstandard.ZstdCompressor(level=1).compress(b"".join(planes(c) for c in (lcp, ids, keys, at)))
+    return struct.pack("<QQ", len(rows), len(numbers)) + numbers + tails
 
 
 class Run:
@@ -203,15 +208,12 @@ class Run:
     __slots__ = ("at", "begin", "i", "ids", "keys", "lcps", "n", "row", "tails", "width")
 
     def __init__(self, data: bytes, width: int):
-        body = zstandard.ZstdDecompressor().decompress(data)
-        self.n, size = struct.unpack_from("<QQ", body)
-        n, o = self.n, 16
-        self.lcps = np.frombuffer(body, "<u2", n, o).tolist()
-        o += 2 * n
-        self.ids = np.frombuffer(body, "<i8", n, o)
-        self.keys = np.frombuffer(body, "<i8", n, o + 8 * n)
-        self.at = np.frombuffer(body, "<i8", n, o + 16 * n)
-        self.tails = body[o + 24 * n : o + 24 * n + size]
+        self.n, size = struct.unpack_from("<QQ", data)
+        n, unpack = self.n, zstandard.ZstdDecompressor().decompress
+        numbers = unpack(data[16 : 16 + size])
+        self.lcps = from_planes(numbers, n, 0).tolist()
+        self.ids, self.keys, self.at = (from_planes(numbers, n, 8 * n * i) for i in (1, 2, 3))
+        self.tails = unpack(data[16 + size :])
         self.width, self.i, self.begin, self.row = width, -1, 0, b""
 
     def step(self) -> int:
@@ -286,7 +288,10 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, Run]]:
 
 
 class Windows:
-    """Single windows whose families are alike in part: sorted in runs, and the runs merged, at the end of each gram."""
+    """Single windows whose families are alike in part: sorted in runs, and the runs merged, at the end of a gram.
+
+    Equal windows have the same gram, so several grams may be settled at once but none in two parts.
+    """
 
     def __init__(self, s: Shape, spans: Spans):
         self.s, self.spans = s, spans
@@ -322,14 +327,15 @@ class Windows:
         """Inside a gram: keep what is there as a front-coded run."""
         self.runs.append(front_coded(*self._sorted()))
 
-    def close(self) -> None:
-        """After the last family of a gram."""
-        if not self.parts:
-            return
+    def close(self, last: bool = False) -> None:
+        """After the last family of a gram; few windows wait for those of the next grams."""
+        if not self.runs and (last or self.n > BUFFERED // 2):
+            if self.parts:
+                self._sorted()
         if not self.runs:
-            self._sorted()
             return
-        self.spill()
+        if self.parts:
+            self.spill()
         same = Same(self.spans, lambda first, row: first + self.s.length)
         for lcp, run in merged([Run(r, self.s.length) for r in self.runs]):
             same.put(lcp == self.s.length, run)
@@ -413,7 +419,7 @@ def merge_families(blobs: list[bytes], s: Shape, spans: Spans) -> Iterator[None]
         block.append((run.row, int(run.ids[i]), int(run.keys[i]), int(run.at[i]), lcp))
     same.close()
     emit(0)
-    windows.close()
+    windows.close(last=True)
     yield
 
 
@@ -501,16 +507,17 @@ def parts_for(docs: DataFrame) -> int:
     return max(least, min(size, 1 << 50) // PART_BYTES) if size < 1 << 50 else least
 
 
-def _read(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID))
-    return docs.select(F.col(id_col).alias("own"), ident.alias("id"), F.xxhash64(text).alias("key"), text.alias("text")), ident
+    key = F.xxhash64(text).bitwiseAND((1 << 32) - 1)  # tells apart texts that repeat an id
+    return docs.select(F.col(id_col).alias("own"), ident.alias("id"), key.alias("key"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, key, spans): packed byte ranges (little-endian 64-bit begin and end) that repeat earlier bytes; several rows a document may come."""
     s = Shape(length)
-    read, _ = _read(docs, id_col, text_col)
+    read = _read(docs, id_col, text_col)
     parts = parts_for(docs)
     splitters = sampled_splitters(read, s, parts)
     runs = map_columns(read.select("id", "key", "text"), lambda b: sorted_runs(b, s, splitters, parts), "part int, id long, key long, data binary")
@@ -543,7 +550,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place: a string at the same id and start is not earlier, whichever row holds it; rows equal in id and text get
     equal results. Cuts may fall inside a character, so what is kept is binary. Other columns of docs are not read.
     """
-    read, _ = _read(docs, id_col, text_col)
+    read = _read(docs, id_col, text_col)
     found = repeated_spans(docs, id_col, text_col, length).groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
     both = read.join(found.hint("shuffle_hash"), ["id", "key"], "left").select("own", "text", "spans")
 
