@@ -48,14 +48,16 @@ def vocabulary(name: str = VOCABULARY) -> dict[str, int]:
 def lattice(words: list[str], pieces: dict[str, int]) -> tuple[int, list[tuple[int, int, np.ndarray]]]:
     """Of words of one length: that length, and for each (begin, end) with any piece the pieces' ids (-1: none)."""
     n, unknown = len(words[0]), len(pieces)
-    edges = []
+    edges, get = [], pieces.get
     for j in range(1, n + 1):
         for i in range(max(0, j - LONGEST_PIECE), j):
-            ids = np.fromiter((pieces.get(w[i:j], -1) for w in words), np.int64, len(words))
+            found = [get(w[i:j], -1) for w in words]
+            if j > i + 1 and max(found) < 0:
+                continue
+            ids = np.array(found, np.int64)
             if j == i + 1:
                 ids[ids < 0] = unknown
-            if (ids >= 0).any():
-                edges.append((i, j, ids))
+            edges.append((i, j, ids))
     return n, edges
 
 
@@ -65,7 +67,11 @@ def forward(words: list[str], pieces: dict[str, int], table: np.ndarray) -> np.n
     alpha = [np.zeros((len(words), table.shape[1])) for _ in range(n + 1)]
     alpha[0][:] = 1
     for i, j, ids in edges:
-        alpha[j] += alpha[i] * table[ids]
+        some = np.flatnonzero(ids >= 0)  # few words have a piece at any one place
+        if 2 * len(some) < len(ids):
+            alpha[j][some] += alpha[i][some] * table[ids[some]]
+        else:
+            alpha[j] += alpha[i] * table[ids]
     return np.log(np.maximum(alpha[n], 1e-300))
 
 
@@ -96,9 +102,13 @@ def by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:
             yield own[a : a + most]
 
 
+#: Marks at the ends of words say nothing of the language.
+PUNCTUATION = ".,;:!?\"'()[]{}|$#*<>%&-"
+
+
 def marked(word: str) -> list[str]:
-    """The word as the vocabulary spells it: lower case, its begin marked, in parts if very long."""
-    w = "▁" + word.lower()
+    """The word as the vocabulary spells it: lower case, no marks at its ends, its begin marked, in parts if very long."""
+    w = "▁" + (word.strip(PUNCTUATION) or word).lower()
     return [w] if len(w) <= LONGEST_WORD else [w[a : a + LONGEST_WORD] for a in range(0, len(w), LONGEST_WORD)]
 
 
@@ -181,10 +191,13 @@ class Judge:
             missing.update(words)
         new = list(missing.difference(self.known))
         parts = [(part, k) for k, w in enumerate(new) for part in marked(w)]
-        names, of = [p for p, _ in parts], np.array([k for _, k in parts], dtype=np.int64)
-        more = np.zeros((len(new), len(self.model.languages)))
+        names = list({p for p, _ in parts})  # words that differ in case or end marks alone are scored once
+        logs = np.zeros((len(names), len(self.model.languages)))
         for group in by_length(names):
-            np.add.at(more, of[group], forward([names[g] for g in group], self.pieces, self.model.table))
+            logs[group] = forward([names[g] for g in group], self.pieces, self.model.table)
+        at = {p: i for i, p in enumerate(names)}
+        more = np.zeros((len(new), len(self.model.languages)))
+        np.add.at(more, np.array([k for _, k in parts], dtype=np.int64), logs[[at[p] for p, _ in parts]] if parts else logs[:0])
         self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
         self.scores = np.concatenate([self.scores, more])
 

@@ -28,7 +28,7 @@ BANDS, ROWS = 32, 4
 LEAST_EQUAL = 72
 #: Members of a group that are compared with each other in one piece of work.
 BLOCK = 384
-CACHE = 400_000
+CACHE = 200_000
 
 _multipliers = np.array([int.from_bytes(hashlib.blake2b(b"a%d" % i, digest_size=8).digest(), "little") | 1 for i in range(BANDS * ROWS)], np.uint64)
 _offsets = np.array([int.from_bytes(hashlib.blake2b(b"b%d" % i, digest_size=8).digest(), "little") for i in range(BANDS * ROWS)], np.uint64)

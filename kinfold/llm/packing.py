@@ -62,7 +62,7 @@ def cut_pieces(
     def pieces(batches: Iterator[dict]) -> Iterator[dict]:
         bpe, end = byte_bpe(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
-            for a, b in bounded(batch["text"]):
+            for a, b in bounded(batch["text"], 2 << 20):
                 out: dict[str, list] = {n: [] for n in ("row", "start", "length", "ids_crc32", "doc_tokens", "ids")}
                 texts = [t or "" for t in batch["text"][a:b].to_pylist()]
                 for row, ids in enumerate(bpe.packed(texts)):
