@@ -7,6 +7,7 @@ sums. The probabilities are fitted by expectation maximisation (forward-backward
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ SMOOTHING = 1e-3
 #: Words are scored by at most so many characters at a time; longer ones as several words.
 LONGEST_WORD = 48
 CACHE = 300_000
+#: Characters times languages that are looked at together.
+PORTION = 400_000
 UNDETERMINED = "und"
 
 
@@ -45,61 +48,137 @@ def vocabulary(name: str = VOCABULARY) -> dict[str, int]:
     return pieces
 
 
-def lattice(words: list[str], pieces: dict[str, int]) -> tuple[int, list[tuple[int, int, np.ndarray]]]:
-    """Of words of one length: that length, and for each (begin, end) with any piece the pieces' ids (-1: none)."""
-    n, unknown = len(words[0]), len(pieces)
-    edges, get = [], pieces.get
-    for j in range(1, n + 1):
-        for i in range(max(0, j - LONGEST_PIECE), j):
-            found = [get(w[i:j], -1) for w in words]
-            if j > i + 1 and max(found) < 0:
-                continue
-            ids = np.array(found, np.int64)
-            if j == i + 1:
-                ids[ids < 0] = unknown
-            edges.append((i, j, ids))
-    return n, edges
-
-
-def forward(words: list[str], pieces: dict[str, int], table: np.ndarray) -> np.ndarray:
-    """log of the sum over all segmentations, [word, language], for words of one length; table: [piece, language], last row 0."""
-    n, edges = lattice(words, pieces)
-    alpha = [np.zeros((len(words), table.shape[1])) for _ in range(n + 1)]
-    alpha[0][:] = 1
-    for i, j, ids in edges:
-        some = np.flatnonzero(ids >= 0)  # few words have a piece at any one place
-        if 2 * len(some) < len(ids):
-            alpha[j][some] += alpha[i][some] * table[ids[some]]
-        else:
-            alpha[j] += alpha[i] * table[ids]
-    return np.log(np.maximum(alpha[n], 1e-300))
-
-
-def expected(words: list[str], weights: np.ndarray, pieces: dict[str, int], table: np.ndarray) -> np.ndarray:
+class Trie:
+    """The pieces as a tree of characters in a hash table of arrays, so that all places of many words are looked up at once."""
+
+    def __init__(self, pieces: dict[str, int]):
+        alphabet = {c: k for k, c in enumerate(sorted(set("".join(pieces))), 1)}
+        self.width, self.unknown = len(alphabet) + 1, len(pieces)
+        self.codes = np.zeros(0x110000, np.int32)  # 0: a character of no piece
+        for c, k in alphabet.items():
+            self.codes[ord(c)] = k
+        nodes: dict[int, int] = {}  # parent * width + character: child; the root is 0
+        piece_of = [-1]
+        for piece, i in pieces.items():
+            node = 0
+            for c in piece:
+                node = nodes.setdefault(node * self.width + alphabet[c], len(piece_of))
+                if node == len(piece_of):
+                    piece_of.append(-1)
+            piece_of[node] = i
+        self.piece_of = np.array(piece_of, np.int64)
+        self.bits = max(4, (4 * len(nodes)).bit_length())
+        self.keys, self.children = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int64)
+        first = self._slots(np.fromiter(nodes, np.int64, len(nodes))).tolist()
+        for (key, child), at in zip(nodes.items(), first, strict=True):
+            while self.children[at]:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.keys[at], self.children[at] = key, child
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The child of each node by each character; 0 if there is none."""
+        keys = nodes * self.width + codes
+        at = self._slots(keys)
+        out = self.children[at]
+        away = np.flatnonzero((self.keys[at] != keys) & (out > 0))
+        while len(away):
+            at[away] = (at[away] + 1) & ((1 << self.bits) - 1)
+            out[away] = self.children[at[away]]
+            away = away[(self.keys[at[away]] != keys[away]) & (out[away] > 0)]
+        return out
+
+
+class Lattice:
+    """All segmentations of many words: edges from a place to a later one by a piece, ordered by the first place in its word."""
+
+    def __init__(self, words: list[str], trie: Trie):
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        codes = trie.codes[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        word = np.repeat(np.arange(len(words)), sizes)
+        ends = np.cumsum(sizes)
+        within = np.arange(len(codes)) - (ends - sizes)[word]
+        left = sizes[word] - within  # characters from here to the end of the word
+        self.begin, self.end = ends - sizes + np.arange(len(words)), ends + np.arange(len(words))
+        self.places = len(codes) + len(words)
+        alive, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        found = []
+        for d in range(LONGEST_PIECE):
+            node = trie.step(node, codes[alive + d])
+            ids = trie.piece_of[node]
+            if d == 0:
+                ids[ids < 0] = trie.unknown
+            some = np.flatnonzero(ids >= 0)
+            found.append((alive[some], np.full(len(some), d, np.int64), ids[some]))
+            go = np.flatnonzero((node > 0) & (left[alive] > d + 1))
+            alive, node = alive[go], node[go]
+            if not len(alive):
+                break
+        at, d, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        rank = within[at] * LONGEST_PIECE + d
+        order = np.argsort(rank.astype(np.uint16), kind="stable")
+        at, rank = at[order], rank[order]
+        self.word = word[at]
+        self.source = at + self.word
+        self.target = self.source + d[order] + 1
+        self.ids = ids[order]
+        firsts = np.flatnonzero(np.diff(rank, prepend=-1))
+        #: Edges with the same places in their words; no two of one slice touch the same place.
+        self.slices = list(zip(firsts.tolist(), [*firsts[1:].tolist(), len(rank)], strict=True)) if len(rank) else []
+
+    def alpha(self, chance: np.ndarray) -> np.ndarray:
+        """Total chance of all ways to each place; chance: [edge, language]."""
+        out = np.zeros((self.places, chance.shape[1]))
+        out[self.begin] = 1
+        for a, b in self.slices:
+            out[self.target[a:b]] += out[self.source[a:b]] * chance[a:b]
+        return out
+
+    def beta(self, chance: np.ndarray) -> np.ndarray:
+        """Total chance of all ways from each place to the end of its word."""
+        out = np.zeros((self.places, chance.shape[1]))
+        out[self.end] = 1
+        for a, b in reversed(self.slices):
+            out[self.source[a:b]] += out[self.target[a:b]] * chance[a:b]
+        return out
+
+
+def forward(words: list[str], pieces: dict[str, int], table: np.ndarray, trie: Trie | None = None) -> np.ndarray:
+    """log of the sum over all segmentations, [word, language]; table: [piece, language], last row 0."""
+    paths = Lattice(words, trie or Trie(pieces))
+    return np.log(np.maximum(paths.alpha(table[paths.ids])[paths.end], 1e-300))
+
+
+def expected(words: list[str], weights: np.ndarray, pieces: dict[str, int], table: np.ndarray, trie: Trie | None = None) -> np.ndarray:
     """Expected uses of each piece by language, [piece, language]; weights: [word, language] counts."""
-    n, edges = lattice(words, pieces)
-    shape = (len(words), table.shape[1])
-    alpha, beta = [np.zeros(shape) for _ in range(n + 1)], [np.zeros(shape) for _ in range(n + 1)]
-    alpha[0][:], beta[n][:] = 1, 1
-    for i, j, ids in edges:
-        alpha[j] += alpha[i] * table[ids]
-    for i, j, ids in reversed(edges):
-        beta[i] += beta[j] * table[ids]
-    out = np.zeros_like(table)
-    scale = weights / np.maximum(alpha[n], 1e-300)
-    for i, j, ids in edges:
-        np.add.at(out, ids, alpha[i] * table[ids] * beta[j] * scale)
+    paths = Lattice(words, trie or Trie(pieces))
+    chance = table[paths.ids]
+    alpha, beta = paths.alpha(chance), paths.beta(chance)
+    scale = weights / np.maximum(alpha[paths.end], 1e-300)
+    uses = alpha[paths.source] * chance * beta[paths.target] * scale[paths.word]
+    out = np.stack([np.bincount(paths.ids, uses[:, k], len(table)) for k in range(table.shape[1])], axis=1)
     out[-1] = 0
     return out
 
 
-def by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:
-    groups: dict[int, list[int]] = {}
+@functools.cache
+def trie_of(name: str) -> Trie:
+    """The tree of a vocabulary, made once in a worker process."""
+    return Trie(vocabulary(name))
+
+
+def portions(words: list[str], languages: int) -> Iterator[slice]:
+    """Slices of words, each with a bounded number of characters times languages."""
+    begin, total = 0, 0
     for i, w in enumerate(words):
-        groups.setdefault(len(w), []).append(i)
-    for own in groups.values():
-        for a in range(0, len(own), most):
-            yield own[a : a + most]
+        total += (len(w) + 1) * languages
+        if total > PORTION:
+            yield slice(begin, i + 1)
+            begin, total = i + 1, 0
+    if begin < len(words):
+        yield slice(begin, len(words))
 
 
 #: Marks at the ends of words say nothing of the language.
@@ -157,13 +236,13 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, name: st
         shared = labelled.sparkSession.sparkContext.broadcast(table)
 
         def count(batches: Iterator[dict], shared=shared) -> Iterator[dict]:
-            own, sums = vocabulary(name), np.zeros(size)
+            own, sums = trie_of(name), np.zeros(size)
             for batch in batches:
                 n = np.array(batch["n"].to_pylist())
                 parts = [(part, k) for k, w in enumerate(batch["word"].to_pylist()) for part in marked(w)]
                 texts, of = [p for p, _ in parts], np.array([k for _, k in parts])
-                for group in by_length(texts):
-                    sums += expected([texts[g] for g in group], n[of[group]], own, shared.value)
+                for part in portions(texts, len(languages)):
+                    sums += expected(texts[part], n[of[part]], {}, shared.value, own)
             piece, lang = np.nonzero(sums)
             yield {"piece": piece, "lang": lang, "n": sums[piece, lang]}
 
@@ -179,7 +258,7 @@ class Judge:
     """Languages of texts under a model; keeps the scores of words seen in a bounded cache."""
 
     def __init__(self, model: Model):
-        self.model, self.pieces = model, vocabulary(model.name)
+        self.model, self.trie = model, trie_of(model.name)
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.languages)))
 
@@ -193,8 +272,8 @@ class Judge:
         parts = [(part, k) for k, w in enumerate(new) for part in marked(w)]
         names = list({p for p, _ in parts})  # words that differ in case or end marks alone are scored once
         logs = np.zeros((len(names), len(self.model.languages)))
-        for group in by_length(names):
-            logs[group] = forward([names[g] for g in group], self.pieces, self.model.table)
+        for part in portions(names, len(self.model.languages)):
+            logs[part] = forward(names[part], {}, self.model.table, self.trie)
         at = {p: i for i, p in enumerate(names)}
         more = np.zeros((len(new), len(self.model.languages)))
         np.add.at(more, np.array([k for _, k in parts], dtype=np.int64), logs[[at[p] for p, _ in parts]] if parts else logs[:0])
