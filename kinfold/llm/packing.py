@@ -101,8 +101,9 @@ def pack(
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     placed = np.array(shortest_pack_first(histogram, max_tokens), dtype=np.int64).reshape(-1, 5)
     # Ranks within a length: each (length, salt) is ordered by itself, then shifted by the counts of the salts before.
-    salts = max(1, -(-max(histogram.values(), default=1) // RANKED_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(salts)))
+    # Salts follow each length's own count; the histogram has at most max_tokens rows, so it is broadcast.
+    salts = docs.sparkSession.createDataFrame([(n, -(-rows // RANKED_ROWS)) for n, rows in sorted(histogram.items())], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "start"), "salts"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
         salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))

@@ -8,13 +8,18 @@ plain range, with special tokens in them or with awkward white space go to the l
 from __future__ import annotations
 
 import re
+import struct
 
+import numpy as np
 from tokenizers import Tokenizer
 
 #: Characters for which the cuts below are known to be pre-token borders.
 PLAIN = re.compile("[^\x09\x0a\x0d\x20-\x7e\xa0-ɏ]")
 AWKWARD = re.compile(r"\s \s")
+WHITE = re.compile(r"\s")
 CACHE = 400_000
+#: Words that the library encodes as one text.
+TOGETHER = 256
 LONGEST_CACHED = 64
 
 
@@ -41,9 +46,29 @@ class ByteBpe:
         self.specials = specials_of(self.tokenizer)
         self.most = cache
         self.spaced: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Ids whose token begins with a space.
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.joinable = not any(" " in s for s in self.specials)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _spaced(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word after a space. Words without white space are encoded many together: each begins at a token with a space."""
+        plain = [w for w in words if w and not WHITE.search(w)] if self.joinable else []
+        groups = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
+        found: dict[str, bytes] = {}
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, np.dtype("<u4"))
+            borders = (4 * np.flatnonzero(self.begins[ids])).tolist()
+            if len(borders) == len(group):
+                packed = ids.tobytes()
+                found.update((w, packed[a:b]) for w, a, b in zip(group, borders, [*borders[1:], len(packed)], strict=True))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self._whole([" " + w for w in rest]), strict=True))
+        return found
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,7 +90,7 @@ class ByteBpe:
             missing.update(chunks[1:])
         missing.difference_update(self.spaced)
         words = list(missing)
-        found = dict(zip(words, self._whole([" " + w for w in words]), strict=True))
+        found = self._spaced(words)
         self.spaced.update((w, found[w]) for w in words if len(w) <= LONGEST_CACHED)
         known = self.spaced if all(len(w) <= LONGEST_CACHED for w in words) else {**self.spaced, **found}
         heads = self._whole([chunks[0] for chunks in cut.values()])
