@@ -57,8 +57,8 @@ class ByteBpe:
 
     def _spaced(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each word after a space. Words without white space are encoded many together: each begins at a token with a space."""
-        plain = [w for w in words if w and not WHITE.search(w)] if self.joinable else []
-        groups = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
+        groups = [words[a : a + TOGETHER] for a in range(0, len(words), TOGETHER)] if self.joinable else []
+        groups = [[w for w in g if w and not WHITE.search(w)] if "" in g or WHITE.search("".join(g)) else g for g in groups]
         found: dict[str, bytes] = {}
         for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, np.dtype("<u4"))
@@ -66,7 +66,7 @@ class ByteBpe:
             if len(borders) == len(group):
                 packed = ids.tobytes()
                 found.update((w, packed[a:b]) for w, a, b in zip(group, borders, [*borders[1:], len(packed)], strict=True))
-        rest = [w for w in words if w not in found]
+        rest = [w for w in words if w not in found] if len(found) < len(words) else []
         found.update(zip(rest, self._whole([" " + w for w in rest]), strict=True))
         return found
 
@@ -91,8 +91,9 @@ class ByteBpe:
         missing.difference_update(self.spaced)
         words = list(missing)
         found = self._spaced(words)
-        self.spaced.update((w, found[w]) for w in words if len(w) <= LONGEST_CACHED)
-        known = self.spaced if all(len(w) <= LONGEST_CACHED for w in words) else {**self.spaced, **found}
+        long = {w: found.pop(w) for w in words if len(w) > LONGEST_CACHED} if max(map(len, words), default=0) > LONGEST_CACHED else {}
+        self.spaced.update(found)
+        known = {**self.spaced, **long} if long else self.spaced
         heads = self._whole([chunks[0] for chunks in cut.values()])
         for (i, chunks), head in zip(cut.items(), heads, strict=True):
             out[i] = head + b"".join([known[w] for w in chunks[1:]])
