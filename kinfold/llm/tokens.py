@@ -17,6 +17,8 @@ from tokenizers import Tokenizer
 PLAIN = re.compile("[^\x09\x0a\x0d\x20-\x7e\xa0-ɏ]")
 AWKWARD = re.compile(r"\s \s")
 WHITE = re.compile(r"\s")
+#: A line feed between characters that are no white space is a pre-token of its own.
+LINE = re.compile(r"(?<=\S)\n(?=\S)")
 CACHE = 400_000
 #: Words that the library encodes as one text.
 TOGETHER = 256
@@ -50,26 +52,42 @@ class ByteBpe:
         #: Ids whose token begins with a space.
         self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        self.joinable = not any(" " in s for s in self.specials)
+        self.feed = self._whole(["\n"])[0]
+        self.bare: dict[str, bytes] = {}
+        self.joinable = len(self.feed) == 4 and not any(" " in s for s in self.specials)
 
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _spaced(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word after a space. Words without white space are encoded many together: each begins at a token with a space."""
+    def _each(self, words: list[str], before: str) -> dict[str, bytes]:
+        """The ids of each word after `before`: a space, or nothing.
+
+        Words without white space are encoded many together, as words after spaces or as lines. Spaces are found again
+        by the tokens that begin with one, line feeds by their own token.
+        """
         groups = [words[a : a + TOGETHER] for a in range(0, len(words), TOGETHER)] if self.joinable else []
         groups = [[w for w in g if w and not WHITE.search(w)] if "" in g or WHITE.search("".join(g)) else g for g in groups]
+        texts = [" " + " ".join(g) if before else "\n" + "\n".join(g) for g in groups if g]
         found: dict[str, bytes] = {}
-        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, encoded in zip(filter(None, groups), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, np.dtype("<u4"))
-            borders = (4 * np.flatnonzero(self.begins[ids])).tolist()
+            borders = (4 * np.flatnonzero(self.begins[ids] if before else ids == int.from_bytes(self.feed, "little"))).tolist()
+            skip = 0 if before else 4
             if len(borders) == len(group):
                 packed = ids.tobytes()
-                found.update((w, packed[a:b]) for w, a, b in zip(group, borders, [*borders[1:], len(packed)], strict=True))
+                found.update((w, packed[a + skip : b]) for w, a, b in zip(group, borders, [*borders[1:], len(packed)], strict=True))
         rest = [w for w in words if w not in found] if len(found) < len(words) else []
-        found.update(zip(rest, self._whole([" " + w for w in rest]), strict=True))
+        found.update(zip(rest, self._whole([before + w for w in rest]), strict=True))
         return found
 
+    def _known(self, kept: dict[str, bytes], wanted: set[str], before: str) -> dict[str, bytes]:
+        """Ids of all wanted words; those of ordinary length are kept."""
+        words = list(wanted.difference(kept))
+        found = self._each(words, before)
+        long = {w: found.pop(w) for w in words if len(w) > LONGEST_CACHED} if max(map(len, words), default=0) > LONGEST_CACHED else {}
+        kept.update(found)
+        return {**kept, **long} if long else kept
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -79,24 +97,22 @@ class ByteBpe:
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        cut = {i: t.split(" ") for i, t in enumerate(texts) if t and self.plain(t)}
+        cut = {i: [line.split(" ") for line in LINE.split(t)] for i, t in enumerate(texts) if t and self.plain(t)}
         odd = [i for i, t in enumerate(texts) if t and i not in cut]
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
-        if len(self.spaced) > self.most:
+        if len(self.spaced) + len(self.bare) > self.most:
             self.spaced.clear()
-        missing = set()
-        for chunks in cut.values():
-            missing.update(chunks[1:])
-        missing.difference_update(self.spaced)
-        words = list(missing)
-        found = self._spaced(words)
-        long = {w: found.pop(w) for w in words if len(w) > LONGEST_CACHED} if max(map(len, words), default=0) > LONGEST_CACHED else {}
-        self.spaced.update(found)
-        known = {**self.spaced, **long} if long else self.spaced
-        heads = self._whole([chunks[0] for chunks in cut.values()])
-        for (i, chunks), head in zip(cut.items(), heads, strict=True):
-            out[i] = head + b"".join([known[w] for w in chunks[1:]])
+            self.bare.clear()
+        heads: set[str] = set()
+        tails: set[str] = set()
+        for lines in cut.values():
+            for chunks in lines:
+                heads.add(chunks[0])
+                tails.update(chunks[1:])
+        bare, spaced = self._known(self.bare, heads, ""), self._known(self.spaced, tails, " ")
+        for i, lines in cut.items():
+            out[i] = self.feed.join([bare[chunks[0]] + b"".join([spaced[w] for w in chunks[1:]]) for chunks in lines])
         return out
 
     def counts(self, texts: list[str]) -> list[int]:
