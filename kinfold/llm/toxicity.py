@@ -1,10 +1,10 @@
 """Toxicity by maximum-scoring segments.
 
 Words score by their log-odds under an informative Dirichlet prior (the background frequencies), for whole words and
-for word beginnings, each counted once a text; all other words share one small negative score. A word's k-th occurrence
-in a text scores a k-th, so that junk which repeats a word is no evidence. A linear-time scan finds every maximal-scoring
-segment of a text. An extreme-value law fitted on clean texts turns segment scores into expected counts, the
-significant passages of a text are summed, and a logistic curve gives the score.
+for word beginnings, each counted once a text; all other words share one small negative score. A linear-time scan, in
+which every occurrence has its full score, finds every maximal-scoring segment of a text. An extreme-value law fitted on
+all segments of clean texts turns segment scores into expected counts, the significant passages of a text are summed,
+and a logistic curve gives the score.
 """
 
 from __future__ import annotations
@@ -107,13 +107,8 @@ class Scanner:
         for w in set(words).difference(self.known):
             self.known[w] = self.model.word_score(w)
         scores = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-        at = np.flatnonzero(scores).tolist()
-        times: Counter = Counter()
-        damped = []
-        for i in at:
-            times[words[i]] += 1
-            damped.append(float(scores[i]) / times[words[i]])
-        return len(words), maximal_segments(at, damped, self.model.drift)
+        at = np.flatnonzero(scores)
+        return len(words), maximal_segments(at.tolist(), scores[at].tolist(), self.model.drift)
 
 
 def _terms(sample: DataFrame) -> Model:
@@ -154,7 +149,7 @@ def _terms(sample: DataFrame) -> Model:
 
 
 def _calibrate(model: Model, sample: DataFrame, prior: float) -> None:
-    """Fits the extreme-value law on clean texts and the logistic curve on both; collects a row per sampled text."""
+    """Fits the extreme-value law on all segments of clean texts and the logistic curve on both; collects a row per sampled text."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[dict]) -> Iterator[dict]:
@@ -162,20 +157,25 @@ def _calibrate(model: Model, sample: DataFrame, prior: float) -> None:
         for batch in batches:
             for a, b in bounded(batch["text"]):
                 got = [scanner.segments(t) for t in batch["text"][a:b].to_pylist()]
-                yield {"label": batch["label"][a:b], "words": [n for n, _ in got], "scores": [sorted((s for _, _, s in x), reverse=True)[:64] for _, x in got]}
-
-    rows = map_columns(sample, scan, "label int, words long, scores array<double>").collect()
-    clean = [r for r in rows if not r["label"]]
-    words = max(1, sum(r["words"] for r in clean))
-    chance = np.array([s for r in clean for s in r["scores"]])
-    if len(chance):
+                yield {"label": batch["label"][a:b], "words": [n for n, _ in got], "scores": [[s for _, _, s in x] for _, x in got]}
+
+    scanned = cut(map_columns(sample, scan, "label int, words long, scores array<double>"), "segments")
+    clean = scanned.filter("label = 0")
+    words = max(1, clean.agg(F.sum("words")).head()[0] or 0)
+    chance = clean.select(F.explode("scores").alias("s"))
+    middle = chance.agg(F.percentile("s", F.lit(0.5))).head()[0]
+    if middle is not None:
         # The rate of an exponential tail over its median; the scale makes the expected count at the median right.
-        middle = float(np.median(chance))
-        model.rate = float(min(1.0, 1 / max(1e-9, (chance[chance >= middle] - middle).mean())))
-        model.scale = max(1, int((chance >= middle).sum())) / words * math.exp(model.rate * middle)
+        n, excess = chance.filter(F.col("s") >= middle).agg(F.count("s"), F.avg(F.col("s") - middle)).head()
+        model.rate = min(1.0, 1 / max(1e-9, excess or 0.0))
+        model.scale = max(1, n) / words * math.exp(model.rate * middle)
     else:
         model.scale = 1 / words
-    x = np.log1p([model.evidence([(0, 0, s) for s in r["scores"]], r["words"])[0] for r in rows])
+    # As Model.evidence, without sending the segments to the driver.
+    surprise = lambda s: model.rate * s - F.log(model.scale * F.greatest("words", F.lit(1)))
+    evidence = F.aggregate("scores", F.lit(0.0), lambda v, s: v + F.when(surprise(s) >= -math.log(SIGNIFICANT), surprise(s)).otherwise(0.0))
+    rows = scanned.select("label", evidence.alias("evidence")).collect()
+    x = np.log1p([r["evidence"] for r in rows])
     y = np.array([float(r["label"]) for r in rows])
     if not len(rows) or y.min() == y.max():
         return

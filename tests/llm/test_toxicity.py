@@ -1,5 +1,6 @@
 """Toxicity: segments against a plain version, and held-out accuracy."""
 
+import math
 import random
 
 import pytest
@@ -54,6 +55,33 @@ def test_held_out(spark):
     assert all(r["passages"] for r in toxic if r["predicted"])
 
 
+def test_held_out_with_junk(spark):
+    """All held-out toxic rows, junk too: of the junk (words shuffled, cut or repeated) a part has no toxic word left."""
+    at = "/root/testdata/sf0.1"
+    got = queries.op4_toxicity(spark, at).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").filter("held_out and toxic = 1").collect()
+    assert sum(r["predicted"] for r in got) > 0.9 * len(got)
+    assert all(r["passages"] for r in got if r["predicted"])
+
+
+def test_later_passages_count_in_full(spark):
+    model = toxicity.Model({"=vile": 3.0, "=filth": 3.0, "=hateful": 3.0}, -0.5)
+    model.scale, model.intercept, model.slope = 1e-3, -2.0, 3.0
+    text = " ".join(["vile hateful filth " + "word " * 40] * 25)
+    (row,) = toxicity.score_toxicity(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert [text[p["begin"] : p["end"]] for p in row["passages"]] == ["vile hateful filth"] * 25
+    assert len({p["score"] for p in row["passages"]}) == 1
+
+
+def test_law_is_fitted_on_all_segments(spark):
+    """One clean text with 64 strong segments and 200 weak ones: the weak ones count."""
+    text = " ".join(["vile vile" + " word" * 20] * 64 + ["vile" + " word" * 20] * 200)
+    model = toxicity.Model({"=vile": 12.0}, -2.0)
+    toxicity._calibrate(model, spark.createDataFrame([(0, text)], "label int, text string"), 0.5)
+    words = len(text.split())
+    assert model.rate == pytest.approx(1 / (12.0 * 64 / 264))  # excess over the median of 12, of all 264
+    assert model.scale == pytest.approx(264 / words * math.exp(model.rate * 12.0))
+
+
 def test_edges(spark, edge, docs, none):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = toxicity.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
