@@ -24,8 +24,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Parts of names that receive secrets, and how much each says.
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "pass": 2, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3, "bearer": 2, "auth": 1, "private": 1, "access": 1, "api": 1, "key": 1, "signing": 1, "client": 1, "encryption": 1}
-#: Texts without any of these hold no name that scores 2 or more.
-HINTS = re.compile(r"pass|pwd|secret|token|key|credential|bearer", re.ASCII | re.IGNORECASE)
+#: Texts without a match hold no name that scores 2 or more: that takes one part of 2 or more, or two others in one name.
+STRONG, WEAK = ("|".join(p for p, n in SENSITIVE.items() if (n >= 2) == strong) for strong in (True, False))
+HINTS = re.compile(rf"{STRONG}|(?:{WEAK})[A-Za-z0-9_$.\-]*?(?:{WEAK})", re.ASCII | re.IGNORECASE)
 PAIR = re.compile(
     r"""(?<![A-Za-z0-9_$.\-])(?P<name>[A-Za-z_$.\-][A-Za-z0-9_$.\-]*+)["']?\]?[\x20\t]*+(?::=|=>|=|:)[\x20\t]*+
         (?:(?P<q>["'`])(?P<quoted>(?:[^"'`\\\n]|\\.)*+)(?P=q)|\$?\{?(?P<bare>[A-Za-z0-9+/_.=~!@%^*-]+)\}?)""",

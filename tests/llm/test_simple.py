@@ -136,6 +136,37 @@ def test_no_secret_pairs(text):
     assert not [k for _, k, _ in secret_scan.scan_text(text) if k == "pair"]
 
 
+SCAN_PARTS = ["\n", " ", "_", ".", "-", "=", ": ", '"', "'", "x", "Monkey", "a8F3kLm29QzX77pT", "Zm9vYmFyMTIzNDU2Nzg5", *secret_scan.SENSITIVE, "Auth", "API", "Client", "PRIVATE"]
+
+
+def without_hints(text):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(secret_scan, "HINTS", re.compile(""))
+        return secret_scan.scan_text(text)
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from(SCAN_PARTS), max_size=16))
+def test_hints_skip_no_pair(parts):
+    t = "".join(parts)
+    assert secret_scan.scan_text(t) == without_hints(t)
+
+
+def test_hints_know_every_sensitive_name():
+    names = [*secret_scan.SENSITIVE, *(f"{a}_{b}" for a in secret_scan.SENSITIVE for b in secret_scan.SENSITIVE)]
+    names = [n for n in names if secret_scan.name_score(n) >= 2]
+    assert {"client_auth", "private_access", "auth_auth"} <= set(names)
+    for form in (str, str.upper, str.title):
+        for t in (f'{form(n)} = "a8F3kLm29QzX77pT"' for n in names):
+            pairs = [s for s in secret_scan.scan_text(t) if s[1] == "pair"]
+            assert pairs and secret_scan.scan_text(t) == without_hints(t), t
+
+
+def test_hints_are_linear():
+    for t in ("auth" + "x" * 300_000, "access " * 100_000, "api-" + "a." * 200_000, "autx" * 100_000, "api" + "clien_" * 100_000):
+        secret_scan.HINTS.search(t)
+
+
 def test_redact(spark):
     frame = spark.createDataFrame([(1, 'x password="abcdefgh123" y'), (2, None), (3, "clean")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in secret_scan.redact(frame).collect()}
