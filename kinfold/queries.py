@@ -226,16 +226,28 @@ def deterministic_match_outcome(spark, sf_dir):
     return match.match_by_contact(contacts(spark, sf_dir), stored(spark, sf_dir))
 
 
-@query(rf"""with {CONTACTS_SQL}, t as (select row_id, regexp_replace(lower(email), '^([^@+]*)\+[^@]*@', '\1@') as e, case when phone <> '555' then phone end as p from contacts where row_id <= 200)
-select a.row_id as row_a, b.row_id as row_b, case when coalesce(a.e = b.e, false) or coalesce(a.p = b.p, false) then 1.0 else 0.0 end as overlap from t a join t b on b.row_id = a.row_id + 130""")
-def contact_overlap(spark, sf_dir):
-    lists = contacts(spark, sf_dir).filter("row_id <= 200").select("row_id", F.array("email").alias("m"), F.array("phone").alias("p"))
+def overlaps(rows):
+    """Each row against the one 130 ids later: whether they share a normalised address or number."""
+    lists = rows.select("row_id", F.array("email").alias("m"), F.array("phone").alias("p"))
     a, b = lists.alias("a"), lists.alias("b")
     both = a.join(b, F.col("b.row_id") == F.col("a.row_id") + 130)
     score = scalar.alternate_contact(F.col("a.m"), F.col("a.p"), F.col("b.m"), F.col("b.p"))
     return both.select(F.col("a.row_id").alias("row_a"), F.col("b.row_id").alias("row_b"), score.alias("overlap"))
 
 
+@query(rf"""with {CONTACTS_SQL}, t as (select row_id, regexp_replace(lower(email), '^([^@+]*)\+[^@]*@', '\1@') as e, case when phone <> '555' then phone end as p from contacts where row_id <= 200)
+select a.row_id as row_a, b.row_id as row_b, case when coalesce(a.e = b.e, false) or coalesce(a.p = b.p, false) then 1.0 else 0.0 end as overlap from t a join t b on b.row_id = a.row_id + 130""")
+def contact_overlap(spark, sf_dir):
+    return overlaps(contacts(spark, sf_dir).filter("row_id <= 200"))
+
+
+@query(rf"""with {CONTACTS_SQL}, t as (select row_id, regexp_replace(lower(email), '^([^@+]*)\+[^@]*@', '\1@') as e, case when phone <> '555' then phone end as p from contacts)
+select a.row_id as row_a, b.row_id as row_b, case when coalesce(a.e = b.e, false) or coalesce(a.p = b.p, false) then 1.0 else 0.0 end as overlap from t a join t b on b.row_id = a.row_id + 130""")
+def contact_overlap_whole(spark, sf_dir):
+    """contact_overlap over all contacts."""
+    return overlaps(contacts(spark, sf_dir))
+
+
 # --- completeness -------------------------------------------------------------------------------------------------
 
 ENTITIES = {
