@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import picklists, scalar, similarity
 from kinfold.operators import completeness, dq, load, mapping, match, merge, reports, sampling, search, survivorship
+from kinfold.operators.materialize import cut
 from kinfold.sources.sinks import guarded
 from kinfold.streaming.incremental import after_mark
 
@@ -106,6 +107,79 @@ def block_name_initial_pairs(spark, sf_dir):
     return match.block_pairs(rows, ["last", "initial", "p_brand"], "id")
 
 
+# The three queries above also block by brand, as their SQL does. Those below compare people of all brands; their rows are
+# classes with counts, so they don't grow with the square of a block.
+
+WHOLE_SQL = SCAN_SQL.replace(" and a.p_brand = b.p_brand", "").replace("select a.id as primary_id, b.id as candidate_id,", "select a.id as primary_id, b.id as candidate_id, a.first as fa, b.first as fb, lower(a.last) as l, a.p_size as sa, b.p_size as sb,").replace(
+    "select primary_id, candidate_id, name_sim,", "select fa, fb, l, sa, sb, addr, alt, name_sim,"
+)
+SWAP_SQL = "fa > fb or (fa = fb and sa > sb)"
+
+
+def scan_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored classes of pairs (first names, last name, sizes, whether type and price agree) with n, the pairs in each.
+
+    Pairs come from products of counts: joins by name alone, with the type, with the price and with both give the four
+    cases by inclusion and exclusion. Each pair is met from either side, and pairs of a row with itself are taken off;
+    the similarity of names is the same both ways.
+    """
+    rows = people(spark, sf_dir).withColumns({"f": F.lower("first"), "l": F.lower("last")})
+    names = rows.select("f", "l").distinct()
+    both = names.join(names.withColumnRenamed("f", "g"), "l")
+    sims = cut(both.withColumn("name_sim", similarity.name_similarity(F.col("f"), F.col("l"), F.col("g"), F.col("l"))).filter(F.col("name_sim") >= match.SCAN_LEAST_NAME), "sims")
+    agree = {(): [(0, 0, 1)], ("p_type",): [(1, 0, 1), (0, 0, -1)], ("p_retailprice",): [(0, 1, 1), (0, 0, -1)], ("p_type", "p_retailprice"): [(1, 1, 1), (1, 0, -1), (0, 1, -1), (0, 0, 1)]}
+    cells = ["l", "name_sim", "fa", "fb", "sa", "sb"]
+    own = rows.join(sims.filter("f = g"), ["f", "l"])
+    parts = [
+        own.select("l", "name_sim", F.col("first").alias("fa"), F.col("first").alias("fb"), F.col("p_size").alias("sa"), F.col("p_size").alias("sb"), F.col("p_type").isNotNull().cast("int").alias("addr"), F.col("p_retailprice").isNotNull().cast("int").alias("alt"), F.lit(-1).cast("long").alias("n"))
+    ]
+    for keys, signs in agree.items():
+        counted = rows.groupBy("f", "l", "first", "p_size", *keys).agg(F.count(F.lit(1)).alias("n"))
+        a = counted.select("f", "l", F.col("first").alias("fa"), F.col("p_size").alias("sa"), *keys, F.col("n").alias("na")).join(sims, ["f", "l"])
+        b = counted.select(F.col("f").alias("g"), "l", F.col("first").alias("fb"), F.col("p_size").alias("sb"), *keys, F.col("n").alias("nb"))
+        sums = a.join(b, ["g", "l", *keys]).groupBy(*cells).agg(F.sum(F.col("na") * F.col("nb")).alias("m"))
+        signed = F.explode(F.array(*[F.struct(F.lit(t).alias("addr"), F.lit(p).alias("alt"), F.lit(v).alias("v")) for t, p, v in signs]))
+        parts.append(sums.select("*", signed.alias("x")).select(*cells, "x.addr", "x.alt", (F.col("m") * F.col("x.v")).alias("n")))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    swap = F.expr(SWAP_SQL)
+    sided = found.select("l", "name_sim", *[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("fa", "fb"), ("fb", "fa"), ("sa", "sb"), ("sb", "sa"))], "addr", "alt", "n")
+    pairs = sided.groupBy(*cells, "addr", "alt").agg((F.sum("n") / 2).cast("long").alias("n")).filter("n > 0")
+    dob = F.greatest(F.lit(0.0), 1 - F.abs(F.col("sa") - F.col("sb")) * 73 / F.lit(730.0))
+    address, other = F.col("addr").cast("double"), F.col("alt").cast("double")
+    score = F.when(F.col("fa") == F.col("fb"), scalar.exact_name_score(dob, address, other)).otherwise(
+        scalar.weighted_score({"name": F.col("name_sim"), "dob": dob, "address": address, "alternate_contact": other})
+    )
+    return pairs.select("*", score.alias("score"))
+
+
+@query(
+    WHOLE_SQL
+    + f""", banded as (select *, {BAND_SQL} as match_type, {SWAP_SQL} as swap from scored)
+select case when swap then fb else fa end as first_a, case when swap then fa else fb end as first_b, l as last, case when swap then sb else sa end as size_a, case when swap then sa else sb end as size_b,
+  addr = 1 as same_type, alt = 1 as same_price, round(name_sim, 4) as name_sim, round(score, 4) as score, match_type, count(*) as n from banded where match_type <> 'low' group by all"""
+)
+def duplicate_scan_classes(spark, sf_dir):
+    """duplicate_scan_banded over all brands: classes of pairs and how many pairs each holds."""
+    out = scan_classes(spark, sf_dir).withColumn("match_type", scalar.band(F.round("score", 9))).filter("match_type <> 'low'")
+    sides = [F.col(x).alias(y) for x, y in (("fa", "first_a"), ("fb", "first_b"), ("l", "last"), ("sa", "size_a"), ("sb", "size_b"))]
+    return out.select(*sides, (F.col("addr") == 1).alias("same_type"), (F.col("alt") == 1).alias("same_price"), F.round("name_sim", 4).alias("name_sim"), F.round("score", 4).alias("score"), "match_type", "n")
+
+
+@query(WHOLE_SQL + f"select {BAND_SQL} as match_type, count(*) as n from scored group by 1")
+def weighted_score_band_whole(spark, sf_dir):
+    """weighted_score_band over all brands."""
+    return scan_classes(spark, sf_dir).groupBy(scalar.band(F.round("score", 9)).alias("match_type")).agg(F.sum("n").alias("n"))
+
+
+@query(f"with {PEOPLE_SQL} select lower(a.last) as last, left(lower(a.first), 1) as initial, count(*) as n_pairs from people a join people b on lower(a.last) = lower(b.last) and left(lower(a.first), 1) = left(lower(b.first), 1) and a.id < b.id group by 1, 2")
+def block_name_initial_counts(spark, sf_dir):
+    """block_name_initial_pairs over all brands: each block and how many pairs it holds."""
+    blocks = people(spark, sf_dir).groupBy(F.lower("last").alias("last"), F.substring(F.lower("first"), 1, 1).alias("initial")).agg(F.count(F.lit(1)).alias("n"))
+    return blocks.filter("last is not null and initial is not null and n > 1").select("last", "initial", F.expr("n * (n - 1) div 2").alias("n_pairs"))
+
+
 @query("with n as (select distinct lower(p_name) as a from part) select x.a as name_a, y.a as name_b, round(jaro_winkler_similarity(x.a, y.a), 6) as sim from n x join n y on x.a < y.a")
 def jw_name_pairs(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name_a")).distinct()

@@ -1,6 +1,8 @@
 """Queries that do the whole job beside registered ones whose SQL fixes a part of it."""
 
 
+from collections import Counter
+
 from kinfold import queries
 
 
@@ -13,3 +15,18 @@ def test_contact_overlap_whole(spark):
     got = at_sf(spark, "contact_overlap_whole").collect()
     ids = {r["c_custkey"] for r in spark.read.parquet("/root/testdata/sf0.01/customer.parquet").select("c_custkey").collect()}
     assert sorted((r["row_a"], r["row_b"]) for r in got) == sorted((i, i + 130) for i in ids if i + 130 in ids)
+
+
+def test_scans_compare_all_brands(spark):
+    """As many pairs in the blocks, whatever the brand, as there are with the same last name and initial."""
+    people = [tuple(r["p_name"].lower().split()) for r in spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_name").collect()]
+    blocks = Counter((last, first[0]) for first, last in people)
+    got = {(r["last"], r["initial"]): r["n_pairs"] for r in at_sf(spark, "block_name_initial_counts").collect()}
+    assert got == {k: n * (n - 1) // 2 for k, n in blocks.items() if n > 1}
+    bands = {r["match_type"]: r["n"] for r in at_sf(spark, "weighted_score_band_whole").collect()}
+    same = sum(n * (n - 1) // 2 for n in Counter(people).values())  # an exact name alone scores 0.90: review or high
+    assert bands["high"] + bands["review"] >= same > sum(r["n"] for r in at_sf(spark, "weighted_score_band").collect())
+    classes = Counter()
+    for r in at_sf(spark, "duplicate_scan_classes").collect():
+        classes[r["match_type"]] += r["n"]
+    assert classes == {k: n for k, n in bands.items() if k != "low"}
