@@ -300,6 +300,14 @@ def deterministic_match_outcome(spark, sf_dir):
     return match.match_by_contact(contacts(spark, sf_dir), stored(spark, sf_dir))
 
 
+@query(
+    _sql["deterministic_match_outcome"].replace("n.e = s.email union", "n.e = s.email or (split_part(n.e, '@', 1) <> '' and split_part(n.e, '@', 2) = split_part(s.email, '@', 2) and starts_with(s.email, split_part(n.e, '@', 1))) union")
+)
+def deterministic_match_with_prefix(spark, sf_dir):
+    """deterministic_match_outcome, with stored addresses that begin with the local part in the same domain."""
+    return match.match_by_contact(contacts(spark, sf_dir), stored(spark, sf_dir), prefix=True)
+
+
 def overlaps(rows):
     """Each row against the one 130 ids later: whether they share a normalised address or number."""
     lists = rows.select("row_id", F.array("email").alias("m"), F.array("phone").alias("p"))

@@ -4,6 +4,7 @@
 from collections import Counter
 
 from kinfold import queries
+from kinfold.operators import match
 
 
 def at_sf(spark, name, at="/root/testdata/sf0.01"):
@@ -30,3 +31,20 @@ def test_scans_compare_all_brands(spark):
     for r in at_sf(spark, "duplicate_scan_classes").collect():
         classes[r["match_type"]] += r["n"]
     assert classes == {k: n for k, n in bands.items() if k != "low"}
+
+
+def test_stored_plus_addresses_match(spark):
+    long = "a" * 70
+    incoming = [(1, "box5@org.test"), (2, "Box5+y@Org.test"), (3, "box6@org.test"), (4, "box5@other.test"), (5, f"{long}@org.test"), (6, "@org.test"), (7, "a_b@org.test"), (8, "x@a@b")]
+    stored = [(10, "box5+x@org.test"), (11, "box7@org.test"), (12, f"{long}+x@org.test"), (13, f"{long[:68]}@org.test"), (14, "acb@org.test"), (15, "xy@a@b"), (16, "xy@b")]
+    left = spark.createDataFrame(incoming, "row_id long, email string").selectExpr("*", "cast(null as string) phone")
+    right = spark.createDataFrame(stored, "person_id long, email string").selectExpr("*", "cast(null as string) phone")
+    got = {r["row_id"]: (r["outcome"], r["matched_id"]) for r in match.match_by_contact(left, right, prefix=True).collect()}
+    none = ("none", None)
+    assert got == {1: ("email", 10), 2: ("email", 10), 3: none, 4: none, 5: ("email", 12), 6: none, 7: none, 8: ("email", 15)}
+
+
+def test_registered_prefix_match(spark):
+    """box1 also begins box10 and so on, so that other outcomes come out than by equal addresses alone."""
+    plain, whole = (set(map(tuple, at_sf(spark, n).collect())) for n in ("deterministic_match_outcome", "deterministic_match_with_prefix"))
+    assert len(plain) == len(whole) and plain != whole
