@@ -1,31 +1,43 @@
-"""BPE encoding and decoding with word ends; long unsplit text by tree concatenation.
+"""BPE encoding and decoding with word ends by tree concatenation.
 
-Ordinary words are encoded by the library, once each, and kept in a bounded cache. A long run of text without any
-pre-token border is cut into leaves that are encoded in parallel; halves are then joined upwards like a tree. At each
-join a window of tokens around the border is encoded anew and grows until its first token is the left side's own and
-its last token the right side's own. Neighbouring tokens of an encoding decide alone whether it stands, so the result
-is then exactly that of encoding the whole.
+Every text longer than a leaf is cut at any character into leaves, which are encoded side by side; halves are then
+joined upwards like a tree. At each join a window around the border is encoded anew and grows until its first part is
+the left side's own and its last part the right side's own, so that the result is exactly that of encoding the whole.
+
+Two trees do so. Over a text, the parts are pre-tokens, which follow from their place alone once both sides agree on
+one (in texts of uncommon characters, the words between ASCII white space); a bounded cache keeps their ids. A single run without any border for the pre-tokenizer (a word of thousands of letters)
+has a tree of its own, whose parts are tokens: neighbouring tokens of an encoding decide alone whether it stands.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from kinfold.llm.common import bounded, map_columns
-from kinfold.llm.tokens import CACHE, LONGEST_CACHED, specials_of, tokenizer_file
+from kinfold.llm.common import bounded, ddl, held, map_columns
+from kinfold.llm.tokens import CACHE, LONGEST_CACHED, TOGETHER, specials_of, tokenizer_file
 
 TOKENIZER = "word_bpe_49k.json"
 #: Runs of more bytes than this are encoded as trees with leaves of so many bytes.
 LONG, LEAF = 2048, 512
+#: Texts of more characters than this are encoded as trees with leaves of so many characters.
+TEXT_LEAF = 1024
+ASCII_WORDS = re.compile(r"[^\x20\x09-\x0d]+")
 #: Characters of which lower case, composition and classes don't differ between libraries.
 PLAIN = re.compile("[^\x09\x0a\x0d\x20-\x7e\xa0-įı-ɏ]")
+#: The pre-tokens of a lower-case text of such characters, and a part that is letters or one digit.
+PLAIN_LETTERS, PLAIN_DIGITS = ("".join(re.escape(chr(c)) for c in range(0x21, 0x250) if chr(c).isprintable() and regex.fullmatch(p, chr(c))) for p in (r"\p{L}", r"\p{N}"))
+PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{PLAIN_LETTERS}]+|[{PLAIN_DIGITS}]|[^{PLAIN_LETTERS}{PLAIN_DIGITS}\x09\x0a\x0d\x20\xa0]+")
+ONE_RUN = re.compile(f"[{PLAIN_LETTERS}]+|[{PLAIN_DIGITS}]")
 
 
 class TreeBpe:
@@ -74,9 +86,13 @@ class TreeBpe:
 
 
 class WordBpe:
-    """Ids and decoded text as the library's encode and decode give them."""
+    """Ids and decoded text as the library's encode and decode give them.
+
+    A text is cut into leaves at any character. The parts of all leaves are encoded side by side, each new one by the
+    library; then pairs of neighbours are joined, level by level, by encoding a window of parts around the border anew.
+    """
 
-    def __init__(self, path: str, cache: int = CACHE // 2):
+    def __init__(self, path: str, cache: int = CACHE // 2, leaf: int = TEXT_LEAF):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -85,9 +101,14 @@ class WordBpe:
         self.tree = TreeBpe(spec)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.pieces = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.most = cache
-        self.known: dict[str, tuple[list[int], str]] = {}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.pieces = [self.tokenizer.id_to_token(i) for i in range(size)]
+        #: Ids whose token ends a pre-token.
+        self.ends = np.array([bool(self.tree.end) and (t or "").endswith(self.tree.end) for t in self.pieces])
+        self.most, self.leaf, self.joins = cache, leaf, 0
+        #: Of each part its ids as little-endian 32-bit integers; `older` holds those that may go next.
+        self.packed: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _long_runs(self, text: str) -> bool:
         return len(text) > LONG and any(len(w.encode()) > LONG for w in self.pattern.findall(text))
@@ -103,60 +124,123 @@ class WordBpe:
                 ids += self.tree.encode(run)
         return ids
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         long = {i for i, t in enumerate(texts) if self._long_runs(t)}
         rest = iter(self.tokenizer.encode_batch_fast([t for i, t in enumerate(texts) if i not in long], add_special_tokens=False))
-        return [self._tree(t) if i in long else next(rest).ids for i, t in enumerate(texts)]
+        ids = [self._tree(t) if i in long else next(rest).ids for i, t in enumerate(texts)]
+        return [struct.pack(f"<{len(x)}i", *x) for x in ids]
+
+    def _together(self, parts: list[str]) -> dict[str, bytes]:
+        """Pre-tokens encoded many in one text, and told apart by the tokens that end them."""
+        groups = [parts[a : a + TOGETHER] for a in range(0, len(parts), TOGETHER)]
+        found: dict[str, bytes] = {}
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, "<i4")
+            borders = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(borders) == len(group):
+                packed = ids.tobytes()
+                found.update((w, packed[a:b]) for w, a, b in zip(group, [0, *borders], borders, strict=False))
+        return found
 
     def decode(self, ids: list[int]) -> str:
         """As decode(ids, skip_special_tokens=False): without a decoder of its own the library joins tokens by spaces."""
-        return " ".join([self.pieces[i] for i in ids if i in self.pieces]) if self.tokenizer.decoder is None else self.tokenizer.decode(ids, skip_special_tokens=False)
+        if self.tokenizer.decoder is not None:
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return " ".join([t for i in ids if 0 <= i < len(self.pieces) and (t := self.pieces[i]) is not None])
+
+    def _learn(self, parts: set[str]) -> None:
+        """Sees to it that the ids of all parts are known."""
+        new = []
+        for w in parts.difference(self.packed):
+            if (ids := self.older.get(w)) is not None:
+                self.packed[w] = ids
+            else:
+                new.append(w)
+        plain = [w for w in new if len(w) <= LONGEST_CACHED and ONE_RUN.fullmatch(w)]
+        self.packed.update(self._together(plain))
+        rest = [w for w in new if w not in self.packed]
+        self.packed.update(zip(rest, self._whole(rest), strict=True))
+
+    def _forget(self) -> None:
+        """After a slice: what it used stays for the next ones, what it did not use goes."""
+        if len(self.packed) > self.most:
+            self.older = {w: ids for w, ids in self.packed.items() if len(w) <= LONGEST_CACHED}
+            self.packed = {}
+
+    def parts(self, texts: list[str]) -> list[list[str]]:
+        """Each text as parts whose encodings follow one another in that of the text; all of them are learned."""
+        plain = [not PLAIN.search(t) and not any(s in t for s in self.specials) for t in texts]
+        texts = [t.lower() if p else t for t, p in zip(texts, plain, strict=True)]
+        split = [PRE_TOKENS.findall if p else ASCII_WORDS.findall for p in plain]
+        trees = [[(a, min(a + self.leaf, len(t)), cut_up(t[a : a + self.leaf])) for a in range(0, len(t), self.leaf)] for t, cut_up in zip(texts, split, strict=True)]
+        self._learn({part for level in trees for _, _, own in level for part in own})
+        growing = [i for i, level in enumerate(trees) if len(level) > 1]
+        while growing:
+            level = [(i, j, 1) for i in growing for j in range(0, len(trees[i]) - 1, 2)]
+            done: dict[int, list] = {i: [] for i in growing}
+            self.joins += len(level)
+            while level:
+                windows = [self._window(texts[i], trees[i][j], trees[i][j + 1], k, split[i]) for i, j, k in level]
+                self._learn({part for window in windows for part in window})
+                wider = []
+                for (i, j, k), window in zip(level, windows, strict=True):
+                    (begin, _, left), (_, end, right) = trees[i][j : j + 2]
+                    if window and not (self._agrees(left, k, -k, window[0]) and self._agrees(right, k, k - 1, window[-1])):
+                        wider.append((i, j, 2 * k))
+                    else:
+                        done[i].append((begin, end, left[: max(0, len(left) - k)] + window + right[k:]))
+                level = wider
+            for i in growing:
+                trees[i] = sorted(done[i] + trees[i][len(trees[i]) // 2 * 2 :], key=lambda part: part[0])
+            growing = [i for i in growing if len(trees[i]) > 1]
+        return [level[0][2] if level else [] for level in trees]
+
+    def _agrees(self, side: list[str], k: int, at: int, outer: str) -> bool:
+        """Whether the window's outer part is what that side has there; a side that is used up has no say."""
+        return k >= len(side) or (side[at] == outer and self.packed[side[at]] == self.packed[outer])
+
+    def _window(self, text: str, left: tuple, right: tuple, k: int, cut_up: Callable) -> list[str]:
+        """The last k parts on the left and the first k on the right, cut up as one text."""
+        (begin, a, before), (b, end, after) = left, right
+        for part in before[: -k - 1 : -1]:
+            a = text.rfind(part, begin, a)
+        for part in after[:k]:
+            b = text.find(part, b, end) + len(part)
+        return cut_up(text[a:b])
+
+    def encode_packed(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """(packed ids, decoded text) of each text."""
+        ids = [b"".join(map(self.packed.__getitem__, own)) for own in self.parts(texts)]
+        self._forget()
+        if self.tokenizer.decoder is not None:
+            return ids, [self.decode(np.frombuffer(x, "<i4").tolist()) for x in ids]
+        return ids, [" ".join(map(self.pieces.__getitem__, np.frombuffer(x, "<i4").tolist())) for x in ids]
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """(ids, decoded text) of each text."""
-        plain = {i: t.split() for i, t in enumerate(texts) if not PLAIN.search(t) and not any(s in t for s in self.specials)}
-        odd = [i for i in range(len(texts)) if i not in plain]
-        out: list = [None] * len(texts)
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = (ids, self.decode(ids))
-        if len(self.known) > self.most:
-            self.known.clear()
-        missing: set[str] = set()
-        for words in plain.values():
-            missing.update(words)
-        missing.difference_update(self.known)
-        new = list(missing)
-        found = {w: (ids, self.decode(ids)) for w, ids in zip(new, self._whole(new), strict=True)}
-        self.known.update((w, x) for w, x in found.items() if len(w) <= LONGEST_CACHED)
-        known = {**self.known, **found} if any(len(w) > LONGEST_CACHED for w in new) else self.known
-        for i, words in plain.items():
-            got = [known[w] for w in words]
-            out[i] = ([x for ids, _ in got for x in ids], " ".join([d for _, d in got]))
-        return out
-
-
-_kept: dict[str, WordBpe] = {}
+        return [(np.frombuffer(ids, "<i4").tolist(), decoded) for ids, decoded in zip(*self.encode_packed(texts), strict=True)]
 
 
 def word_bpe(name: str) -> WordBpe:
-    if name not in _kept:
-        _kept[name] = WordBpe(tokenizer_file(name))
-    return _kept[name]
+    return held(("word_bpe", name), lambda: WordBpe(tokenizer_file(name)))
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """One row per row of docs: id, ids (array<int>) and decoded.
 
-    Null and empty texts have no ids and decode to "". Rows that repeat an id are encoded each by itself; other
-    columns of docs are not read. Memory follows one slice of texts (8 MB, or one text).
+    Null and empty texts have no ids and decode to "". Rows that repeat an id are encoded each by itself; an empty table
+    gives none; other columns of docs, whatever their names, are not read. Memory follows one slice of texts (4 MB, or
+    one text).
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         bpe = word_bpe(tokenizer)
         for batch in batches:
             for a, b in bounded(batch["text"], 4 << 20):
-                done = bpe.encode([t or "" for t in batch["text"][a:b].to_pylist()])
-                yield {"id": batch["id"][a:b], "ids": [i for i, _ in done], "decoded": [d for _, d in done]}
+                ids, decoded = bpe.encode_packed([t or "" for t in batch["text"][a:b].to_pylist()])
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                values = np.frombuffer(b"".join(ids), "<i4")
+                yield {"id": batch["id"][a:b], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)), "decoded": decoded}
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -164,11 +248,15 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
-    """encoded with a column `decoded`, for ids made elsewhere (null ids decode to null)."""
+    """encoded with a column `decoded` (a column of that name is replaced), for ids made elsewhere.
+
+    Null ids decode to null, no ids to "", and ids that the vocabulary lacks to nothing. Repeated rows are decoded each
+    by itself, and an empty table stays empty.
+    """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         bpe = word_bpe(tokenizer)
         for batch in batches:
-            yield {**batch, "decoded": [None if x is None else bpe.decode(x) for x in batch[ids_col].to_pylist()]}
+            yield {**batch, "decoded": [None if x is None else bpe.decode([i for i in x if i is not None]) for x in batch[ids_col].to_pylist()]}
 
-    return map_columns(encoded, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded") + ", decoded string")
+    return map_columns(encoded, run, ddl(f for f in encoded.schema if f.name.lower() != "decoded") + ", decoded string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,8 +23,7 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, named by spark.checkpoint.dir.
 
-    Only a local session without that setting (as in tests) gets a folder of its own; a cluster without it
-    uses its warehouse, which is shared as well.
+    Only a local session without that setting (as in tests) gets a folder of its own; on a cluster the setting is a must.
     """
     global _own_dir
     conf = spark.sparkContext.getConf()
@@ -32,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         _own_dir = _own_dir or tempfile.mkdtemp(prefix="kinfold-")
         return f"file://{_own_dir}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -44,6 +45,15 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def drop_table(df: DataFrame) -> None:
+    """Deletes the files of a table that `cut` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/kinfold-" in file:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: its lineage ends there, and lost executors cost nothing."""
     path = scratch_path(df.sparkSession, tag)
@@ -51,6 +61,45 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one, that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def ddl(fields) -> str:
+    """The fields as a schema text."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields)
+
+
+_held: tuple[tuple, object] | None = None
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task: one tokenizer, tree or cache, with the key that it was made for.
+
+    Worker processes serve the tasks of all stages in turn. What another stage left is dropped first, so that their
+    sizes never add up.
+    """
+    global _held
+    if _held is None or _held[0] != key:
+        _held = None
+        trim()
+        _held = (key, make())
+    return _held[1]
+
+
+def trim() -> None:
+    """Gives memory that is free in this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if malloc_trim:
+        malloc_trim(0)
+
+
 def remainder(column: str, m: int) -> Column:
     """crc32 of the column as text, modulo m (null: counted as the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % m
@@ -68,6 +117,8 @@ def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], s
         for out in fn(read):
             columns = [v.cast(f.type) if isinstance(v := out[f.name], pa.Array) else pa.array(v, type=f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            del out, columns
+        trim()
 
     return df.mapInArrow(run, fields)
 
