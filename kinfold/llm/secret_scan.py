@@ -1,7 +1,7 @@
 """Secret scans by assignment-aware lexing.
 
-Source and configuration syntax is lexed into name-literal pairs; names that stand for constants are followed to their
-literals, and literals are scored by how sensitive the names that receive them are. Three plain patterns (base spans)
+Source and configuration syntax is lexed into name-literal pairs and names that take their value from other names;
+sensitivity goes from a target through such constants, to a fixpoint, and literals are scored by the names they reach. Three plain patterns (base spans)
 are always reported beside them.
 """
 
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import map_columns
+from kinfold.llm.common import bounded, ddl, map_columns
 
 #: Base kinds in order; "pair" is what the lexer adds.
 KINDS = ("assign", "access", "hex", "pair")
@@ -27,11 +27,28 @@ SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "pass": 2, "
 #: Texts without a match hold no name that scores 2 or more: that takes one part of 2 or more, or two others in one name.
 STRONG, WEAK = ("|".join(p for p, n in SENSITIVE.items() if (n >= 2) == strong) for strong in (True, False))
 HINTS = re.compile(rf"{STRONG}|(?:{WEAK})[A-Za-z0-9_$.\-]*?(?:{WEAK})", re.ASCII | re.IGNORECASE)
-PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_$.\-])(?P<name>[A-Za-z_$.\-][A-Za-z0-9_$.\-]*+)["']?\]?[\x20\t]*+(?::=|=>|=|:)[\x20\t]*+
-        (?:(?P<q>["'`])(?P<quoted>(?:[^"'`\\\n]|\\.)*+)(?P=q)|\$?\{?(?P<bare>[A-Za-z0-9+/_.=~!@%^*-]+)\}?)""",
+NAME = r"(?P<name>[A-Za-z_$][A-Za-z0-9_$]*+(?:[.\-][A-Za-z0-9_$]++)*+)"
+#: A name and what makes it a target: a type and "=", an assignment, a key's colon, or the bracket of a call.
+TARGET = re.compile(
+    rf"""(?<![A-Za-z0-9_$.\-])(?:-{{1,2}}(?=[A-Za-z]))?{NAME}["'`]?(?:\[[0-9]*\]|\])?
+        (?:(?:[\x20\t]*+:[\x20\t]*+[A-Za-z_][A-Za-z0-9_.\[\]]*+[?*]?(?:[\x20\t]*+\|[\x20\t]*+[A-Za-z0-9_.]++)*+|[\x20\t]++(?:string|\[\]byte))[\x20\t]*+=(?![=>~])
+        |[\x20\t]*+(?P<op>:=|=>|\?=|=(?![=~])|:(?!:)|\())[\x20\t]*+""",
     re.VERBOSE,
 )
+#: #define NAME and <name>: what follows is the value.
+MARKED = re.compile(rf"\#[\x20\t]*+define[\x20\t]++{NAME}[\x20\t]++|<{NAME.replace('name', 'tag')}(?:[\x20\t][^<>\n]*+)?>(?=[^<>\n]++</(?P=tag)>)", re.VERBOSE)
+#: A quoted name as an argument, with another argument after it.
+KEYED = re.compile(rf"""[\x20\t\n]*+(?P<k>["'`]){NAME}(?P=k)[\x20\t]*+,[\x20\t\n]*+""", re.VERBOSE)
+#: A string literal with its prefix, or a bare word.
+OPERAND = re.compile(
+    r"""(?:[rRbBuUfF]{1,2}(?=["']))?+(?:(?P<t>\"{3}|'{3})(?P<triple>.*?)(?P=t)|(?P<q>["'`])(?P<quoted>(?:(?!(?P=q))[^\\\n]|\\.)*+)(?P=q))
+        |\$?\{?(?P<bare>[A-Za-z0-9+/_.~!@%^*$-]++={0,2})\}?""",
+    re.VERBOSE | re.DOTALL,
+)
+#: What joins an operand to the next one: a plus (lines may end there), PHP's dot, or nothing between two literals.
+OPEN = re.compile(r"""\([\x20\t\n]*+(?=[rRbBuUfF]{0,2}["'])""")
+JOINED = re.compile(r"""[\x20\t]*+(?:\+[\x20\t\n\\]*+|\.[\x20\t]*+(?=["'$])|(?:\\\n[\x20\t]*+)?(?=["']))""")
+IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:[.\-][A-Za-z0-9_$]+)*")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: A literal is reported at this score or more.
 THRESHOLD = 4.0
@@ -53,25 +70,98 @@ def literal_score(literal: str, quoted: bool) -> float:
     return 0.5 * quoted + (kinds >= 2) + (entropy >= 3.0) + 0.5 * (len(literal) >= 16) + (entropy >= 3.5 and kinds >= 2)
 
 
+class Pairs:
+    """The name-literal pairs of a text, and which names stand for which others."""
+
+    def __init__(self) -> None:
+        #: (name, whole literal, spans of its parts, quoted)
+        self.literals: list[tuple[str, str, list[tuple[int, int]], bool]] = []
+        #: target name: names that it takes its value from
+        self.sources: dict[str, set[str]] = {}
+
+    def value(self, text: str, name: str, at: int) -> tuple[int, bool]:
+        """Reads the operands of an expression from there; gives its end and whether it holds a quoted literal."""
+        parts: list[str] = []
+        spans: list[tuple[int, int]] = []
+        if opened := OPEN.match(text, at):
+            at = opened.end()
+        quoted, end = False, at
+        while m := OPERAND.match(text, at):
+            group = "triple" if m["t"] is not None else "quoted" if m["q"] is not None else "bare"
+            literal, (begin, until) = m[group], m.span(group)
+            end = m.end()
+            if group == "bare":
+                if literal.endswith("+") and text[until : until + 1] in ('"', "'"):  # NAME+"literal"
+                    literal, end = literal[:-1], until - 1
+                    until -= 1
+                if IDENTIFIER.fullmatch(literal):
+                    self.sources.setdefault(name, set()).add(literal)
+                if not spans and not quoted:
+                    self.literals.append((name, literal, [(begin, until)], False))
+            elif until > begin:
+                quoted = True
+                parts.append(literal)
+                spans.append((begin, until))
+            more = JOINED.match(text, end)
+            if not more or (group == "bare" and more.end() == end):
+                break
+            at = more.end()
+        if spans:
+            self.literals.append((name, "".join(parts), spans, True))
+        return end, quoted
+
+    def scores(self) -> dict[str, int]:
+        """What each name says of its literals: its own score, or that of any name that takes its value, to a fixpoint."""
+        best = {n: name_score(n) for n in {*self.sources, *(n for n, *_ in self.literals)}}
+        known: dict[str, list[str]] = {}
+        for n in best:
+            known.setdefault(n, []).append(n)
+            if (last := re.split(r"[.\-]", n)[-1]) != n:
+                known.setdefault(last, []).append(n)
+        todo = [n for n in self.sources if best[n] >= 2]
+        while todo:
+            n = todo.pop()
+            for source in self.sources.get(n, ()):
+                for k in known.get(source, ()):
+                    if best[k] < best[n]:
+                        best[k] = best[n]
+                        todo.append(k)
+        return best
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that a sensitive name receives, directly or through named constants."""
+    """Spans of literals that a sensitive name receives, directly or through named constants, in any order.
+
+    Targets are assignments with or without a type, keys, tags, #define, calls with one literal, and quoted names with
+    the argument after them. Literals may have prefixes or triple quotes, and of those joined together each is a span.
+    Comments are read as code, since secrets in them leak too; a name may be assigned several times.
+    """
     if not HINTS.search(text):
         return []
-    constants: dict[str, tuple[str, int, int, bool]] = {}
-    found: dict[tuple[int, int], float] = {}
+    pairs = Pairs()
+    for m in MARKED.finditer(text):
+        if m["tag"]:
+            pairs.literals.append((m["tag"], text[m.end() : text.index("<", m.end())], [(m.end(), text.index("<", m.end()))], True))
+        else:
+            pairs.value(text, m["name"], m.end())
     at = 0
-    while m := PAIR.search(text, at):
-        quoted = m["q"] is not None
-        group = "quoted" if quoted else "bare"
-        literal, (begin, end) = m[group], m.span(group)
-        at = max(m.start() + 1, m.end() if quoted else m.end("name"))
-        if not quoted and literal in constants:  # a name that already has a literal: follow it
-            literal, begin, end, quoted = constants[literal]
-        if end > begin:
-            constants[m["name"]] = (literal, begin, end, quoted)
-            score = name_score(m["name"])
-            if score >= 2 and (value := literal_score(literal, quoted)) >= 1 and score + value >= THRESHOLD:
-                found[begin, end] = max(score + value, found.get((begin, end), 0))
+    while m := TARGET.search(text, at):
+        at, name = max(m.end("name"), m.start() + 1), m["name"]
+        if m["op"] == "(":
+            if key := KEYED.match(text, m.end()):
+                end, quoted = pairs.value(text, key["name"], key.end())
+                at = end if quoted else key.end("name")
+            elif text[m.end() : m.end() + 3].strip("rRbBuUfF")[:1] in ('"', "'", "`"):
+                at = pairs.value(text, name, m.end())[0]
+            continue
+        end, quoted = pairs.value(text, name, m.end())
+        at = end if quoted else at
+    found: set[tuple[int, int]] = set()
+    best = pairs.scores()
+    for name, literal, spans, quoted in pairs.literals:
+        score = best[name]
+        if score >= 2 and (value := literal_score(literal, quoted)) >= 1 and score + value >= THRESHOLD:
+            found.update(spans)
     return sorted(found)
 
 
@@ -99,8 +189,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def scan(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            spans = [[{"kind": k, "start": a, "end": b} for a, k, b in scan_text(t)] if t else [] for t in batch["text"].to_pylist()]
-            yield {"id": batch["id"], "spans": spans}
+            for begin, upto in bounded(batch["text"]):
+                spans = [[{"kind": k, "start": a, "end": b} for a, k, b in scan_text(t)] if t else [] for t in batch["text"][begin:upto].to_pylist()]
+                yield {"id": batch["id"][begin:upto], "spans": spans}
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -108,7 +199,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """docs with the same columns, every secret span of the text replaced by the mask (overlapping spans as one)."""
+    """docs with the same columns, every secret span of the text replaced by the mask (overlapping spans as one).
+
+    Null texts stay null and empty ones empty; rows that repeat an id are masked each by itself; an empty table stays
+    empty. Of spans that begin together the longest decides where the text goes on.
+    """
 
     def clean(text: str | None) -> str | None:
         if not text or not (spans := scan_text(text)):
@@ -120,10 +215,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
             at = max(at, b)
         return "".join([*out, text[at:]])
 
-    names = docs.columns
-
     def scan(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            yield {**batch, text_col: [clean(t) for t in batch[text_col].to_pylist()]}
+            for a, b in bounded(batch[text_col]):
+                part = {n: v[a:b] for n, v in batch.items()}
+                yield {**part, text_col: [clean(t) for t in part[text_col].to_pylist()]}
 
-    return map_columns(docs, scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)).select(*names)
+    return map_columns(docs, scan, ddl(docs.schema))
