@@ -7,7 +7,6 @@ sums. The probabilities are fitted by expectation maximisation (forward-backward
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,35 +14,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WHITE_CLASS, bounded, cut, map_columns
+from kinfold.llm.common import WHITE_CLASS, bounded, cut, ddl, held, map_columns
 from kinfold.llm.tokens import tokenizer_file
 
 VOCABULARY = "piece_bpe_32k.model"
 #: The bound of the training sample: about so many texts of each language, picked by a hash of the id.
 TRAINING_ROWS = 3000
-#: The bound of the languages learned, the most frequent ones first.
-MOST_LANGUAGES = 200
 ROUNDS = 2
-LONGEST_PIECE = 16
 #: Share of a language's probability that goes evenly to all pieces.
 SMOOTHING = 1e-3
-#: Words are scored by at most so many characters at a time; longer ones as several words.
+#: Words of more characters are scored one by one with rescaled sums, and give their counts to the fit in parts of so many.
 LONGEST_WORD = 48
-CACHE = 300_000
+#: Words kept by a task, at about 150 bytes and 8 bytes a language each.
+CACHE = 200_000
 #: Characters times languages that are looked at together.
 PORTION = 400_000
 UNDETERMINED = "und"
 
 
 def vocabulary(name: str = VOCABULARY) -> dict[str, int]:
-    """Lower-case pieces of at most LONGEST_PIECE characters, in the vocabulary's order; the last id is for characters without a piece."""
+    """Lower-case pieces in the vocabulary's order."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(name))
     pieces: dict[str, int] = {}
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).lower()
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and len(piece) <= LONGEST_PIECE:
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             pieces.setdefault(piece, len(pieces))
     return pieces
 
@@ -53,7 +50,7 @@ class Trie:
 
     def __init__(self, pieces: dict[str, int]):
         alphabet = {c: k for k, c in enumerate(sorted(set("".join(pieces))), 1)}
-        self.width, self.unknown = len(alphabet) + 1, len(pieces)
+        self.width, self.unknown, self.longest = len(alphabet) + 1, len(pieces), max(map(len, pieces), default=1)
         self.codes = np.zeros(0x110000, np.int32)  # 0: a character of no piece
         for c, k in alphabet.items():
             self.codes[ord(c)] = k
@@ -105,7 +102,7 @@ class Lattice:
         self.places = len(codes) + len(words)
         alive, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
         found = []
-        for d in range(LONGEST_PIECE):
+        for d in range(trie.longest):
             node = trie.step(node, codes[alive + d])
             ids = trie.piece_of[node]
             if d == 0:
@@ -117,8 +114,8 @@ class Lattice:
             if not len(alive):
                 break
         at, d, ids = (np.concatenate(x) for x in zip(*found, strict=True))
-        rank = within[at] * LONGEST_PIECE + d
-        order = np.argsort(rank.astype(np.uint16), kind="stable")
+        rank = within[at] * trie.longest + d
+        order = np.argsort(rank.astype(np.uint16) if len(rank) and rank.max() < 1 << 16 else rank, kind="stable")
         at, rank = at[order], rank[order]
         self.word = word[at]
         self.source = at + self.word
@@ -163,10 +160,42 @@ def expected(words: list[str], weights: np.ndarray, pieces: dict[str, int], tabl
     return out
 
 
-@functools.cache
+def long_forward(word: str, table: np.ndarray, trie: Trie) -> np.ndarray:
+    """As forward, of one word of any length: the sums of the last places, scaled up again as they get small."""
+    width, languages = trie.longest, table.shape[1]
+    codes = trie.codes[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    sums, logs = np.zeros((width + 1, languages)), np.zeros(languages)
+    sums[0] = 1
+    for begin in range(0, len(codes), 4096):
+        here = codes[begin : begin + 4096 + width - 1]
+        alive, node = np.arange(min(4096, len(codes) - begin)), np.zeros(min(4096, len(codes) - begin), np.int64)
+        edges: list[list[tuple[int, int]]] = [[] for _ in alive]
+        for d in range(width):
+            node = trie.step(node, here[alive + d])
+            ids = trie.piece_of[node]
+            if d == 0:
+                ids[ids < 0] = trie.unknown
+            for i, k in zip(alive[ids >= 0].tolist(), ids[ids >= 0].tolist(), strict=True):
+                edges[i].append((d + 1, k))
+            go = np.flatnonzero((node > 0) & (alive + d + 1 < len(here)))
+            alive, node = alive[go], node[go]
+            if not len(alive):
+                break
+        for i, own in enumerate(edges, begin):
+            place = i % (width + 1)
+            for d, k in own:
+                sums[(place + d) % (width + 1)] += sums[place] * table[k]
+            sums[place] = 0
+            if i % 8 == 7:
+                most = np.maximum(sums.max(axis=0), 1e-300)
+                sums /= most
+                logs += np.log(most)
+    return logs + np.log(np.maximum(sums[len(codes) % (width + 1)], 1e-300))
+
+
 def trie_of(name: str) -> Trie:
-    """The tree of a vocabulary, made once in a worker process."""
-    return Trie(vocabulary(name))
+    """The tree of a vocabulary, held by a worker process."""
+    return held(("trie", name), lambda: Trie(vocabulary(name)))
 
 
 def portions(words: list[str], languages: int) -> Iterator[slice]:
@@ -185,14 +214,13 @@ def portions(words: list[str], languages: int) -> Iterator[slice]:
 PUNCTUATION = ".,;:!?\"'()[]{}|$#*<>%&-"
 
 
-def marked(word: str) -> list[str]:
-    """The word as the vocabulary spells it: lower case, no marks at its ends, its begin marked, in parts if very long."""
-    w = "▁" + (word.strip(PUNCTUATION) or word).lower()
-    return [w] if len(w) <= LONGEST_WORD else [w[a : a + LONGEST_WORD] for a in range(0, len(w), LONGEST_WORD)]
+def marked(word: str) -> str:
+    """The word as the vocabulary spells it: lower case, no marks at its ends, its begin marked."""
+    return "▁" + (word.strip(PUNCTUATION) or word).lower()
 
 
 class Model:
-    """Languages and log-free piece probabilities, [piece + unknown + 0-row, language]; its size is bounded by vocabulary and MOST_LANGUAGES."""
+    """Languages and log-free piece probabilities, [piece + unknown + 0-row, language]; its size is that of the vocabulary times the languages."""
 
     def __init__(self, languages: list[str], table: np.ndarray, prior: np.ndarray, name: str):
         self.languages, self.table, self.prior, self.name = languages, table, prior, name
@@ -207,9 +235,14 @@ def normalised(counts: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, name: str = VOCABULARY, training_rows: int = TRAINING_ROWS, rounds: int = ROUNDS) -> Model:
-    """A model of the languages of labelled rows (null languages and texts are left out)."""
+    """A model of all the languages of labelled rows (null languages and texts are left out; no rows give no languages).
+
+    The driver holds a probability for each piece and language, 256 KB a language, and the counts of each round.
+    Repeated rows count as often as they come, as far as the sample by a hash of the id takes them; languages that are
+    equally frequent go by their names.
+    """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    seen = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    seen = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()
     languages, pieces = sorted(r["lang"] for r in seen), vocabulary(name)
     size = (len(pieces) + 2, len(languages))
     total = sum(r["n"] for r in seen)
@@ -239,7 +272,8 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, name: st
             own, sums = trie_of(name), np.zeros(size)
             for batch in batches:
                 n = np.array(batch["n"].to_pylist())
-                parts = [(part, k) for k, w in enumerate(batch["word"].to_pylist()) for part in marked(w)]
+                spelt = map(marked, batch["word"].to_pylist())
+                parts = [(w[a : a + LONGEST_WORD], k) for k, w in enumerate(spelt) for a in range(0, len(w), LONGEST_WORD)]
                 texts, of = [p for p, _ in parts], np.array([k for _, k in parts])
                 for part in portions(texts, len(languages)):
                     sums += expected(texts[part], n[of[part]], {}, shared.value, own)
@@ -247,9 +281,8 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, name: st
             yield {"piece": piece, "lang": lang, "n": sums[piece, lang]}
 
         counts = map_columns(words, count, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
-        got = np.zeros(size)
-        for r in counts.collect():  # at most pieces times languages
-            got[r["piece"], r["lang"]] = r["n"]
+        got, found = np.zeros(size), counts.toArrow()  # at most pieces times languages
+        got[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
         table = normalised(got)
     return Model(languages, table, prior, name)
 
@@ -260,25 +293,29 @@ class Judge:
     def __init__(self, model: Model):
         self.model, self.trie = model, trie_of(model.name)
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(model.languages)))
+        self.scores = np.zeros((1024, len(model.languages)))
 
     def _learn(self, split: list[list[str]]) -> None:
         if len(self.known) > CACHE:
-            self.known, self.scores = {}, self.scores[:0]
+            self.known = {}
         missing: set[str] = set()
         for words in split:
             missing.update(words)
         new = list(missing.difference(self.known))
-        parts = [(part, k) for k, w in enumerate(new) for part in marked(w)]
-        names = list({p for p, _ in parts})  # words that differ in case or end marks alone are scored once
+        of = list(map(marked, new))
+        names = list(set(of))  # words that differ in case or end marks alone are scored once
+        short, long = [w for w in names if len(w) <= LONGEST_WORD], [w for w in names if len(w) > LONGEST_WORD]
         logs = np.zeros((len(names), len(self.model.languages)))
-        for part in portions(names, len(self.model.languages)):
-            logs[part] = forward(names[part], {}, self.model.table, self.trie)
-        at = {p: i for i, p in enumerate(names)}
-        more = np.zeros((len(new), len(self.model.languages)))
-        np.add.at(more, np.array([k for _, k in parts], dtype=np.int64), logs[[at[p] for p, _ in parts]] if parts else logs[:0])
-        self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
-        self.scores = np.concatenate([self.scores, more])
+        for part in portions(short, len(self.model.languages)):
+            logs[part] = forward(short[part], {}, self.model.table, self.trie)
+        for k, w in enumerate(long, len(short)):
+            logs[k] = long_forward(w, self.model.table, self.trie)
+        at = {w: i for i, w in enumerate(short + long)}
+        n = len(self.known)
+        if n + len(new) > len(self.scores):
+            self.scores = np.concatenate([self.scores[:n], np.zeros((n + 2 * len(new), len(self.model.languages)))])
+        self.scores[n : n + len(new)] = logs[[at[w] for w in of]] if new else 0
+        self.known.update(zip(new, range(n, n + len(new)), strict=True))
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """(language, score) of each text."""
@@ -324,7 +361,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_determined(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
     """The rows of docs, all columns as they are, whose language is determined with at least that score.
 
-    Every row is judged by itself, so repeated rows and null ids need no special care.
+    Every row is judged by itself, so repeated rows and null ids need no special care. Null texts and texts without a
+    letter are undetermined and go; equally likely languages share the score. An empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -336,4 +374,4 @@ def keep_determined(docs: DataFrame, model: Model, text_col: str = "text", least
                 stay = pa.array([x != UNDETERMINED and s >= least_score for x, s in zip(langs, sure, strict=True)])
                 yield {n: v[a:b].filter(stay) for n, v in batch.items()}
 
-    return map_columns(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return map_columns(docs, run, ddl(docs.schema))
