@@ -10,29 +10,49 @@ small-star rounds over these links.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import bounded, cut, map_columns
+from kinfold.llm.common import bounded, cut, fresh, held, map_columns
 
 WORDS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Bands of so many minima each. A pair at similarity 0.75 shares none of 32 bands of 4 with probability 5e-6.
-BANDS, ROWS = 32, 4
-#: Equal minima that a pair needs before its full sets are compared: five standard deviations under 0.75 * 128.
-LEAST_EQUAL = 72
+HASHES = 128
+#: A pair at the least similarity may share no band with this probability at most.
+MISSED = 1e-5
 #: Members of a group that are compared with each other in one piece of work.
 BLOCK = 384
 CACHE = 200_000
 
-_multipliers = np.array([int.from_bytes(hashlib.blake2b(b"a%d" % i, digest_size=8).digest(), "little") | 1 for i in range(BANDS * ROWS)], np.uint64)
-_offsets = np.array([int.from_bytes(hashlib.blake2b(b"b%d" % i, digest_size=8).digest(), "little") for i in range(BANDS * ROWS)], np.uint64)
-_known: dict[bytes, int] = {}
+_multipliers = np.array([int.from_bytes(hashlib.blake2b(b"a%d" % i, digest_size=8).digest(), "little") | 1 for i in range(HASHES)], np.uint64)
+_offsets = np.array([int.from_bytes(hashlib.blake2b(b"b%d" % i, digest_size=8).digest(), "little") for i in range(HASHES)], np.uint64)
+
+
+class Banding(NamedTuple):
+    """Bands of so many minima each, and the equal minima that a pair needs before its full sets are compared."""
+
+    bands: int
+    rows: int
+    least_equal: int
+
+
+def banding(percent: int) -> Banding:
+    """The longest bands that a pair of that similarity misses with probability MISSED at most (75: 32 bands of 4, 5e-6).
+
+    A pair of that similarity has fewer equal minima than five standard deviations under the mean with probability 3e-7.
+    """
+    p = percent / 100
+    rows = [r for r in (16, 8, 4, 2, 1) if (1 - p**r) ** (HASHES // r) <= MISSED]
+    if not rows or percent > 100:
+        raise ValueError("similarities from 9 to 100 percent are supported")
+    return Banding(HASHES // rows[0], rows[0], max(1, math.ceil(HASHES * p - 5 * math.sqrt(HASHES * p * (1 - p)))))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -43,11 +63,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, the same in every process; a bounded cache holds the last ones."""
-    if len(_known) > CACHE:
-        _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    known = held(("word_hashes",), dict)
+    if len(known) > CACHE:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -64,8 +85,8 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """[set, BANDS * ROWS] of 32-bit minima of universal (multiply-shift) hashes; sets must not be empty."""
-    out = np.zeros((len(sets), BANDS * ROWS), np.uint32)
+    """[set, HASHES] of 32-bit minima of universal (multiply-shift) hashes; sets must not be empty."""
+    out = np.zeros((len(sets), HASHES), np.uint32)
     begin = 0
     while begin < len(sets):
         end, size = begin, 0
@@ -74,17 +95,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             end += 1
         x = np.concatenate(sets[begin:end])
         at = np.cumsum([0] + [len(s) for s in sets[begin : end - 1]])
-        for k in range(BANDS * ROWS):
+        for k in range(HASHES):
             out[begin:end, k] = np.minimum.reduceat(x * _multipliers[k] + _offsets[k], at) >> np.uint64(32)
         begin = end
     return out
 
 
-def band_hashes(sigs: np.ndarray) -> np.ndarray:
-    """[set, BANDS] of 64-bit hashes of the bands, different from band to band."""
-    rows = sigs.reshape(len(sigs), BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), rows.shape[:2])
-    for r in range(ROWS):
+def band_hashes(sigs: np.ndarray, by: Banding) -> np.ndarray:
+    """[set, band] of 64-bit hashes of the bands, different from band to band."""
+    rows = sigs.reshape(len(sigs), by.bands, by.rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(by.bands, dtype=np.uint64) + np.uint64(1), rows.shape[:2])
+    for r in range(by.rows):
         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
     return h.view(np.int64)
 
@@ -106,18 +127,18 @@ def _signed(docs: DataFrame) -> DataFrame:
     return map_columns(docs, run, "id long, n_shingles long, digest binary, sig binary")
 
 
-def _bands(nodes: DataFrame) -> DataFrame:
+def _bands(nodes: DataFrame, by: Banding) -> DataFrame:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            sigs = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
-            yield {"band": band_hashes(sigs).ravel(), "node": np.repeat(batch["node"].to_numpy(), BANDS)}
+            sigs = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint32).reshape(-1, HASHES)
+            yield {"band": band_hashes(sigs, by).ravel(), "node": np.repeat(batch["node"].to_numpy(), by.bands)}
 
     return map_columns(nodes.select("node", "sig"), run, "band long, node long")
 
 
-def leader_groups(nodes: DataFrame) -> DataFrame:
+def leader_groups(nodes: DataFrame, by: Banding) -> DataFrame:
     """(leader, node): the distinct members of all bands with two nodes or more, by the least node of the band (itself included)."""
-    bands = _bands(nodes)
+    bands = _bands(nodes, by)
     leaders = bands.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("most")).filter("leader < most").select("band", "leader")
     members = bands.join(leaders, "band").filter("node <> leader").select("leader", "node").distinct()
     return members
@@ -158,13 +179,13 @@ def groups_of(batches: Iterator[dict], names: list[str]) -> Iterator[tuple[tuple
         yield key, held
 
 
-def alike(sigs: np.ndarray, own: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def alike(sigs: np.ndarray, own: np.ndarray, i: int, j: int, least_equal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a piece of work that signatures allow: (position, position, equal minima), most alike first."""
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     equal = np.zeros((len(left), len(right)), np.int16)
     for k in range(sigs.shape[1]):
         equal += sigs[left, k][:, None] == sigs[right, k]
-    ok = equal >= LEAST_EQUAL
+    ok = equal >= least_equal
     if i == j:
         ok &= np.arange(len(left))[:, None] < np.arange(len(right))
     a, b = np.nonzero(ok)
@@ -173,14 +194,14 @@ def alike(sigs: np.ndarray, own: np.ndarray, i: int, j: int) -> tuple[np.ndarray
     return left[a[order]], right[b[order]], n[order]
 
 
-def promising(rows: DataFrame) -> DataFrame:
+def promising(rows: DataFrame, by: Banding) -> DataFrame:
     """Of (leader, i, j, own, node, sig) the rows whose node has a partner in its piece of work, by the signatures."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         out: list[tuple] = []
         for (leader, i, j), group in groups_of(batches, ["own", "node", "sig"]):
-            sigs = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, BANDS * ROWS)
-            a, b, _ = alike(sigs, np.array(group["own"]), i, j)
+            sigs = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, HASHES)
+            a, b, _ = alike(sigs, np.array(group["own"]), i, j, by.least_equal)
             out += [(leader, i, j, group["own"][k], group["node"][k]) for k in np.unique(np.concatenate([a, b])).tolist()]
             if len(out) > 10_000:
                 yield dict(zip(("leader", "i", "j", "own", "node"), zip(*out, strict=True), strict=True))
@@ -205,6 +226,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def confirmed(rows: DataFrame, percent: int) -> DataFrame:
     """(u, v), u > v: of each piece of work (leader, i, j, own, node, shingles) a spanning forest of the links by full sets."""
 
+    least_equal = banding(percent).least_equal
+
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         out: list[tuple[int, int]] = []
         for (_, i, j), group in groups_of(batches, ["own", "node", "shingles"]):
@@ -217,7 +240,7 @@ def confirmed(rows: DataFrame, percent: int) -> DataFrame:
                     k = root[k]
                 return k
 
-            a, b, _ = alike(signatures(sets), np.array(group["own"]), i, j)
+            a, b, _ = alike(signatures(sets), np.array(group["own"]), i, j, least_equal)
             for p, q in zip(a.tolist(), b.tolist(), strict=True):
                 s, t = find(p), find(q)
                 if s != t and linked(sets[p], sets[q], percent):
@@ -234,14 +257,15 @@ def confirmed(rows: DataFrame, percent: int) -> DataFrame:
     return map_columns(_by_group(rows), run, "u long, v long").distinct()
 
 
-def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame) -> DataFrame:
     """(u, v) for every node u that some edge reaches and that is not the least of its component, whose least node v is.
 
     Large-star joins each node's larger neighbours to its least one, small-star its smaller ones and itself; both by a
-    minimum per node that is joined back, so no neighbour list is gathered. The rounds end when nothing changes.
+    minimum per node that is joined back, so no neighbour list is gathered. The rounds, about as many as the logarithm
+    of the nodes, end when nothing changes. Repeated edges and loops add nothing; no edges give no rows.
     """
     now, before = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"), None
-    for _ in range(most_rounds):
+    while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if not state[0] or tuple(state) == before:
             return now
@@ -253,7 +277,6 @@ def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-    raise RuntimeError("the components did not settle")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -261,14 +284,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts without words have no shingles and are linked with nothing. Rows with a null id are linked with nothing and
     kept, with a null component. Rows that repeat an id are one document with several texts, linked by what either
-    links, and all stay or go together. Ids are integers; other columns of docs are not read.
+    links, and all stay or go together. Ids are integers; an empty table gives no rows; other columns of docs, whatever
+    their names, are not read. Percentages that the bands can't serve (under 9) are refused.
     """
+    by = banding(percent)
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(_signed(read), "signed")
     some = signed.filter("digest is not null and id is not null")
     nodes = cut(some.groupBy("digest").agg(F.min("id").alias("node"), F.first("sig").alias("sig")), "nodes")
-    placed = in_blocks(cut(leader_groups(nodes), "groups"), block).join(nodes.select("node", "sig"), "node")
-    found = cut(promising(placed.select(*KEY, "own", "node", "sig")), "promising")
+    placed = in_blocks(cut(leader_groups(nodes, by), "groups"), block).join(nodes.select("node", "sig"), "node")
+    found = cut(promising(placed.select(*KEY, "own", "node", "sig"), by), "promising")
     wanted = found.select(F.col("node").alias("id")).distinct()
 
     def sets(batches: Iterator[dict]) -> Iterator[dict]:
@@ -291,6 +316,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, with all their columns, whose document is the least of its group; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col, percent).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """The rows of docs, with all their columns, whose document is the least of its group; rows with a null id stay.
+
+    Null and empty texts are in no group and stay, as do all rows that repeat an id that stays.
+    """
+    gone = fresh(docs, "gone")
+    judged = near_duplicates(docs, id_col, text_col, percent).filter(~F.col("kept")).select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(judged, F.col(id_col) == F.col(gone), "left_anti")
