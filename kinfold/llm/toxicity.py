@@ -22,15 +22,13 @@ from kinfold.llm.common import bounded, cut, map_columns
 
 #: The bound of the training sample: about so many labelled texts of each class, picked by a hash of the id.
 TRAINING_ROWS = 20_000
-#: The bound of the terms in a model, the most significant ones first.
-MOST_TERMS = 20_000
 #: Word beginnings of these lengths are terms as well.
 BEGINNINGS = (4, 5, 6)
 #: The prior's weight as a share of the words counted, and what a term needs to get a score of its own.
 PRIOR_SHARE, LEAST_COUNT, LEAST_LOG_ODDS, LEAST_Z = 0.01, 5, 1.0, 4.0
 #: A passage is significant if texts of its length are expected to hold fewer such by chance.
 SIGNIFICANT = 0.05
-CACHE = 400_000
+CACHE = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -71,9 +69,10 @@ def maximal_segments(at: list[int], scores: list[float], drift: float) -> list[t
 class Model:
     """Term scores, the drift of other words, the extreme-value law (rate, scale) and the logistic curve (intercept, slope)."""
 
-    def __init__(self, terms: dict[str, float], drift: float):
+    def __init__(self, terms: dict[str, float], drift: float, toxic: int = 0, clean: int = 0):
         self.terms, self.drift = terms, drift
-        self.rate, self.scale, self.intercept, self.slope = 1.0, 1.0, 0.0, 0.0
+        prior = (toxic + 0.5) / (toxic + clean + 2)  # without any label 1 in 4
+        self.rate, self.scale, self.intercept, self.slope = 1.0, 1.0, math.log(prior / (1 - prior)), 0.0
 
     def word_score(self, word: str) -> float:
         """The best of a word's terms, 0 for other words."""
@@ -111,8 +110,8 @@ class Scanner:
         return len(words), maximal_segments(at.tolist(), scores[at].tolist(), self.model.drift)
 
 
-def _terms(sample: DataFrame) -> Model:
-    """Term scores from the (label, text) rows of a sample."""
+def _terms(sample: DataFrame) -> tuple[dict[str, float], float]:
+    """Term scores and the drift from the (label, text) rows of a sample."""
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -128,7 +127,7 @@ def _terms(sample: DataFrame) -> Model:
     counts = cut(map_columns(sample, count, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "terms")
     total = counts.filter("term = '*'").head()
     if total is None or not total["n1"] or not total["n0"]:
-        return Model({}, -1.0)
+        return {}, -1.0
     n1, n0 = total["n1"], total["n0"]
     prior = PRIOR_SHARE * (n1 + n0)
     own = F.lit(PRIOR_SHARE) * (F.col("n1") + F.col("n0"))
@@ -139,13 +138,11 @@ def _terms(sample: DataFrame) -> Model:
         .filter(F.col("n1") + F.col("n0") >= LEAST_COUNT)
         .select("term", "n1", "n0", odds.alias("odds"), z.alias("z"))
         .filter((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("z") >= LEAST_Z))
-        .orderBy(F.desc("z"), "term")
-        .limit(MOST_TERMS)
-        .collect()
+        .collect()  # of the bounded sample's vocabulary the few that tell toxic texts
     )
     # What the scored words take from the toxic texts more than from the clean ones is missing from all others.
     m1, m0 = (min(0.5, sum(r[c] for r in best if r["term"][0] == "=") / n) for c, n in (("n1", n1), ("n0", n0)))
-    return Model({r["term"]: r["odds"] for r in best}, min(-0.01, math.log((1 - m1) / (1 - m0))))
+    return {r["term"]: r["odds"] for r in best}, min(-0.01, math.log((1 - m1) / (1 - m0)))
 
 
 def _calibrate(model: Model, sample: DataFrame, prior: float) -> None:
@@ -192,19 +189,21 @@ def _calibrate(model: Model, sample: DataFrame, prior: float) -> None:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", training_rows: int = TRAINING_ROWS) -> Model:
     """A model from the labels (0 or 1; null labels, ids and texts are left out) and the texts with the same ids.
 
-    Three quarters of the sample give term scores, the rest the extreme-value law and the curve.
+    Three quarters of the sample give term scores, the rest the extreme-value law and the curve. If labels are missing
+    or all alike, or no term tells the classes apart, every text gets the (smoothed) share of toxic labels as its score.
+    Of several labels of one id the toxic one holds.
     """
     own = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     n = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
-        return Model({}, -1.0)
+        return Model({}, -1.0, n.get(1, 0), n.get(0, 0))
     share = F.when(F.col("label") == 1, min(1.0, training_rows / n[1])).otherwise(min(1.0, training_rows / n[0]))
     place = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20))
     picked = own.filter(place < (1 << 20) * share).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(4)))
     # About 2 * training_rows ids, whatever the tables' size: a bounded broadcast.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     sample = cut(texts.join(F.broadcast(picked), "id").select("part", "label", "text"), "toxicity")
-    model = _terms(sample.filter("part > 0").select("label", "text"))
+    model = Model(*_terms(sample.filter("part > 0").select("label", "text")), n[1], n[0])
     if model.terms:
         _calibrate(model, sample.filter("part = 0").select("label", "text"), n[1] / (n[0] + n[1]))
     return model
