@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import bpe_codec, exact_dedup, language_id, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, token_rollup, toxicity
-from kinfold.llm.common import remainder, scratch_path
+from kinfold.llm.common import cut, remainder, scratch_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +81,19 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one batch of inserts, committed and then sent again, which must change nothing."""
-    counted = token_rollup.count_tokens(documents(spark, sf_dir))
-    changes = counted.select(F.lit("insert").alias("op"), F.lit(0).alias("seq"), "doc_id", F.lit("byte_bpe_50k/1").alias("tokenizer"), "source", "lang", "n_tokens")
+    """The totals after a history of whole-table batches, which must equal a plain recount.
+
+    All documents are inserted with estimated counts (a token for four bytes), revised to their real counts, deleted
+    and inserted again; the revisions, sent a second time at the end, change nothing.
+    """
+    docs = documents(spark, sf_dir)
+    version = F.lit("byte_bpe_50k/1").alias("tokenizer")
+    guess = F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4).alias("n_tokens")
+    guessed = docs.select(F.lit(0).alias("seq"), "doc_id", version, "source", "lang", guess)
+    counted = cut(token_rollup.count_tokens(docs).select(F.lit(0).alias("seq"), "doc_id", version, "source", "lang", "n_tokens"), "counted")
     rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "rollup"))
-    rollup.commit("documents", changes)
-    rollup.commit("documents", changes)
+    for batch, op, rows in (("import", "insert", guessed), ("recount", "revise", counted), ("withdrawal", "delete", counted), ("return", "insert", counted), ("recount", "revise", counted)):
+        rollup.commit(batch, rows.withColumn("op", F.lit(op)))
     return rollup.totals()
 
 

@@ -18,12 +18,17 @@ from kinfold.llm.tokens import byte_bpe
 
 TOKENIZER = "byte_bpe_50k.json"
 GROUP = ("source", "lang", "tokenizer")
-LEDGER = "doc_id long, tokenizer string, source string, lang string, n_tokens long, live boolean"
+LEDGER = "doc_id string, tokenizer string, source string, lang string, n_tokens long, live boolean"
+#: After so many batches the ledger is written anew as one table, so that reading it follows its size and not its history.
+COMPACT_EVERY = 8
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("source", "lang"), tokenizer: str = TOKENIZER) -> DataFrame:
-    """One row per row of docs: id, the kept columns as text, n_tokens of the whole text (null and empty: 0)."""
+    """One row per row of docs: id, the kept columns as text, n_tokens of the whole text (null and empty: 0).
+
+    Rows that repeat an id are counted each by itself; an empty table gives no rows; no other column of docs is read.
+    """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         bpe = byte_bpe(tokenizer)
@@ -49,7 +54,8 @@ class TokenRollup:
     """Totals and a ledger of documents under a folder that all executors share.
 
     ledger/epoch=N holds what batch N changed (the latest epoch of a key holds), totals/epoch=N the totals after it,
-    and commits/N-<batch> says that both are whole. One writer at a time.
+    snapshot/epoch=N, every few batches, the live documents after it, and commits/N-<batch> says that all are whole.
+    One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -64,20 +70,32 @@ class TokenRollup:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
         return {n.split("-", 1)[1]: int(n.split("-", 1)[0]) for n in names if not n.startswith(("_", "."))}
 
-    def ledger(self) -> DataFrame:
-        """What the committed batches left of each document and tokenizer version, deleted ones included."""
+    def _base(self, last: int) -> int:
+        """The latest snapshot of a committed epoch, or 0."""
+        folder = self._path(f"{self.path}/snapshot")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return max((e for n in names if n.startswith("epoch=") and (e := int(n[6:])) <= last), default=0)
+
+    def _rows(self, epochs: list[int], base: int) -> DataFrame:
+        """The rows that decide what the ledger holds, with their epochs: those of a snapshot and of the epochs after it."""
+        read = self.spark.read.schema(LEDGER + ", epoch int")
+        later = [f"{self.path}/ledger/epoch={e}" for e in epochs if e > base]
+        rows = read.option("basePath", f"{self.path}/snapshot").parquet(f"{self.path}/snapshot/epoch={base}") if base else None
+        if later:
+            more = read.option("basePath", f"{self.path}/ledger").parquet(*later)
+            rows = rows.unionByName(more) if rows is not None else more
+        return rows
+
+    def ledger(self, keys: DataFrame | None = None) -> DataFrame:
+        """What the committed batches left of each document and tokenizer version (of those keys alone, if given), deleted ones included."""
         epochs = sorted(self.commits().values())
         if not epochs:
             return self.spark.createDataFrame([], LEDGER)
-        read = self.spark.read.schema(LEDGER)
-        parts = [read.parquet(f"{self.path}/ledger/epoch={e}").withColumn("epoch", F.lit(e)) for e in epochs]
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.unionByName(p)
-        if len(parts) == 1:
-            return both.drop("epoch")
+        rows = self._rows(epochs, self._base(epochs[-1]))
+        if keys is not None:
+            rows = rows.alias("o").join(keys.alias("n"), same("o", "n", ("doc_id", "tokenizer")), "left_semi")
         last = F.max_by(F.struct("source", "lang", "n_tokens", "live"), "epoch").alias("s")
-        return both.groupBy("doc_id", "tokenizer").agg(last).select("doc_id", "tokenizer", "s.*")
+        return rows.groupBy("doc_id", "tokenizer").agg(last).select("doc_id", "tokenizer", "s.*")
 
     def totals(self) -> DataFrame:
         """n_docs and n_tokens of the live documents by source, language and tokenizer version."""
@@ -91,7 +109,8 @@ class TokenRollup:
 
         op is insert, revise or delete. Inserts of documents that are there count as revisions, deletes and revisions
         of missing ones as nothing and as inserts. Of several changes of one key the largest seq holds; ties go to
-        the largest values. Rows with a null doc_id or another op change nothing; null counts are 0.
+        the largest values. Ids of any type are kept as text. Rows with a null doc_id or another op change nothing; null
+        counts are 0; an empty batch is committed and changes nothing. Columns beyond these are not read.
         """
         done = self.commits()
         batch = "".join(c if c.isalnum() or c in "_." else f"%{ord(c):x}" for c in batch)
@@ -101,7 +120,7 @@ class TokenRollup:
         state = F.struct("seq", F.struct("source", "lang", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), (F.col("op") != "delete").alias("live")).alias("s"))
         new = (
             changes.filter(F.col("doc_id").isNotNull() & F.col("op").isin("insert", "revise", "delete"))
-            .groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokenizer").cast("string").alias("tokenizer"))
+            .groupBy(F.col("doc_id").cast("string").alias("doc_id"), F.col("tokenizer").cast("string").alias("tokenizer"))
             .agg(F.max(state).alias("m"))
             .select("doc_id", "tokenizer", "m.s.*")
         )
@@ -111,14 +130,22 @@ class TokenRollup:
         plus = new.filter("live").select(*GROUP, F.lit(1).alias("n_docs"), "n_tokens")
         deltas = plus
         if done:
-            old = self.ledger().filter("live").alias("o").join(new.alias("n"), same("o", "n", ("doc_id", "tokenizer")), "left_semi")
+            old = self.ledger(new).filter("live")
             deltas = plus.unionByName(old.select(*GROUP, F.lit(-1).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens")))
         added = self.totals().unionByName(deltas.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")))
         summed = added.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 or n_tokens <> 0")
         summed.write.mode("overwrite").parquet(f"{self.path}/totals/epoch={epoch}")
+        if done and epoch - self._base(epoch - 1) >= COMPACT_EVERY:
+            self._compact([*sorted(done.values()), epoch])
         self._fs.mkdirs(self._path(f"{self.path}/commits"))
         marker, final = self._path(f"{self.path}/commits/.{epoch}"), self._path(f"{self.path}/commits/{epoch}-{batch}")
         self._fs.create(marker, True).close()
         if not self._fs.rename(marker, final):
             raise RuntimeError(f"batch {batch} could not be committed")
         return True
+
+    def _compact(self, epochs: list[int]) -> None:
+        """Writes the live documents after the last of these epochs, which the commit that follows makes valid."""
+        last = F.max_by(F.struct("source", "lang", "n_tokens", "live"), "epoch").alias("s")
+        whole = self._rows(epochs, self._base(epochs[-1] - 1)).groupBy("doc_id", "tokenizer").agg(last).select("doc_id", "tokenizer", "s.*").filter("live")
+        whole.write.mode("overwrite").parquet(f"{self.path}/snapshot/epoch={epochs[-1]}")
