@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WHITE_CLASS, cut, map_columns
+from kinfold.llm.common import WHITE_CLASS, cut, fresh, map_columns
 
 COUNTERS = 1024
 
@@ -57,43 +57,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns of docs, whatever their names, are not read; empty tables give empty results.
     """
     digest = F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    base = cut(docs.select(F.col(id_col).alias("id"), digest.alias("digest")), "digests")
+    # Row numbers are written down once, so that they stay what they are when rows are read again.
+    base = cut(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
     found = frequent_candidates(base, "digest", counters)
-    winners = (
-        base.join(F.broadcast(found), "digest")
-        .groupBy("digest")
-        .agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .filter("group_size > 1")
-    )
-    winners = cut(winners, "winners")  # at most `counters` rows
+    first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "row")).alias("first")
+    groups = lambda rows: rows.groupBy("digest").agg(first, F.count(F.lit(1)).alias("group_size"))
+    winners = cut(groups(base.join(F.broadcast(found), "digest")).filter("group_size > 1"), "winners")  # at most `counters` rows
     split = base.join(F.broadcast(winners), "digest", "left")
-    first = Window.partitionBy("digest").orderBy(F.col("id").asc_nulls_last())
-    heavy = split.filter("group_size is not null")
-    heads = heavy.filter("id <=> keep_id").withColumn("kept", F.row_number().over(first) == 1)
-    rest = heavy.filter("not (id <=> keep_id)").withColumn("kept", F.lit(False))
-    same = Window.partitionBy("digest")
-    light = (
-        split.filter("group_size is null")
-        .select("digest", "id")
-        .select(
-            "digest",
-            "id",
-            F.min("id").over(same).alias("keep_id"),
-            F.count(F.lit(1)).over(same).alias("group_size"),
-            (F.row_number().over(first) == 1).alias("kept"),
-        )
+    heavy, light = split.filter("group_size is not null"), split.filter("group_size is null").select("digest", "id", "row")
+    # A light group may still be large: it is summed up before the shuffle, and the join back can split it.
+    both = heavy.unionByName(light.join(groups(light), "digest").select(*heavy.columns))
+    return both.select(
+        F.col("id").alias(id_col),
+        F.col("first.id").alias("keep_id"),
+        "group_size",
+        (F.col("row") == F.col("first.row")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
-    both = light.unionByName(heads).unionByName(rest)
-    return both.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The rows of docs, with all their columns, that exact_dedup keeps: one for each normalised text.
 
-    docs must give the same rows in the same order when read again, as files do; rows are told apart by that order.
+    Rows are numbered in a written table, so that repeated rows and null ids are told apart; null and empty texts are
+    equal to each other; an empty table stays empty.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), "__row")
+    row = fresh(docs, "row")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     judged = exact_dedup(numbered.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", counters)
-    gone = judged.filter(~F.col("kept")).select(F.col("key.__row").alias("__row"))
-    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)
+    gone = judged.filter(~F.col("kept")).select(F.col("key.row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
