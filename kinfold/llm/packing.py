@@ -22,8 +22,8 @@ from kinfold.llm.tokens import byte_bpe
 MAX_TOKENS = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
-#: Rows that one task may rank within one length and salt, on average.
-RANKED_ROWS = 50_000
+#: Rows that are ranked together within one length, at least and at most; between them an eighth of a task's even share.
+LEAST_RANKED, MOST_RANKED = 256, 50_000
 
 
 def shortest_pack_first(histogram: dict[int, int], max_tokens: int) -> list[tuple[int, int, int, int, int]]:
@@ -102,7 +102,9 @@ def pack(
     placed = np.array(shortest_pack_first(histogram, max_tokens), dtype=np.int64).reshape(-1, 5)
     # Ranks within a length: each (length, salt) is ordered by itself, then shifted by the counts of the salts before.
     # Salts follow each length's own count; the histogram has at most max_tokens rows, so it is broadcast.
-    salts = docs.sparkSession.createDataFrame([(n, -(-rows // RANKED_ROWS)) for n, rows in sorted(histogram.items())], "length long, salts long")
+    share = sum(histogram.values()) // (8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranked_rows = min(max(share, LEAST_RANKED), MOST_RANKED)
+    salts = docs.sparkSession.createDataFrame([(n, -(-rows // ranked_rows)) for n, rows in sorted(histogram.items())], "length long, salts long")
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "start"), "salts"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
@@ -131,7 +133,8 @@ def pack(
 def sequences(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The packed sequences themselves, from pack(..., with_ids=True): sequence_id, n_tokens, ids (packed), segments.
 
-    Each group has at most max_tokens ids, so it fits in any task.
+    Each group has at most max_tokens ids, so it fits in any task. Segments name their document, which may be null or
+    come more than once; no pieces give no sequences.
     """
     grouped = packed.groupBy("sequence_id").agg(
         F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", "length", F.col(id_col).alias("id"), "start", "ids"))).alias("parts")
