@@ -18,7 +18,7 @@ def plain_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
 
 
-def plain_components(rows):
+def plain_components(rows, percent=75):
     """{id: (set size, least id reachable)} by all pairs."""
     sets = {i: plain_set(t) for i, t in rows}
     by_shingle = {}
@@ -35,7 +35,7 @@ def plain_components(rows):
     for i, s in sets.items():
         shared = Counter(j for x in s for j in by_shingle[x] if j < i)
         for j, n in shared.items():
-            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(s), find(i)) for i, s in sets.items()}
@@ -44,7 +44,7 @@ def plain_components(rows):
 def checked(frame, rows, **kw):
     got = near_dedup.near_duplicates(frame, **kw).collect()
     assert len(got) == len(rows)
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows, kw.get("percent", 75))
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
@@ -70,6 +70,23 @@ def test_large_group_of_mixed_likeness(spark, block):
     checked(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows, block=block)
 
 
+@pytest.mark.parametrize("percent", [30, 50, 75, 90])
+def test_any_percentage(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for i in range(60):
+        base = [f"b{i}w{k}" for k in range(100)]
+        rows.append((2 * i, " ".join(base)))
+        rows.append((2 * i + 1, " ".join(base[rng.randrange(60) :])))
+    checked(spark.createDataFrame(rows, "doc_id long, text string"), rows, percent=percent)
+
+
+def test_percentages_that_bands_cannot_serve():
+    assert near_dedup.banding(75) == (32, 4, 72)
+    with pytest.raises(ValueError, match="percent"):
+        near_dedup.banding(5)
+
+
 def test_edges(spark, edge, none):
     got = near_dedup.near_duplicates(edge).collect()
     assert len(got) == len(EDGE)

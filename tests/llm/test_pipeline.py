@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from kinfold.llm import exact_dedup, secret_scan
+from kinfold.llm import exact_dedup, near_dedup, secret_scan
 from kinfold.llm.common import cut
 from tests.llm.conftest import EDGE
 from tests.llm.test_near import plain_components
@@ -84,3 +84,13 @@ def test_exact_drop_keeps_one_row(spark, edge):
     table = cut(edge, "edge")
     got = Counter(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(table).collect())
     assert got == Counter({i: 1 for i, _ in EDGE if i not in (None, 2, 6, 7)})
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e f g", "mine"), (2, "a b c d e f g", "yours"), (3, None, "x"), (4, "z", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    for name in ("row", "__row", "gone", "_gone", "u", "v", "id", "digest", "kept", "first", "n"):
+        named = frame.withColumnRenamed("x", name)
+        assert sorted(map(tuple, exact_dedup.drop_exact_duplicates(named).collect())) == [rows[0], rows[2], rows[3]]
+        assert sorted(map(tuple, near_dedup.drop_near_duplicates(named).collect())) == [rows[0], rows[2], rows[3]]
+        assert secret_scan.redact(named).columns == named.columns

@@ -1,8 +1,11 @@
 """Exact dedup, quality rules, secret scans, packing, language ID, codec and rollups against plain versions."""
 
+import functools
 import hashlib
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -86,10 +89,62 @@ def test_quality_follows_labels(spark):
 
 
 def test_quality_is_native(docs):
-    plan = quality_rules.quality_counts(docs)._jdf.queryExecution().toString()
+    plan = quality_rules.quality_rules(docs)._jdf.queryExecution().toString()
+    plan += quality_rules.quality_counts(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def plain_kept(rows):
+    """(lang, source, text) rows to verdicts, by sorted lists in place of sketches."""
+    facts = []
+    for lang, source, t in rows:
+        t = t or ""
+        *base, failed = plain_quality(t)
+        words, chars, symbols, dup, repeat = base
+        n = {"n_words": words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat}
+        n["n_lines"] = sum(bool(WORD.search(x)) for x in t.split("\n"))
+        n["n_letters"], n["n_upper"] = sum(c.isalpha() for c in t), sum(unicodedata.category(c) == "Lu" for c in t)
+        n["n_marks"] = t.count("!") + t.count("?")
+        rates = {r: math.log1p(n[top]) if below is None else n[top] / n[below] if n[below] else 0.0 for r, (top, below, _) in quality_rules.RATES.items()}
+        facts.append(((lang, source), failed, n, rates))
+
+    def quantiles(rate, key):
+        own = sorted(f[3][rate] for f in facts if not f[1] and f[0][: len(key)] == key)
+        here = [own[max(0, math.ceil(p * len(own)) - 1)] for p in (quality_rules.OUTER, 0.5, 1 - quality_rules.OUTER)]
+        if not key:
+            return here
+        n, w = len(own), quality_rules.PARENT_ROWS
+        return [(n * a + w * b) / (n + w) for a, b in zip(here, quantiles(rate, key[:-1]), strict=True)]
+
+    fences = {(r, key): quantiles(r, key) for key in {f[0] for f in facts if not f[1]} for r in quality_rules.RATES}
+    for key, failed, n, rates in facts:
+        kept = not failed
+        for r, (top, below, two) in quality_rules.RATES.items() if kept else ():
+            low, mid, high = fences[r, key]
+            most, least = mid + quality_rules.REACH * (high - mid), max(0.0, mid - quality_rules.REACH * (mid - low))
+            if below is None:
+                kept &= least <= rates[r] <= most
+            else:
+                slack = lambda f: quality_rules.DEVIATIONS * math.sqrt(n[below] * f + 1)  # noqa: B023, E731
+                kept &= n[top] <= n[below] * most + slack(most) and (not two or n[top] >= n[below] * least - slack(least))
+        yield kept
+
+
+def test_quality_kept(docs, spark):
+    rows = docs.collect()
+    want = dict(zip([r["doc_id"] for r in rows], plain_kept([(r["lang"], r["source"], r["text"]) for r in rows]), strict=True))
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs).collect()}
+    assert sum(got[i] != want[i] for i in want) == 0
+    # A group that writes differently has fences of its own.
+    plain = " ".join(f"word{i}" for i in range(100))
+    marks = " ".join(f"word{i}" + "#" * (i % 3) for i in range(100))
+    frame = spark.createDataFrame(
+        [(i, plain, "en", "a") for i in range(400)] + [(1000 + i, marks, "en", "b") for i in range(400)] + [(2000, marks, "en", "a")], "doc_id long, text string, lang string, source string"
+    )
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(frame).collect()}
+    assert not kept[2000] and all(k for i, k in kept.items() if i != 2000)
+
+
 def plain_spans(t):
     found = []
     for kind, pattern, good in (
@@ -131,7 +186,41 @@ def test_secret_pairs(text, literal):
     assert spans == [literal]
 
 
-@pytest.mark.parametrize("text", ['password = "changeme"', 'title = "a8F3kLm29QzX77pT"', "The secret: we were late again", "token = null", "key: value", "monkey = banana split"])
+S = "a8F3kLm29QzX77pT"
+
+
+@pytest.mark.parametrize(
+    ("text", "literals"),
+    [
+        (f'password: str = "{S}"', [S]),
+        (f'password: Optional[str] = "{S}"', [S]),
+        (f'password: str | None = "{S}"', [S]),
+        (f'const password: string = "{S}"', [S]),
+        (f'var apiKey string = "{S}"', [S]),
+        (f'char password[] = "{S}";', [S]),
+        (f'db.password = K\nK = "{S}"', [S]),
+        ('secret = "a8F3kLm2" + "9QzX77pT"', ["a8F3kLm2", "9QzX77pT"]),
+        ('secret = ("a8F3kLm2"\n "9QzX77pT")', ["a8F3kLm2"]),
+        (f'signing_key = b"{S}"', [S]),
+        (f'api_key = """{S}"""', [S]),
+        (f'#define API_KEY "{S}"', [S]),
+        (f"<password>{S}</password>", [S]),
+        (f"set_secret('signing_key', '{S}')", [S]),
+        (f'set_password("{S}")', [S]),
+        (f'K = "hello"\nK = "{S}"\npassword = K', [S]),
+        (f'client_auth = "{S}"', [S]),
+        (f'config["password"] = "{S}"', [S]),
+        (f"'password' => '{S}',", [S]),
+        (f'A = "{S}"\nB = A\nC = B\nauth_token = C', [S]),
+        (f'a = b\nb = a\npassword = a\nb = "{S}"', [S]),
+        (f"# password = {S}", [S]),
+    ],
+)
+def test_secret_syntax(text, literals):
+    assert [text[a:b] for a, k, b in secret_scan.scan_text(text) if k == "pair"] == literals
+
+
+@pytest.mark.parametrize("text", [f'x = "{S}"', "set_secret('signing_key', name)", f'name = "{S}"\nother = name', 'password = "changeme"', 'title = "a8F3kLm29QzX77pT"', "The secret: we were late again", "token = null", "key: value", "monkey = banana split"])
 def test_no_secret_pairs(text):
     assert not [k for _, k, _ in secret_scan.scan_text(text) if k == "pair"]
 
@@ -174,7 +263,7 @@ def test_redact(spark):
 
 
 def test_secret_scan_is_linear_on_odd_texts():
-    for t in ("a" * 300_000, "a=" * 100_000, "x" + '"' * 200_000, "key=" + "'a\"" * 100_000, "password" + " " * 300_000, "f" * 300_000, "token " * 50_000):
+    for t in ("a" * 300_000, "a=" * 100_000, "x" + '"' * 200_000, "key=" + "'a\"" * 100_000, "password" + " " * 300_000, "f" * 300_000, "token " * 50_000, "password: " + "a|" * 100_000, "secret('" * 30_000, "token=K+" * 30_000, 'token="a" ' * 50_000, "secret " + "a[0]" * 50_000):
         secret_scan.scan_text(t)
 
 
@@ -200,21 +289,44 @@ ALPHABET = "ab c' \n\t\r\x0b\x0c\x1c\x85\xa0éÉßİıſK'sT12½²_-,.<|endoftex
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.text(alphabet=ALPHABET, max_size=40), min_size=1, max_size=4))
 def test_ids_are_the_librarys(texts):
-    for name, of in (("byte_bpe_50k.json", lambda x: [np.frombuffer(p, "<u4").tolist() for p in tokens.byte_bpe("byte_bpe_50k.json").packed(x)]), ("word_bpe_49k.json", lambda x: [i for i, _ in bpe_codec.word_bpe("word_bpe_49k.json").encode(x)])):
-        library = Tokenizer.from_file(tokens.tokenizer_file(name)) if name not in _libraries else _libraries[name]
-        _libraries[name] = library
-        library.no_truncation()
-        library.no_padding()
-        assert of(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for name, of in (("byte_bpe_50k.json", lambda own, x: [np.frombuffer(p, "<u4").tolist() for p in own.packed(x)]), ("word_bpe_49k.json", lambda own, x: [i for i, _ in own.encode(x)])):
+        own, library = both_of(name)
+        assert of(own, texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
 
+@functools.cache
+def both_of(name):
+    """The operator's encoder of a file, with small leaves and caches, and the library's."""
+    path = tokens.tokenizer_file(name)
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return tokens.ByteBpe(path, 50) if name.startswith("byte") else bpe_codec.WordBpe(path, 50, 7), library
 
-_libraries: dict = {}
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["'s", "'", "s", "don't", " ", "\n", "1", "22", ",", "...", "é", "É", "漢", "the", "ing", "\xa0", "<|endoftext|>", "x" * 9]), max_size=30), st.integers(1, 12))
+def test_text_tree_is_exact(parts, leaf):
+    """Leaves cut anywhere, also inside a pre-token, a word or a special token."""
+    own, library = both_of("word_bpe_49k.json")
+    own.leaf = leaf
+    t = "".join(parts)
+    [(ids, decoded)] = own.encode([t])
+    assert ids == library.encode(t, add_special_tokens=False).ids
+    assert decoded == library.decode(ids, skip_special_tokens=False)
+
+
+def test_trees_are_the_main_path(texts):
+    own = bpe_codec.WordBpe(tokens.tokenizer_file("word_bpe_49k.json"))
+    long = [t for t in texts.values() if len(t) > bpe_codec.TEXT_LEAF]
+    own.encode(long)
+    assert len(long) > 100 and own.joins == sum(-(-len(t) // bpe_codec.TEXT_LEAF) - 1 for t in long)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abetho", min_size=1, max_size=300), st.integers(1, 40))
 def test_tree_is_exact(run, leaf):
-    bpe = bpe_codec.word_bpe("word_bpe_49k.json")
+    bpe, _ = both_of("word_bpe_49k.json")
     assert bpe.tree.encode(run, leaf) == bpe.tokenizer.encode(run, add_special_tokens=False).ids
 
 
@@ -270,6 +382,11 @@ def test_pack(edge, docs, texts, none, bytes_library):
     assert packing.pack(none).count() == 0
 
 
+def test_padding_is_small(docs):
+    total = packing.pack(docs).agg({"length": "sum", "sequence_id": "max"}).head()
+    assert total["max(sequence_id)"] + 1 <= 1.01 * total["sum(length)"] / 2048 + 2
+
+
 def test_sequences(docs):
     packed = packing.pack(docs, with_ids=True)
     made = packing.sequences(packed).collect()
@@ -278,7 +395,8 @@ def test_sequences(docs):
 
 
 def test_salted_ranks(docs, monkeypatch):
-    monkeypatch.setattr(packing, "RANKED_ROWS", 3)
+    monkeypatch.setattr(packing, "LEAST_RANKED", 1)
+    monkeypatch.setattr(packing, "MOST_RANKED", 3)
     got = packing.pack(docs).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
 
@@ -316,6 +434,19 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_long_words_are_summed_whole():
+    pieces = {"▁": 0, "a": 1, "aa": 2, "ab": 3, "b": 4}
+    random.seed(4)
+    table = np.random.default_rng(1).random((len(pieces) + 2, 3)) * 0.2
+    table[-1] = 0
+    trie = language_id.Trie(pieces)
+    for n in (1, 2, 7, 40, 300):
+        w = "▁" + "".join(random.choice("abc") for _ in range(n))
+        assert np.allclose(language_id.long_forward(w, table, trie), language_id.forward([w], {}, table, trie)[0])
+    got = language_id.long_forward("ab" * 50_000, table, trie)
+    assert np.isfinite(got).all() and (got < -10_000).all()
+
+
 def test_language_edges(edge, docs, none):
     model = language_id.fit(docs, "doc_id", "text", "lang")
     got = language_id.predict(edge, model).collect()
@@ -360,6 +491,27 @@ def test_rollup_batches(spark):
         assert got == {k: (n, sum(s[3] for s in state.values() if s and s[:3] == k)) for k, n in want.items()}
 
 
+def test_rollup_query_equals_a_recount(spark, docs, bytes_library):
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in queries.op10_token_counts(spark, "/root/testdata/sf0.01").collect()}
+    want = defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        own = want[r["source"], r["lang"], "byte_bpe_50k/1"]
+        own[0] += 1
+        own[1] += len(bytes_library.encode(r["text"] or "", add_special_tokens=False).ids)
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
+def test_rollup_compacts_its_ledger(spark, monkeypatch):
+    monkeypatch.setattr(token_rollup, "COMPACT_EVERY", 2)
+    rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "compact"))
+    for n in range(5):
+        rows = [("insert", 0, f"doc{n}", "t/1", "a", "en", 5), ("delete", 0, f"doc{n - 1}", "t/1", "a", "en", None), ("revise", 0, "kept", "t/1", "a", "en", n)]
+        rollup.commit(f"b{n}", spark.createDataFrame(rows, CHANGE.replace("doc_id long", "doc_id string")))
+        assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "t/1", 2, 5 + n)]
+    assert rollup._base(5) == 4 and rollup._base(3) == 2
+    assert {(r["doc_id"], r["n_tokens"]) for r in rollup.ledger().filter("live").collect()} == {("doc4", 5), ("kept", 4)}
+
+
 def test_rollup_survives_a_broken_batch(spark):
     path = scratch_path(spark, "broken")
     rollup = token_rollup.TokenRollup(spark, path)

@@ -89,8 +89,11 @@ def test_edges(spark, edge, docs, none):
     assert len(got) == len(EDGE) and all(0 <= r["score"] <= 1 for r in got)
     assert {r["score"] for r in got if r["doc_id"] in (1, 2, 3)} == {model.score(0.0)} and model.score(0.0) < 0.5
     assert toxicity.score_toxicity(none, model).count() == 0
-    for empty in (toxicity.fit(none, labels), toxicity.fit(docs, labels.limit(0))):
-        assert {r["score"] for r in toxicity.score_toxicity(edge, empty).collect()} == {0.5}
+    n1, n = labels.filter("toxic = 1").count(), labels.count()
+    one = labels.filter("toxic = 0")
+    for empty, prior in ((toxicity.fit(none, labels), (n1 + 0.5) / (n + 2)), (toxicity.fit(docs, labels.limit(0)), 0.25), (toxicity.fit(docs, one), 0.5 / (n - n1 + 2))):
+        (score,) = {r["score"] for r in toxicity.score_toxicity(edge, empty).collect()}
+        assert score == pytest.approx(prior)
 
 
 def test_passages_are_code_points(spark):
