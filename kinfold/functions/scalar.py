@@ -120,6 +120,16 @@ def full_name(*parts: Column | str) -> Column:
     return F.concat_ws(" ", *[present(p) for p in parts])
 
 
+# How salutations are written out.
+SALUTATIONS = {"mr": "Mr.", "mrs": "Mrs.", "ms": "Ms.", "dr": "Dr.", "prof": "Prof."}
+
+
+def display_name(salutation: Column | str, preferred: Column | str, first: Column | str, last: Column | str) -> Column:
+    """The preferred name, or salutation, first and last name."""
+    known = F.create_map(*[F.lit(x) for kv in SALUTATIONS.items() for x in kv])
+    return F.coalesce(present(preferred), F.concat_ws(" ", F.try_element_at(known, F.lower(F.regexp_replace(present(salutation), r"\.$", ""))), present(first), present(last)))
+
+
 def full_address(*parts: Column | str) -> Column:
     return F.concat_ws(", ", *[present(p) for p in parts])
 
@@ -197,10 +207,23 @@ def record_key(external_id: Column, source_id: Column, sequence: Column, row_id:
     return F.coalesce(present(external_id), present(source_id), F.concat(F.lit("seq-"), sequence.cast("string")), F.concat(F.lit("row-"), row_id.cast("string")))
 
 
+def canonical_json(columns: dict[str, Column]) -> Column:
+    """A JSON object with sorted keys that keeps nulls."""
+    return F.to_json(F.struct(*[columns[n].alias(n) for n in sorted(columns)]), {"ignoreNullFields": "false"})
+
+
+#: Parts of a payload that change with every export, so that a hash over them would never stay the same.
+VOLATILE = ("source_modstamp", "source_last_modified")
+
+
+def payload_hash(columns: dict[str, Column], leave_out: tuple[str, ...] = ()) -> Column:
+    """SHA-256 of the canonical JSON, without the fields that are left out (VOLATILE for affiliations)."""
+    return F.sha2(canonical_json({n: c for n, c in columns.items() if n not in leave_out}).cast("binary"), 256)
+
+
 def checksum(columns: dict[str, Column]) -> Column:
-    """SHA-256 of the fields in name order, nulls kept apart from blanks."""
-    tagged = [F.coalesce(F.concat(F.lit(f"{n}=v"), columns[n].cast("string")), F.lit(f"{n}=n")) for n in sorted(columns)]
-    return F.sha2(F.concat_ws("\x1f", *tagged).cast("binary"), 256)
+    """SHA-256 of the canonical JSON of the fields as text."""
+    return payload_hash({n: c.cast("string") for n, c in columns.items()})
 
 
 def title_case(c: Column | str) -> Column:
@@ -237,3 +260,89 @@ def temporal_state(start: Column, end: Column, deadline: Column, now: Column) ->
 
 def contactable(do_not_contact: Column, do_not_use: Column) -> Column:
     return ~(F.coalesce(do_not_contact, F.lit(False)) | F.coalesce(do_not_use, F.lit(False)))
+
+
+def can_contact(method: str, do_not_contact: Column, do_not_use: Column, do_not_email: Column, do_not_call: Column, has_email: Column, has_phone: Column) -> Column:
+    """Whether a person may and can be reached by "email" or "phone"; a general refusal wins over all."""
+    flag, has = {"email": (do_not_email, has_email), "phone": (do_not_call, has_phone)}[method]
+    return contactable(do_not_contact, do_not_use) & ~F.coalesce(flag, F.lit(False)) & F.coalesce(has, F.lit(False))
+
+
+def in_person(do_not_contact: Column, do_not_use: Column, local: Column) -> Column:
+    """Whether a person may be asked to come: contactable and not marked as living elsewhere."""
+    return contactable(do_not_contact, do_not_use) & ~local.eqNullSafe(F.lit("non_local"))
+
+
+def jsonish(c: Column | str) -> Column:
+    """Text that spells an object, with double or single quotes, as a map; null for other text."""
+    t = present(c)
+    return F.when(t.startswith("{"), F.from_json(t, "map<string,string>", {"allowSingleQuotes": "true"}))
+
+
+def extract_value(c: Column | str, kinds: tuple[str, ...]) -> Column:
+    """The first value that is there of an object given as text, else the trimmed text itself."""
+    found = jsonish(c)
+    return F.when(found.isNotNull(), F.coalesce(*[present(F.try_element_at(found, F.lit(k))) for k in kinds])).otherwise(present(c))
+
+
+# Kinds of addresses and numbers in the order in which one is picked.
+EMAIL_KINDS = ("primary", "home", "work", "alternate")
+PHONE_KINDS = ("primary", "mobile", "home", "work")
+
+
+def extract_email(c: Column | str) -> Column:
+    return F.lower(extract_value(c, EMAIL_KINDS))
+
+
+def extract_phone(c: Column | str) -> Column:
+    return extract_value(c, PHONE_KINDS)
+
+
+def pick_email(emails: dict[str, Column]) -> Column:
+    return F.lower(first_present(*[emails[k] for k in EMAIL_KINDS if k in emails]))
+
+
+def pick_phone(phones: dict[str, Column]) -> Column:
+    return first_present(*[phones[k] for k in PHONE_KINDS if k in phones])
+
+
+def enum_or(c: Column | str, values: tuple[str, ...], default: str | None = None) -> Column:
+    """The value that equals the text but for case, else the default; null and blank text stay null without one."""
+    return F.coalesce(enum_match(c, values), F.lit(default))
+
+
+def parse_timestamp_or(c: Column | str, now: Column) -> Column:
+    """parse_timestamp, with a given moment for text that is none."""
+    return F.coalesce(parse_timestamp(c), now)
+
+
+def filter_date(c: Column | str, end_of_day: bool = False) -> Column:
+    """A filter's bound: ISO date-time, or a date in one of three forms, which as an upper bound means the day's end."""
+    t = present(c)
+    day = F.coalesce(*[F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(form))) for shape, form in (("^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "yyyy-MM-dd"), ("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"))])
+    if end_of_day:
+        day = day + F.expr("interval '23:59:59.999999' hour to second")
+    return F.coalesce(day, F.when(t.contains("T") | t.contains(":"), t.try_cast("timestamp")))
+
+
+def to_list(lists: Column | str | None, text: Column | str | None = None) -> Column:
+    """Values of an array column and of separated text as one flat list of non-blank ones."""
+    none = F.array().cast("array<string>")
+    own = F.coalesce(column(lists), none) if lists is not None else none
+    return F.concat(F.filter(F.transform(own, lambda x: F.trim(x)), lambda x: x != ""), flatten_list(text) if text is not None else none)
+
+
+def duplicate_message(kind: Column, value: Column) -> Column:
+    """What a skipped duplicate says."""
+    return F.when(kind == "email", F.concat(F.lit("Duplicate email address: "), value)).when(kind == "name", F.concat(F.lit("Duplicate name: "), value)).when(kind == "fuzzy", F.concat(F.lit("Similar name: "), value)).otherwise(F.lit("Duplicate record"))
+
+
+def compose_notes(department: Column | str, description: Column | str, skills: Column | str) -> Column:
+    """A description takes the place of the department's line; skills come after, on a line of their own."""
+    head = F.coalesce(present(description), F.concat(F.lit("Department: "), present(department)))
+    return F.nullif(F.concat_ws("\n", head, F.concat(F.lit("Skills: "), present(skills))), F.lit(""))
+
+
+def hours_in_range(day: Column, first: Column, last: Column) -> Column:
+    """Whether logged hours count for a range of days; an open end takes all."""
+    return F.coalesce(first.isNull() | (day >= first), F.lit(True)) & F.coalesce(last.isNull() | (day <= last), F.lit(True))

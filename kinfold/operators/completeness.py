@@ -67,3 +67,35 @@ def with_status(fields: DataFrame) -> DataFrame:
 def enabled(fields: list[str], disabled: set[str]) -> list[str]:
     """Fields that the configuration leaves in, pruned before anything is computed."""
     return [f for f in fields if f not in disabled]
+
+
+# The fields of each entity that count as its key metrics.
+KEY_METRICS = {"contact": ("email", "phone", "address"), "organization": ("email", "phone", "address"), "affiliation": ("contact_id", "organization_id", "is_primary")}
+
+
+def key_metrics(fields: DataFrame, key: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(entity, metrics: field -> percent) of each entity's key fields; entities without such have all theirs."""
+    listed = KEY_METRICS if key is None else key
+    wanted = F.lit(False)
+    for entity, names in listed.items():
+        wanted = wanted | ((F.col("entity") == entity) & F.col("field").isin(*names))
+    rows = fields.filter(wanted | ~F.col("entity").isin(*listed))
+    return rows.groupBy("entity").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "percent")))).alias("metrics"))
+
+
+def link_counts(links: DataFrame) -> DataFrame:
+    """Of affiliations: all, those without an end, and primary ones."""
+    return links.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("end_date").isNull()).alias("active"), F.count_if(F.coalesce("is_primary", F.lit(False))).alias("primary"))
+
+
+def checked_config(disabled: dict[str, list[str]], known: dict[str, list[str]]) -> dict[str, set[str]]:
+    """A configuration of disabled fields by entity; unknown entities and fields are errors."""
+    wrong = [f"{e}.{f}" for e, fields in disabled.items() for f in fields if f not in known.get(e, ())] + [e for e in disabled if e not in known]
+    if wrong:
+        raise ValueError(f"unknown in the configuration: {wrong}")
+    return {e: set(disabled.get(e, ())) for e in known}
+
+
+def display_config(known: dict[str, list[str]], disabled: dict[str, set[str]]) -> dict[str, list[dict]]:
+    """Each entity's fields with a readable name and whether they are shown."""
+    return {e: [{"field": f, "label": f.replace("_", " ").title(), "enabled": f not in disabled.get(e, set())} for f in fields] for e, fields in known.items()}

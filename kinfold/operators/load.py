@@ -6,22 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.scalar import parse_birthdate, present
-from kinfold.operators.materialize import cut
+from kinfold.functions.similarity import jaro_winkler
+from kinfold.operators.materialize import cut, scratch_path
+from kinfold.operators.ranking import number_within
 
 #: Kinds of keys by which a row can meet an earlier one.
 KINDS = ("mail", "phone", "name")
 
 
+#: Names this alike count as the same person while loading.
+NEAR_NAME = 0.95
+NO_CHANGE = {"updated": "skipped_no_change", "deterministic_update": "deterministic_no_change"}
+
+
 def _keys(rows: DataFrame, ident: str) -> DataFrame:
     """(ident, kind, value) of all keys that are there."""
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in KINDS])
     return rows.select(ident, F.explode(pairs).alias("k")).select(ident, "k.*").filter("value is not null")
 
 
-def _settle(ready: DataFrame, core_keys: DataFrame) -> DataFrame:
+def near_names(clean: DataFrame, core: DataFrame, least: float = NEAR_NAME) -> DataFrame:
+    """(name, near): different names of both sides alike enough, of one last name and first initial.
+
+    Each distinct name is compared once with those of its block. Without a column `last` on both sides there are none.
+    """
+    if "last" not in clean.columns or "last" not in core.columns:
+        return clean.select("name", F.col("name").alias("near")).limit(0)
+    names = clean.select("name", "last").unionByName(core.select("name", "last")).filter("name is not null and last is not null").distinct()
+    names = names.withColumn("initial", F.substring("name", 1, 1))
+    mine = names.join(clean.select("name").distinct(), "name", "left_semi")
+    pairs = mine.join(names.withColumnRenamed("name", "near"), ["last", "initial"]).filter("name <> near")
+    return pairs.filter(jaro_winkler("name", "near") >= least).select("name", "near").distinct()
+
+
+def _settle(ready: DataFrame, core_keys: DataFrame, probes: DataFrame) -> DataFrame:
     """The decision of rows whose keys no undecided earlier row can change any more."""
-    met = _keys(ready, "clean_id").join(core_keys, ["kind", "value"]).groupBy("clean_id", "person_id").agg(
-        F.max((F.col("kind") == "mail").cast("int")).alias("m"), F.max((F.col("kind") == "phone").cast("int")).alias("p"), F.max((F.col("kind") == "name").cast("int")).alias("n")
+    met = probes.join(ready.select("clean_id"), "clean_id", "left_semi").join(core_keys, ["kind", "value"]).groupBy("clean_id", "person_id").agg(
+        *[F.max((F.col("as_kind") == k).cast("int")).alias(k[0]) for k in (*KINDS, "fuzzy")]
     )
     both = F.col("m") + F.col("p")
     found = met.groupBy("clean_id").agg(
@@ -32,58 +53,125 @@ def _settle(ready: DataFrame, core_keys: DataFrame) -> DataFrame:
         F.min(F.when(both > 0, F.col("person_id"))).alias("contact_id"),
         F.min(F.when(F.col("m") == 1, F.col("person_id"))).alias("mail_id"),
         F.min(F.when(F.col("n") == 1, F.col("person_id"))).alias("name_id"),
+        F.min(F.when(F.col("f") == 1, F.col("person_id"))).alias("near_id"),
     )
     done = ready.join(found, "clean_id", "left").fillna(0, ["n_mail", "n_phone", "n_both"])
     one = ((F.col("n_phone") == 0) & (F.col("n_mail") == 1)) | ((F.col("n_mail") == 0) & (F.col("n_phone") == 1))
     match = F.when(F.col("n_both") == 1, F.col("both_id")).when((F.col("n_both") == 0) & one, F.col("contact_id"))
     ambiguous = match.isNull() & (F.col("n_mail") + F.col("n_phone") > 0)
-    action = F.when(match.isNotNull(), "deterministic_update").when((F.col("n_mail") > 0) | F.col("name_id").isNotNull(), "skipped_duplicate").otherwise("inserted")
-    reason = F.when(match.isNull() & (F.col("n_mail") > 0), "DUPLICATE_EMAIL").when(match.isNull() & F.col("name_id").isNotNull(), "DUPLICATE_NAME")
-    entity = F.coalesce(match, F.when(F.col("n_mail") > 0, F.col("mail_id")), F.col("name_id"))
-    return done.select(*ready.columns, action.alias("load_action"), reason.alias("skip_reason"), entity.alias("entity_id"), ambiguous.alias("ambiguous"))
+    first = lambda hit, mail, name, near, other: F.when(match.isNotNull(), hit).when(F.col("n_mail") > 0, mail).when(F.col("name_id").isNotNull(), name).when(F.col("near_id").isNotNull(), near).otherwise(other)
+    none = F.lit(None)
+    action = first(F.lit("deterministic_update"), F.lit("skipped_duplicate"), F.lit("skipped_duplicate"), F.lit("skipped_duplicate_fuzzy"), F.lit("inserted"))
+    reason = first(none, F.lit("DUPLICATE_EMAIL"), F.lit("DUPLICATE_NAME"), F.lit("DUPLICATE_FUZZY"), none)
+    entity = first(match, F.col("mail_id"), F.col("name_id"), F.col("near_id"), none)
+    return done.select(*ready.columns, action.alias("load_action"), reason.cast("string").alias("skip_reason"), entity.alias("entity_id"), ambiguous.alias("ambiguous"))
 
 
-def decide_loads(clean: DataFrame, core: DataFrame, id_map: DataFrame, most_rounds: int = 100) -> DataFrame:
+def decide_loads(clean: DataFrame, core: DataFrame, id_map: DataFrame, least_near: float = NEAR_NAME) -> DataFrame:
     """clean with load_action, skip_reason, entity_id and ambiguous.
 
-    clean: clean_id, external_system, external_id, mail, phone, name (normalised). core: person_id, mail, phone, name.
-    id_map: external_system, external_id, entity_id, is_active. Rows are taken in the order of clean_id and see what
-    earlier rows of the run inserted. A row is decided once each of its keys is in the core (then no later row can be
-    inserted under it) or is held by no undecided earlier row, so a key of many rows takes two rounds. Inserted rows
-    get entity ids after the core's largest, by clean_id. Names are compared exactly here; similar names of different
-    people go to the candidates operator.
+    clean: clean_id, external_system, external_id, mail, phone, name (normalised) and, for similar names, last. core:
+    person_id, mail, phone, name, last. id_map: external_system, external_id, entity_id, is_active. Rows are taken in
+    the order of clean_id and see what earlier rows of the run inserted or added to a person of the same name. A row is
+    decided once each of its keys is in the core (then no later row can be inserted under it) or is held by no
+    undecided earlier row, so a key of many rows takes two rounds; rows that hang together by a chain of different keys
+    take a round a link, without a limit. Each round writes the rows that it decides and appends their keys. Inserted
+    rows get entity ids after the core's largest, by clean_id.
     """
+    spark = clean.sparkSession
     known = id_map.select("external_system", "external_id", F.col("entity_id").alias("mapped"), "is_active")
     judged = clean.join(known, ["external_system", "external_id"], "left").select(*clean.columns, "mapped", "is_active")
     none = F.lit(None)
     first = F.when(present("external_id").isNull(), "error_missing_external_id").when(F.col("is_active"), "updated").when(F.col("mapped").isNotNull(), "reactivated")
-    judged = judged.withColumn("load_action", first)
+    judged = cut(judged.withColumn("load_action", first), "judged")
     fixed = judged.filter("load_action is not null").select(
         *clean.columns, "load_action", none.cast("string").alias("skip_reason"), F.when(F.col("load_action") != "error_missing_external_id", F.col("mapped")).alias("entity_id"), F.lit(False).alias("ambiguous")
     )
-    base = core.agg(F.coalesce(F.max("person_id"), F.lit(0))).head()[0]
-    waiting = cut(judged.filter("load_action is null").select(*clean.columns), "waiting")
-    core_keys = cut(_keys(core, "person_id").distinct(), "core_keys")
-    out = [fixed]
-    for _ in range(most_rounds):
-        if waiting.isEmpty():
-            break
-        own = _keys(waiting, "clean_id")
-        free = own.join(core_keys.select("kind", "value").distinct(), ["kind", "value"], "left_anti")
-        least = free.groupBy("kind", "value").agg(F.min("clean_id").alias("first_id"))
+    base = core.agg(F.coalesce(F.max("person_id"), F.lit(0)).cast("long")).head()[0]
+    waiting = judged.filter("load_action is null").select(*clean.columns)
+    own = _keys(waiting, "clean_id")
+    near = waiting.join(near_names(waiting, core, least_near), "name").select("clean_id", F.lit("name").alias("kind"), F.col("near").alias("value"), F.lit("fuzzy").alias("as_kind"))
+    probes = cut(own.withColumn("as_kind", F.col("kind")).unionByName(near), "probes")
+    keys_at, out_at = scratch_path(spark, "core_keys"), scratch_path(spark, "settled")
+    _keys(core, "person_id").distinct().write.parquet(keys_at)
+    read_keys = lambda: spark.read.schema("person_id long, kind string, value string").parquet(keys_at)
+    rounds = 0
+    while not waiting.isEmpty():
+        core_keys = read_keys()
+        here = probes.join(waiting.select("clean_id"), "clean_id", "left_semi") if rounds else probes
+        free = here.join(core_keys.select("kind", "value").distinct(), ["kind", "value"], "left_anti")
+        least = free.filter("as_kind <> 'fuzzy'").groupBy("kind", "value").agg(F.min("clean_id").alias("first_id"))
         held = free.join(least, ["kind", "value"]).filter("clean_id > first_id").select("clean_id").distinct()
-        settled = cut(_settle(waiting.join(held, "clean_id", "left_anti"), core_keys), "settled")
+        settled = _settle(waiting.join(held, "clean_id", "left_anti"), core_keys, probes)
         settled = settled.withColumn("entity_id", F.coalesce("entity_id", F.when(F.col("load_action") == "inserted", F.col("clean_id") + base)))
-        out.append(settled)
+        settled.write.mode("append").parquet(f"{out_at}/round={rounds}")
+        settled = spark.read.schema(settled.schema).parquet(f"{out_at}/round={rounds}")
         new = settled.filter("load_action = 'inserted'").withColumn("person_id", F.col("entity_id"))
-        core_keys = cut(core_keys.unionByName(_keys(new, "person_id")).distinct(), "core_keys")
+        added = settled.filter("skip_reason = 'DUPLICATE_NAME' and mail is not null").select(F.col("entity_id").alias("person_id"), F.lit("mail").alias("kind"), F.col("mail").alias("value"))
+        _keys(new, "person_id").unionByName(added).distinct().write.mode("append").parquet(keys_at)
         waiting = cut(waiting.join(settled.select("clean_id"), "clean_id", "left_anti"), "waiting")
-    else:
-        raise RuntimeError("rows of the run could not be ordered")
-    both = out[0]
-    for part in out[1:]:
-        both = both.unionByName(part)
-    return both
+        rounds += 1
+    if not rounds:
+        return fixed
+    done = spark.read.schema(fixed.schema).option("basePath", out_at).parquet(*[f"{out_at}/round={r}" for r in range(rounds)])
+    return fixed.unionByName(done.select(*fixed.columns))
+
+
+def apply_updates(loaded: DataFrame, core: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(loaded with no-change actions, core after, change log) of the rows that meet a person of the core.
+
+    loaded: clean_id, entity_id, load_action, external_system, the fields and, if there are any, manual (a map of fields
+    to values that a steward set). core: person_id, source, email_verified and the fields. Of each field the manual
+    value wins, then a verified e-mail of the core, then the incoming value, then the core's own; blanks never clear
+    anything. Several rows of one person are applied in the order of clean_id, each against what the ones before left.
+    """
+    hits = loaded.filter(F.col("load_action").isin("updated", "reactivated", "deterministic_update"))
+    manual = (lambda f: F.try_element_at("manual", F.lit(f))) if "manual" in loaded.columns else (lambda f: F.lit(None).cast("string"))
+    was = core.select(F.col("person_id").alias("entity_id"), F.struct("source", F.coalesce("email_verified", F.lit(False)).alias("email_verified"), *fields).alias("was"))
+    rows = hits.join(was, "entity_id")
+    before = Window.partitionBy("entity_id").orderBy("clean_id").rowsBetween(Window.unboundedPreceding, -1)
+    state, rules = {}, {}
+    for f in (*fields, "source"):
+        incoming = F.col("external_system") if f == "source" else F.coalesce(present(manual(f)), F.when(F.col("was.email_verified") & F.col("was.email").isNotNull(), None).otherwise(present(f)) if f == "email" else present(f))
+        rules[f] = incoming
+        state[f] = F.coalesce(F.last(F.col(f"in_{f}"), True).over(before), F.col(f"was.{f}"))
+    rows = rows.withColumns({f"in_{f}": c for f, c in rules.items()})
+    rows = rows.withColumns({f"old_{f}": c for f, c in state.items()})
+    changed = [
+        F.when(F.col(f"in_{f}").isNotNull() & ~F.col(f"in_{f}").eqNullSafe(F.col(f"old_{f}")), F.struct(F.lit(f).alias("field"), F.col(f"old_{f}").alias("old_value"), F.col(f"in_{f}").alias("new_value"))) for f in rules
+    ]
+    rows = cut(rows.select("clean_id", "entity_id", *[f"in_{f}" for f in rules], F.array_compact(F.array(*changed)).alias("changes")), "applied")
+    log = rows.select("clean_id", "entity_id", F.explode("changes").alias("c")).select("clean_id", "entity_id", "c.*")
+    quiet = rows.filter(F.size("changes") == 0).select("clean_id", F.lit(True).alias("quiet"))
+    same = F.create_map(*[F.lit(x) for kv in NO_CHANGE.items() for x in kv])
+    judged = loaded.join(quiet, "clean_id", "left").withColumn("load_action", F.when(F.col("quiet"), F.coalesce(same[F.col("load_action")], F.col("load_action"))).otherwise(F.col("load_action"))).select(*loaded.columns)
+    last = rows.groupBy(F.col("entity_id").alias("person_id")).agg(*[F.max_by(f"in_{f}", F.when(F.col(f"in_{f}").isNotNull(), F.col("clean_id"))).alias(f"in_{f}") for f in rules])
+    after = core.join(last, "person_id", "left")
+    reset = F.when(F.col("in_email").isNotNull() & ~F.col("in_email").eqNullSafe(F.col("email")), False).otherwise(F.col("email_verified"))
+    new = {f: F.coalesce(f"in_{f}", f) for f in rules} | {"email_verified": reset}
+    return judged, after.select(*[new[c].alias(c) if c in new else F.col(c) for c in core.columns]), log
+
+
+def added_emails(loaded: DataFrame, emails: DataFrame) -> DataFrame:
+    """(entity_id, email, is_primary): addresses that rows of a known name add to their person; primary only where there is none."""
+    new = loaded.filter("skip_reason = 'DUPLICATE_NAME' and mail is not null").groupBy("entity_id", F.col("mail").alias("email")).agg(F.min("clean_id").alias("clean_id"))
+    new = new.join(emails.select("entity_id", F.lower("email").alias("email")).distinct(), ["entity_id", "email"], "left_anti")
+    has = emails.groupBy("entity_id").agg(F.bool_or("is_primary").alias("has"))
+    firsts = new.groupBy("entity_id").agg(F.min_by("email", F.struct("clean_id", "email")).alias("first_email"))
+    both = new.join(has, "entity_id", "left").join(firsts, "entity_id")
+    return both.select("entity_id", "email", (~F.coalesce("has", F.lit(False)) & (F.col("email") == F.col("first_email"))).alias("is_primary"))
+
+
+# The counters of a load and the actions that each one counts.
+COUNTERS = {
+    "rows_created": ("inserted",),
+    "rows_updated": ("updated", "deterministic_update"),
+    "rows_reactivated": ("reactivated",),
+    "rows_skipped_no_change": ("skipped_no_change", "deterministic_no_change"),
+    "rows_skipped_duplicates": ("skipped_duplicate", "skipped_duplicate_fuzzy"),
+    "rows_deduped_auto": ("deterministic_update", "deterministic_no_change"),
+    "rows_missing_external_id": ("error_missing_external_id",),
+}
 
 
 def summary(loaded: DataFrame) -> DataFrame:
@@ -91,6 +179,24 @@ def summary(loaded: DataFrame) -> DataFrame:
     return loaded.groupBy("load_action").agg(F.count(F.lit(1)).alias("n"))
 
 
+def load_summary(loaded: DataFrame, dry_run: bool = False) -> DataFrame:
+    """One row: rows processed, each counter, and how many different addresses were duplicates.
+
+    A dry run creates nothing: it counts what would be inserted as potential inserts.
+    """
+    of = {name: F.count_if(F.col("load_action").isin(*actions)) for name, actions in COUNTERS.items()}
+    potential = of["rows_created"]
+    if dry_run:
+        of["rows_created"] = F.lit(0).cast("long")
+    extra = F.count_distinct(F.when(F.col("skip_reason") == "DUPLICATE_EMAIL", F.col("mail"))).alias("duplicate_emails")
+    return loaded.agg(F.count(F.lit(1)).alias("rows_processed"), *[c.alias(n) for n, c in of.items()], potential.alias("potential_inserts"), extra)
+
+
+def duplicate_emails(loaded: DataFrame) -> DataFrame:
+    """The addresses that made rows duplicates, and of how many rows."""
+    return loaded.filter("skip_reason = 'DUPLICATE_EMAIL'").groupBy("mail").agg(F.count(F.lit(1)).alias("n"))
+
+
 def new_id_map(loaded: DataFrame, id_map: DataFrame, seen_at: Column) -> DataFrame:
     """The id map after a run: seen entries are active again and stamped, inserted and name-linked rows get entries."""
     key = ["external_system", "external_id"]
@@ -101,14 +207,25 @@ def new_id_map(loaded: DataFrame, id_map: DataFrame, seen_at: Column) -> DataFra
     return kept.unionByName(added.select(*key, "entity_id", F.lit(True).alias("is_active"), seen_at.alias("first_seen_at"), seen_at.alias("last_seen_at")))
 
 
+# What a skip says of its row.
+SKIP_TEXT = {"DUPLICATE_EMAIL": "Duplicate email address", "DUPLICATE_NAME": "Duplicate name", "DUPLICATE_FUZZY": "Similar name"}
+
+
 def skips(loaded: DataFrame) -> DataFrame:
-    return loaded.filter("skip_reason is not null").select("clean_id", F.col("skip_reason").alias("skip_type"), "entity_id")
+    """One row for each skipped one: type, a message with what it met, the key "name (mail)"."""
+    text = F.create_map(*[F.lit(x) for kv in SKIP_TEXT.items() for x in kv])[F.col("skip_reason")]
+    met = F.when(F.col("skip_reason") == "DUPLICATE_EMAIL", F.col("mail")).otherwise(F.concat(F.col("name"), F.lit(" (matched person "), F.col("entity_id").cast("string"), F.lit(")")))
+    key = F.when((F.col("skip_reason") == "DUPLICATE_EMAIL") & F.col("mail").isNotNull(), F.concat(F.coalesce("name", F.lit("")), F.lit(" ("), F.col("mail"), F.lit(")"))).otherwise(F.col("name"))
+    return loaded.filter("skip_reason is not null").select("clean_id", F.col("skip_reason").alias("skip_type"), F.concat(text, F.lit(": "), met).alias("skip_reason"), key.alias("record_key"), "entity_id")
 
 
 def load_suggestions(loaded: DataFrame) -> DataFrame:
-    """Automatic merges (score 1) and ambiguous rows for review (no primary, no score)."""
-    auto = loaded.filter("load_action = 'deterministic_update'").select("clean_id", F.col("entity_id").alias("primary_id"), F.lit(1.0).alias("score"), F.lit("auto_merged").alias("decision"))
-    return auto.unionByName(loaded.filter("ambiguous").select("clean_id", F.lit(None).cast("long").alias("primary_id"), F.lit(None).cast("double").alias("score"), F.lit("pending").alias("decision")))
+    """Automatic merges (score 1), similar names (score 0.95) and ambiguous rows for review (no primary, no score)."""
+    row = lambda f, primary, score, kind, decision: f.select("clean_id", primary.cast("long").alias("primary_id"), F.lit(score).cast("double").alias("score"), F.lit(kind).alias("match_type"), F.lit(decision).alias("decision"))
+    none, person = F.lit(None), F.col("entity_id")
+    auto = row(loaded.filter(F.col("load_action").isin("deterministic_update", "deterministic_no_change")), person, 1.0, "deterministic", "auto_merged")
+    near = row(loaded.filter("load_action = 'skipped_duplicate_fuzzy'"), person, NEAR_NAME, "fuzzy_name", "pending")
+    return auto.unionByName(near).unionByName(row(loaded.filter("ambiguous"), none, None, "ambiguous", "pending"))
 
 
 def created_tables(inserted: DataFrame) -> dict[str, DataFrame]:
@@ -161,20 +278,45 @@ def single_primary(rows: DataFrame, owner: str, *newest_first: Column) -> DataFr
     return rows.withColumn("is_primary", F.row_number().over(Window.partitionBy(owner).orderBy(*newest_first)) == 1)
 
 
-def pick_by_preference(rows: DataFrame, owner: str, kind: str, preferred: Column, order: str) -> DataFrame:
-    """One row per owner: of the preferred kind if there is one, else the first; repeated values count once before."""
-    w = Window.partitionBy(owner).orderBy((F.lower(kind) == F.lower(preferred)).desc_nulls_last(), order)
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def pick_by_preference(rows: DataFrame, owner: str, kind: str, preferred: Column, order: str, value: str) -> DataFrame:
+    """The different values of each owner with is_primary: of the preferred kind if there is one, else the first by order.
+
+    Of repeated values the first by order stays. Two aggregates; no owner's rows are gathered.
+    """
+    own = [owner, value]
+    others = [c for c in rows.columns if c not in own]
+    firsts = rows.groupBy(*own).agg(F.min_by(F.struct(*others), order).alias("r")).select(*own, *[F.col(f"r.{c}").alias(c) for c in others])
+    best = firsts.groupBy(owner).agg(F.min_by(F.struct(value), F.struct((~F.coalesce(F.lower(kind) == F.lower(preferred), F.lit(False))).alias("other"), F.col(order))).alias("best"))
+    return firsts.join(best, owner).withColumn("is_primary", F.col(value) == F.col(f"best.{value}")).drop("best")
 
 
 def unique_slugs(rows: DataFrame, base: str, ident: str, taken: DataFrame | None = None) -> DataFrame:
-    """rows with slug: base, base-1, base-2, ... in the order of ident, after what is taken (column slug)."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(ident)) - 1
-    if taken is None:
-        offset = F.lit(0)
-    else:
-        stems = taken.select(F.regexp_replace("slug", r"-[0-9]+$", "").alias(base), F.coalesce(F.regexp_extract("slug", r"-([0-9]+)$", 1).try_cast("int"), F.lit(0)).alias("k"))
-        rows = rows.join(stems.groupBy(base).agg((F.max("k") + 1).alias("_next")), base, "left")
-        offset = F.coalesce("_next", F.lit(0))
-    k = n + offset
-    return rows.withColumn("slug", F.when(k == 0, F.col(base)).otherwise(F.concat_ws("-", base, k.cast("string")))).drop("_next")
+    """rows with slug: the base, or the first of base-1, base-2, ... that neither `taken` (column slug) nor an earlier row has.
+
+    Rows of a base number its free suffixes in the order of ident. Slugs of different bases can meet (fair-1 is a base
+    as well as the second fair): the earliest row has it, and the others of its base from there on try again, as long as
+    there are any.
+    """
+    spark = rows.sparkSession
+    columns = rows.columns
+    used = cut((taken.select("slug") if taken is not None else rows.select(F.col(base).alias("slug")).limit(0)).filter("slug is not null").distinct(), "slugs")
+    todo, out = cut(rows, "unslugged"), None
+    while not todo.isEmpty():
+        # Used numbers by base; a run of them from k on passes all free numbers from one place on.
+        number = F.regexp_extract("slug", r"-([1-9][0-9]*)$", 1).try_cast("long")
+        held = used.select(F.col("slug").alias(base), F.lit(0).cast("long").alias("k")).unionByName(used.filter(number > 0).select(F.regexp_replace("slug", r"-[0-9]+$", "").alias(base), number.alias("k")))
+        held = number_within(held.join(todo.select(base).distinct(), base, "left_semi").distinct(), [base], ["k"], "below")
+        gaps = held.groupBy(base, (F.col("k") - F.col("below")).alias("free")).agg((F.max("below") + 1).alias("passed"))
+        gaps = gaps.groupBy(base).agg(F.collect_list(F.struct("free", "passed")).alias("gaps"))  # one entry a gap
+        placed = number_within(todo, [base], [ident]).join(gaps, base, "left")
+        passed = F.aggregate(F.coalesce("gaps", F.array().cast("array<struct<free:bigint,passed:bigint>>")), F.lit(0).cast("long"), lambda m, g: F.when(g["free"] <= F.col("n"), F.greatest(m, g["passed"])).otherwise(m))
+        tried = placed.withColumn("k", F.col("n") + passed)
+        tried = cut(tried.select(*columns, "n", F.when(F.col("k") == 0, F.col(base)).otherwise(F.concat_ws("-", base, F.col("k").cast("string"))).alias("slug")), "slugged")
+        lost = tried.join(tried.groupBy("slug").agg(F.min(ident).alias("_first")), "slug").filter(F.col(ident) > F.col("_first"))
+        until = lost.groupBy(base).agg(F.min("n").alias("_until"))
+        judged = tried.join(until, base, "left").withColumn("_won", F.col("n") < F.coalesce("_until", F.lit((1 << 62))))
+        won = cut(judged.filter("_won").select(*columns, "slug"), "won")
+        out = won if out is None else out.unionByName(won)
+        used = cut(used.unionByName(won.select("slug")), "slugs")
+        todo = cut(judged.filter("not _won").select(*columns), "unslugged")
+    return out if out is not None else spark.createDataFrame([], rows.withColumn("slug", F.lit("")).schema)

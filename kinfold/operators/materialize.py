@@ -11,7 +11,7 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local session without it (as in tests) gets a folder of its own, a cluster its warehouse."""
+    """spark.checkpoint.dir; only a local session without it (as in tests) gets a folder of its own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
@@ -20,14 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="kinfold-"))
         return f"file://{_own[0]}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """df written and read back; the files go when the session's file system closes."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is there goes when the session's file system closes."""
     path = f"{shared_dir(spark)}/kinfold-{tag}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """df written and read back."""
+    path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

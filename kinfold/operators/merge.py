@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.functions.scalar import present
+from kinfold.operators.materialize import cut
 from kinfold.operators.survivorship import DEFAULT, Profile, decide
 
 AUTO_BATCH = 50
@@ -55,8 +57,9 @@ def auto_merge_batch(suggestions: DataFrame, limit: int = AUTO_BATCH) -> DataFra
 def merge_people(people: DataFrame, pairs: DataFrame, profile: Profile = DEFAULT, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(people after, merge log) of merging each candidate into its primary.
 
-    people: person_id and the profile's fields; pairs: suggestion_id, primary_id, candidate_id, each person in one pair
-    at most. The candidate's values count as incoming; overrides (suggestion_id, field -> value map) as manual. The
+    people: person_id and the profile's fields; pairs: suggestion_id, primary_id, candidate_id, each candidate in one
+    pair and no primary a candidate (resolved_pairs makes them so). Of several candidates of one primary the first by
+    suggestion gives each missing value. The candidate's values count as incoming; overrides (suggestion_id, field -> value map) as manual. The
     log has both sides before and the survivor after, which is all that undo needs.
     """
     fields = [f for g in profile.groups.values() for f in g if f in people.columns]
@@ -64,15 +67,21 @@ def merge_people(people: DataFrame, pairs: DataFrame, profile: Profile = DEFAULT
     both = pairs.select("suggestion_id", "primary_id", "candidate_id").join(side("primary"), "primary_id").join(side("candidate"), "candidate_id")
     if overrides is not None:
         both = both.join(overrides.select("suggestion_id", "overrides"), "suggestion_id", "left")
+    by_primary = both.groupBy("primary_id").agg(
+        *[F.min_by(F.col(f"candidate.{f}"), F.when(present(F.col(f"candidate.{f}").cast("string")).isNotNull(), F.col("suggestion_id"))).alias(f"in_{f}") for f in fields],
+        *([F.min_by(F.try_element_at("overrides", F.lit(f)), F.when(F.try_element_at("overrides", F.lit(f)).isNotNull(), F.col("suggestion_id"))).alias(f"by_{f}") for f in fields] if overrides is not None else []),
+    )
+    both = both.join(by_primary, "primary_id")
     values = []
     for f in fields:
-        tiers = {"existing_core": F.col(f"primary.{f}"), "incoming": F.col(f"candidate.{f}")}
+        tiers = {"existing_core": F.col(f"primary.{f}"), "incoming": F.col(f"in_{f}")}
         if overrides is not None:
-            tiers["manual"] = F.try_element_at("overrides", F.lit(f))
+            tiers["manual"] = F.col(f"by_{f}")
         order = ("manual", "existing_core", "incoming")  # the survivor's own values win over those merged into it
         values.append(decide(tiers, order)["value"].alias(f))
     log = both.select("suggestion_id", "primary_id", "candidate_id", F.col("primary").alias("primary_before"), F.col("candidate").alias("candidate_before"), F.struct(*values).alias("primary_after"))
-    after = people.join(log.select(F.col("primary_id").alias("person_id"), "primary_after"), "person_id", "left").join(log.select(F.col("candidate_id").alias("person_id")), "person_id", "left_anti")
+    kept = log.groupBy(F.col("primary_id").alias("person_id")).agg(F.min_by("primary_after", "suggestion_id").alias("primary_after"))
+    after = people.join(kept, "person_id", "left").join(log.select(F.col("candidate_id").alias("person_id")), "person_id", "left_anti")
     rest = [F.when(F.col("primary_after").isNotNull(), F.col(f"primary_after.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in people.columns]
     return after.select(*rest), log
 
@@ -89,8 +98,64 @@ def undo_merge(people: DataFrame, log: DataFrame) -> DataFrame:
     there = people.select(F.col("person_id").alias("candidate_id"))
     due = log.join(there, "candidate_id", "left_anti")
     fields = log.schema["primary_before"].dataType.names
-    restored = due.select(F.col("primary_id").alias("person_id"), F.col("primary_before").alias("s"))
+    restored = due.groupBy(F.col("primary_id").alias("person_id")).agg(F.min_by("primary_before", "suggestion_id").alias("s"))
     kept = people.join(restored, "person_id", "left")
     kept = kept.select(*[F.when(F.col("s").isNotNull(), F.col(f"s.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in people.columns])
     back = due.select(F.col("candidate_id").alias("person_id"), "candidate_before.*")
     return kept.unionByName(back, allowMissingColumns=True)
+
+
+def candidate_details(suggestions: DataFrame, people: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """Suggestions with both sides and, of each field, the value that a merge would keep and the side it comes from."""
+    fields = [f for g in profile.groups.values() for f in g if f in people.columns]
+    side = lambda name: people.select(F.col("person_id").alias(f"{name}_id"), F.struct(*fields).alias(name))
+    both = suggestions.join(side("primary"), "primary_id").join(side("candidate"), "candidate_id")
+    kept = []
+    for f in fields:
+        d = decide({"existing_core": F.col(f"primary.{f}"), "incoming": F.col(f"candidate.{f}")}, ("existing_core", "incoming"))
+        kept.append(F.struct(F.lit(f).alias("field"), d["value"].alias("value"), F.when(d["value"].isNull(), None).when(d["tier"] == "incoming", "candidate").otherwise("primary").alias("side")))
+    return both.select("suggestion_id", "primary_id", "candidate_id", "primary", "candidate", F.array(*kept).alias("preview"))
+
+
+def resolved_pairs(pairs: DataFrame) -> DataFrame:
+    """pairs with each primary replaced by the person it is merged into itself, down to the one that stays.
+
+    A candidate of several pairs goes with the first by suggestion; pairs that would close a ring are dropped. Chains
+    are followed by doubling, so their length costs its logarithm in rounds.
+    """
+    first = pairs.groupBy("candidate_id").agg(F.min_by(F.struct("suggestion_id", "primary_id"), "suggestion_id").alias("p"))
+    links = cut(first.select("candidate_id", F.col("p.primary_id").alias("primary_id"), F.col("p.suggestion_id").alias("suggestion_id")), "links")
+    # A ring is broken at its least person: that one stays.
+    now = links
+    seen = -1
+    while True:
+        up = now.select(F.col("candidate_id").alias("primary_id"), F.col("primary_id").alias("_up"))
+        now = cut(now.join(up, "primary_id", "left").select("suggestion_id", "candidate_id", F.when(F.col("_up") == F.col("candidate_id"), F.least("candidate_id", "primary_id")).otherwise(F.coalesce("_up", "primary_id")).alias("primary_id")).filter("candidate_id <> primary_id"), "links")
+        left = now.join(now.select(F.col("candidate_id").alias("primary_id")).distinct(), "primary_id", "left_semi").count()
+        if not left or left == seen:
+            break
+        seen = left
+    return now.join(now.select(F.col("candidate_id").alias("primary_id")).distinct(), "primary_id", "left_anti").select("suggestion_id", "primary_id", "candidate_id")
+
+
+def repointed_rows(id_map: DataFrame, log: DataFrame) -> DataFrame:
+    """(entity_type, external_id, from_id, to_id) of every map entry that a merge moves, for the merge's log."""
+    moved = log.select(F.col("candidate_id").alias("entity_id"), "primary_id")
+    return id_map.join(moved, "entity_id").select("entity_type", "external_id", F.col("entity_id").alias("from_id"), F.col("primary_id").alias("to_id"))
+
+
+def undo_repoint(id_map: DataFrame, log: DataFrame) -> DataFrame:
+    """The id map with the entries that a merge moved back on their candidates."""
+    back = log.select(F.col("candidate_id").alias("came_from"), F.lit(True).alias("_back")).distinct()
+    both = id_map.join(back, "came_from", "left")
+    out = [F.when(F.col("_back"), F.col("came_from")).otherwise(F.col("entity_id")).alias("entity_id") if c == "entity_id" else F.when(~F.coalesce("_back", F.lit(False)), F.col("came_from")).alias(c) if c == "came_from" else F.col(c) for c in id_map.columns]
+    return both.select(*out)
+
+
+def sweep(people: DataFrame, suggestions: DataFrame, id_map: DataFrame, limit: int = AUTO_BATCH, profile: Profile = DEFAULT) -> dict[str, DataFrame]:
+    """One automatic batch: the surest high-band suggestions merged, the id map repointed, their decisions set."""
+    batch = cut(resolved_pairs(auto_merge_batch(suggestions, limit)), "batch")
+    after, log = merge_people(people, batch, profile)
+    log = cut(log, "merge_log")
+    done = change_decision(suggestions, log.select("suggestion_id"), "auto_merged", ("pending",))
+    return {"people": after, "log": log, "id_map": repoint(id_map, log), "suggestions": done}

@@ -112,3 +112,33 @@ def field_statistics(frame: DataFrame, fields: list[str]) -> DataFrame:
 def top_values(frame: DataFrame, field: str, n: int = 10) -> DataFrame:
     """The n most frequent values; ties by value."""
     return frame.filter(F.col(field).isNotNull()).groupBy(F.col(field).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(n)
+
+
+# What a record of each entity is shown by.
+SHAPES = {
+    "contact": ("person_id", "first_name", "last_name", "email", "phone"),
+    "volunteer": ("person_id", "first_name", "last_name", "title", "hours"),
+    "student": ("person_id", "first_name", "last_name", "grade", "school"),
+    "teacher": ("person_id", "first_name", "last_name", "subject", "school"),
+    "event": ("event_id", "title", "description", "start_date", "status"),
+    "organization": ("organization_id", "name", "description", "type"),
+    "user": ("user_id", "username", "email", "is_active"),
+}
+
+
+def serialized(frame: DataFrame, entity: str, most_text: int = 100) -> DataFrame:
+    """(record_id, record): the fields that records of the entity are shown by, as JSON; descriptions are cut short, missing columns null."""
+    ident, *fields = SHAPES[entity]
+    shown = []
+    for f in (ident, *fields):
+        c = F.col(f) if f in frame.columns else F.lit(None).cast("string")
+        shown.append((F.when(F.length(c) > most_text, F.concat(F.substring(c, 1, most_text), F.lit("..."))).otherwise(c) if f == "description" else c).alias(f))
+    return frame.select(F.col(ident).cast("string").alias("record_id"), F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("record"))
+
+
+def distribution(frame: DataFrame, field: str, bins: int = 10) -> DataFrame:
+    """(bin, n) of a numeric field over equal ranges from its least to its largest value; one value alone is one bin."""
+    ends = frame.agg(F.min(field).cast("double").alias("low"), F.max(field).cast("double").alias("high"))
+    both = frame.filter(F.col(field).isNotNull()).select(F.col(field).cast("double").alias("x")).join(F.broadcast(ends))  # one row
+    place = F.when(F.col("high") == F.col("low"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins).cast("int")))
+    return both.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

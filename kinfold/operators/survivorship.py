@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +21,39 @@ GROUPS = {
 
 @dataclass(frozen=True)
 class Profile:
+    """Groups of fields and the order of tiers, which a group or a single field may have of its own."""
+
     groups: dict[str, tuple[str, ...]]
     tiers: tuple[str, ...] = TIERS
+    own: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+    def order(self, name: str | None = None) -> tuple[str, ...]:
+        """The tiers of a field, with the two that always exist at the end if they are not named."""
+        group = next((g for g, fields in self.groups.items() if name in fields), None)
+        tiers = self.own.get(name) or self.own.get(group) or self.tiers
+        return (*tiers, *[t for t in ("existing_core", "incoming") if t not in tiers])
+
+
+def load_profile(text: str) -> Profile:
+    """A profile from JSON (or YAML, if that library is there): groups, tiers, and tiers of single groups or fields.
 
-    def order(self) -> tuple[str, ...]:
-        """The tiers, with the two that always exist at the end if they are not named."""
-        return (*self.tiers, *[t for t in ("existing_core", "incoming") if t not in self.tiers])
+    {"groups": {"identity": ["first_name"]}, "tiers": ["manual", "incoming"], "own": {"first_name": ["existing_core"]}};
+    what is missing is as in the default. Unknown tiers and fields in two groups are errors.
+    """
+    try:
+        spec = json.loads(text)
+    except json.JSONDecodeError:
+        import yaml
+
+        spec = yaml.safe_load(text)
+    groups = {g: tuple(f) for g, f in (spec.get("groups") or GROUPS).items()}
+    tiers, own = tuple(spec.get("tiers") or TIERS), {k: tuple(v) for k, v in (spec.get("own") or {}).items()}
+    fields = [f for g in groups.values() for f in g]
+    unknown = [t for t in (*tiers, *[t for o in own.values() for t in o]) if t not in TIERS]
+    stray = [k for k in own if k not in groups and k not in fields]
+    if unknown or stray or len(set(fields)) < len(fields):
+        raise ValueError(f"unknown tiers {unknown}, unknown fields {stray} or a field in two groups")
+    return Profile(groups, tiers, own)
 
 
 DEFAULT = Profile(GROUPS)
@@ -45,9 +73,9 @@ def apply_survivorship(rows: DataFrame, profile: Profile = DEFAULT, keep: tuple[
     out = []
     for fields in profile.groups.values():
         for f in fields:
-            values = {t: F.col(f"{t}_{f}") for t in profile.order() if f"{t}_{f}" in rows.columns}
+            values = {t: F.col(f"{t}_{f}") for t in profile.order(f) if f"{t}_{f}" in rows.columns}
             if values:
-                out.append(decide(values, profile.order()).alias(f))
+                out.append(decide(values, profile.order(f)).alias(f))
     return rows.select(*keep, *out)
 
 
@@ -61,3 +89,12 @@ def survivorship_stats(made: DataFrame) -> DataFrame:
     """Per group: fields decided, changed, won by hand and by the incoming row (changes only)."""
     won = lambda t: F.count_if((F.col("tier") == t) & F.col("changed"))
     return made.groupBy("field_group").agg(F.count(F.lit(1)).alias("total"), F.count_if("changed").alias("changed"), won("manual").alias("manual_wins"), won("incoming").alias("incoming_overrides"))
+
+
+def survivorship_totals(made: DataFrame) -> DataFrame:
+    """One row: decisions, changes, kept values, wins of each tier and fields that no tier has."""
+    won = lambda t: F.count_if((F.col("tier") == t) & F.col("value").isNotNull())
+    return made.agg(
+        F.count(F.lit(1)).alias("decisions"), F.count_if("changed").alias("changed"), F.count_if(~F.col("changed")).alias("kept"), won("manual").alias("manual_wins"), won("verified_core").alias("verified_wins"),
+        won("incoming").alias("incoming_wins"), won("existing_core").alias("core_wins"), F.count_if(F.col("value").isNull()).alias("empty"),
+    )

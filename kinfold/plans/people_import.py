@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.functions.scalar import normalize_email, normalize_name, normalize_phone, record_key
+from kinfold.functions.scalar import normalize_email, normalize_name, normalize_phone, present, record_key
 from kinfold.operators import dq, load
 from kinfold.operators.materialize import cut
 from kinfold.sources.people_csv import read_people, stage_people
 
-CORE = "person_id long, mail string, phone string, name string"
+FIELDS = ("first_name", "last_name", "middle_name", "preferred_name", "email", "phone_e164", "notes", "internal_notes")
+CORE = "person_id long, " + ", ".join(f"{f} string" for f in FIELDS) + ", email_verified boolean, source string"
+EMAILS = "entity_id long, email string, is_primary boolean"
 ID_MAP = "external_system string, external_id string, entity_id long, is_active boolean, first_seen_at timestamp, last_seen_at timestamp"
 
 
@@ -19,21 +21,64 @@ def name_key(first: Column, last: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(" ", a, b))
 
 
-def import_people(spark: SparkSession, path: str, run_id: int, core: DataFrame, id_map: DataFrame, seen_at: Column, source: str = "csv") -> dict[str, DataFrame]:
-    """The run's tables: staged, violations, clean, loaded, id_map, core."""
-    staged = cut(stage_people(read_people(spark, path), run_id, source), "staged")
-    judged = cut(dq.judge(staged, dq.person_rules()), "judged")
-    key = record_key(F.col("external_id"), F.col("source_record_id"), F.col("sequence_number"), F.lit(None))
-    clean = judged.filter("status = 'validated'").select(
-        F.col("sequence_number").alias("clean_id"), "external_system", "external_id", normalize_email("email").alias("mail"), normalize_phone("phone").alias("phone"), name_key(F.col("first_name"), F.col("last_name")).alias("name")
-    ).filter("name is not null")
-    loaded = cut(load.decide_loads(clean, core, id_map), "loaded")
-    new = loaded.filter("load_action = 'inserted'").select(F.col("entity_id").alias("person_id"), "mail", "phone", "name")
+def core_keys(core: DataFrame, emails: DataFrame | None) -> DataFrame:
+    """(person_id, mail, phone, name, last) of the core, and a row for each further address of a person."""
+    own = core.select("person_id", F.lower(present("email")).alias("mail"), present("phone_e164").alias("phone"), name_key(F.col("first_name"), F.col("last_name")).alias("name"), normalize_name("last_name").alias("last"))
+    if emails is None:
+        return own
+    none = F.lit(None).cast("string")
+    return own.unionByName(emails.select(F.col("entity_id").alias("person_id"), F.lower("email").alias("mail"), none.alias("phone"), none.alias("name"), none.alias("last")))
+
+
+def clean_rows(judged: DataFrame) -> DataFrame:
+    """Promoted rows as they are loaded: their number, ids, fields and keys."""
+    extra = {f: F.col(f) if f in judged.columns else F.lit(None).cast("string") for f in FIELDS}
+    extra |= {"email": normalize_email("email"), "phone_e164": normalize_phone("phone")}
+    return judged.select(
+        F.col("sequence_number").alias("clean_id"), "external_system", "external_id", *[extra[f].alias(f) for f in FIELDS], extra["email"].alias("mail"), extra["phone_e164"].alias("phone"),
+        name_key(F.col("first_name"), F.col("last_name")).alias("name"), normalize_name("last_name").alias("last"),
+    )
+
+
+def load_people(clean: DataFrame, core: DataFrame, id_map: DataFrame, seen_at: Column, emails: DataFrame | None = None, dry_run: bool = False) -> dict[str, DataFrame]:
+    """loaded, summary, core, emails, id_map, change_log, skips and suggestions of loading clean rows.
+
+    Inserted people are in the core before the run's updates are applied, so later rows of the run update them. A dry
+    run gives the summary and the decisions, and the tables as they were.
+    """
+    spark = clean.sparkSession
+    emails = emails if emails is not None else spark.createDataFrame([], EMAILS)
+    decided = cut(load.decide_loads(clean, core_keys(core, emails), id_map), "decided")
+    if dry_run:
+        return {"loaded": decided, "summary": load.load_summary(decided, True), "core": core, "emails": emails, "id_map": id_map}
+    new = decided.filter("load_action = 'inserted'")
+    rows = new.select(F.col("entity_id").alias("person_id"), *FIELDS, F.lit(False).alias("email_verified"), F.col("external_system").alias("source"))
+    loaded, after, log = load.apply_updates(decided, core.unionByName(rows), FIELDS)
+    loaded = cut(loaded, "loaded")
+    mails = emails.unionByName(load.created_tables(new.withColumns({"phone": F.col("phone_e164"), **{c: F.lit(None).cast("string") for c in ("street", "city", "state_code", "postal_code", "country_code", "dob")}}))["emails"])
     return {
-        "staged": staged,
-        "violations": dq.violation_log(judged, key, "volunteer"),
-        "clean": clean,
         "loaded": loaded,
+        "summary": load.load_summary(loaded),
+        "core": cut(after, "core"),
+        "emails": cut(mails.unionByName(load.added_emails(loaded, mails)), "emails"),
         "id_map": cut(load.new_id_map(loaded, id_map, seen_at), "id_map"),
-        "core": cut(core.unionByName(new), "core"),
+        "change_log": log,
+        "skips": load.skips(loaded),
+        "suggestions": load.load_suggestions(loaded),
     }
+
+
+def import_people(
+    spark: SparkSession, path: str, run_id: int, core: DataFrame, id_map: DataFrame, seen_at: Column, source: str = "csv",
+    emails: DataFrame | None = None, promoted: DataFrame | None = None, dry_run: bool = False,
+) -> dict[str, DataFrame]:
+    """The run's tables: staged, violations, clean, and those of load_people.
+
+    promoted: (external_system, external_id) of rows that this run's clean layer holds already; they are not loaded again.
+    """
+    staged = cut(stage_people(read_people(spark, path), run_id, source), "staged")
+    judged = cut(dq.judge(staged, dq.person_rules(), warnings_fail=dry_run), "judged")
+    key = record_key(F.col("external_id"), F.col("source_record_id"), F.col("sequence_number"), F.lit(None))
+    known = promoted if promoted is not None else staged.select("external_system", "external_id").limit(0)
+    clean = clean_rows(dq.promote(judged, known, ["external_system", "external_id"], ["first_name", "last_name"]))
+    return {"staged": staged, "violations": dq.violation_log(judged, key, "volunteer"), "clean": clean, **load_people(clean, core, id_map, seen_at, emails, dry_run)}

@@ -6,43 +6,16 @@ written once as columns and once as SQL.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import picklists, scalar, similarity
 from kinfold.operators import completeness, dq, load, mapping, match, merge, reports, sampling, search, survivorship
 from kinfold.operators.materialize import cut
+from kinfold.registry import oracle_sql, queries, query, sql_of, table  # noqa: F401
 from kinfold.sources.sinks import guarded
 from kinfold.streaming.incremental import after_mark
 
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        _queries[fn.__name__] = fn
-        if sql is not None:
-            _sql[fn.__name__] = sql.strip()
-        return fn
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- people from parts: the name is "first last", the key the id -------------------------------------------------
 
 PEOPLE_SQL = """
@@ -301,7 +274,7 @@ def deterministic_match_outcome(spark, sf_dir):
 
 
 @query(
-    _sql["deterministic_match_outcome"].replace("n.e = s.email union", "n.e = s.email or (split_part(n.e, '@', 1) <> '' and split_part(n.e, '@', 2) = split_part(s.email, '@', 2) and starts_with(s.email, split_part(n.e, '@', 1))) union")
+    sql_of("deterministic_match_outcome").replace("n.e = s.email union", "n.e = s.email or (split_part(n.e, '@', 1) <> '' and split_part(n.e, '@', 2) = split_part(s.email, '@', 2) and starts_with(s.email, split_part(n.e, '@', 1))) union")
 )
 def deterministic_match_with_prefix(spark, sf_dir):
     """deterministic_match_outcome, with stored addresses that begin with the local part in the same domain."""
@@ -752,3 +725,7 @@ def top_sources_by_language(spark, sf_dir):
     counts = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "source")
     return counts.withColumn("rn", F.row_number().over(order)).filter("rn <= 3").drop("rn")
+
+
+# The queries of the services and of the CRM loaders register themselves.
+from kinfold import queries_crm, queries_services  # noqa: E402, F401

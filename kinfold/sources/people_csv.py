@@ -9,36 +9,36 @@ from kinfold.functions.scalar import checksum, first_present
 
 # Canonical headers and the other names they go by; the first two in REQUIRED must be there.
 HEADERS = {
-    "external_system": "source_system",
-    "external_id": "source_id record_id",
-    "first_name": "given_name first",
-    "last_name": "surname last",
-    "middle_name": "middle",
-    "preferred_name": "nickname preferred",
-    "email": "email_address primary_email",
-    "alternate_emails": "alt_emails secondary_emails",
-    "phone": "phone_number primary_phone mobile",
-    "alternate_phones": "alt_phones secondary_phones",
-    "dob": "date_of_birth birthdate",
-    "gender": "",
-    "race_ethnicity": "race ethnicity",
-    "street": "address address_line1",
-    "street2": "address_line2 apt",
-    "city": "",
-    "state_code": "state region",
-    "postal_code": "zip zip_code",
-    "country_code": "country",
-    "employer": "",
-    "notes": "volunteer_notes public_notes",
-    "school_affiliation": "school school_name",
-    "student_flag": "is_student",
-    "consent_signed_at": "consent_date consent_timestamp",
-    "background_check_status": "bgc_status background_status",
-    "background_check_date": "bgc_date background_date",
-    "photo_release": "photo_consent",
-    "source_updated_at": "last_modified updated_at",
-    "ingested_at": "",
-    "ingest_version": "contract_version",
+    "external_system": ["source_system"],
+    "external_id": ["source_id", "record_id"],
+    "first_name": ["given_name", "first"],
+    "last_name": ["surname", "last"],
+    "middle_name": ["middle"],
+    "preferred_name": ["nickname", "preferred"],
+    "email": ["email_address", "primary_email"],
+    "alternate_emails": ["alt_emails", "secondary_emails"],
+    "phone": ["phone_number", "primary_phone", "mobile"],
+    "alternate_phones": ["alt_phones", "secondary_phones"],
+    "dob": ["date_of_birth", "birthdate"],
+    "gender": [],
+    "race_ethnicity": ["race", "ethnicity"],
+    "street": ["address", "address_line1"],
+    "street2": ["address_line2", "apt"],
+    "city": [],
+    "state_code": ["state", "region"],
+    "postal_code": ["zip", "zip_code"],
+    "country_code": ["country"],
+    "employer": [],
+    "notes": ["volunteer_notes", "public_notes"],
+    "school_affiliation": ["school", "school_name"],
+    "student_flag": ["is_student"],
+    "consent_signed_at": ["consent_date", "consent_timestamp"],
+    "background_check_status": ["bgc_status", "background_status"],
+    "background_check_date": ["bgc_date", "background_date"],
+    "photo_release": ["photo_consent"],
+    "source_updated_at": ["last_modified", "updated_at"],
+    "ingested_at": [],
+    "ingest_version": ["contract_version"],
 }
 REQUIRED = ("first_name", "last_name")
 
@@ -53,7 +53,7 @@ def header_token(header: str) -> str:
 
 
 def aliases() -> dict[str, str]:
-    return {header_token(a): name for name, more in HEADERS.items() for a in (name, *more.split())}
+    return {header_token(a): name for name, more in HEADERS.items() for a in (name, *more)}
 
 
 def resolve_headers(raw: list[str]) -> list[str]:

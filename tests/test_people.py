@@ -1,6 +1,7 @@
 """Scalars, sources, rules, matching, loading, merging and sampling on hand-made rows."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -140,7 +141,21 @@ def test_golden_runs(spark, tmp_path):
     first = run(spark, tmp_path, VALID)
     assert actions(first) == {"inserted": 3} and first["violations"].count() == 0
     again = run(spark, tmp_path, VALID, first["core"], first["id_map"], 2)
-    assert actions(again) == {"updated": 3} and again["core"].count() == 3
+    assert actions(again) == {"skipped_no_change": 3} and again["core"].count() == 3 and again["change_log"].count() == 0
+    moved = VALID.replace("max@x.org", "maxwell@x.org")
+    third = run(spark, tmp_path, moved, first["core"], first["id_map"], 6)
+    assert actions(third) == {"skipped_no_change": 2, "updated": 1}
+    assert [tuple(r)[2:] for r in third["change_log"].collect()] == [("email", "max@x.org", "maxwell@x.org")]
+    assert sorted(r["email"] for r in third["core"].collect()) == ["eleanor@x.org", "maxwell@x.org", "pru@x.org"]
+    dry = import_people(spark, put(tmp_path, "dry.csv", VALID), 9, spark.createDataFrame([], CORE), spark.createDataFrame([], ID_MAP), F.to_timestamp(F.lit("2024-01-01")), dry_run=True)
+    total = dry["summary"].head()
+    assert (total["rows_processed"], total["rows_created"], total["potential_inserts"]) == (3, 0, 3) and dry["core"].count() == 0
+    near = HEAD + "csv,f-1,Prudense,Jones,other@x.org,,\ncsv,f-2,Prudence,Jones,new@x.org,,\ncsv,f-3,Someone,Else,new@x.org,,\n"
+    out = run(spark, tmp_path, near, first["core"], first["id_map"], 7)
+    assert {r["clean_id"]: (r["load_action"], r["skip_reason"]) for r in out["loaded"].collect()} == {1: ("skipped_duplicate_fuzzy", "DUPLICATE_FUZZY"), 2: ("skipped_duplicate", "DUPLICATE_NAME"), 3: ("deterministic_update", None)}
+    assert {(r["match_type"], r["score"], r["decision"]) for r in out["suggestions"].collect()} == {("fuzzy_name", 0.95, "pending"), ("deterministic", 1.0, "auto_merged")}
+    assert {(r["email"], r["is_primary"]) for r in out["emails"].filter("email = 'new@x.org'").collect()} == {("new@x.org", True)}
+    assert sorted(r["record_key"] for r in out["skips"].collect()) == ["prudence jones", "prudense jones"]
     other = HEAD + "csv,n-1,El,R,eleanor@x.org,,\ncsv,n-2,Mx,E,,+14155550102,\n"
     assert actions(run(spark, tmp_path, other, first["core"], first["id_map"], 3)) == {"deterministic_update": 2}
     twice = HEAD + "csv,d-1,Samantha,Stone,sam@x.org,+14155550109,\ncsv,d-2,Sammy,Stone,sam@x.org,+14155550109,\n"
@@ -153,8 +168,9 @@ def test_golden_runs(spark, tmp_path):
 
 def plain_loads(clean, core, id_map):
     """Row by row."""
-    people, out, base = [dict(c) for c in core], {}, max((c["person_id"] for c in core), default=0)
+    people, out, base = [{**c, "mails": {c["mail"]} - {None}} for c in core], {}, max((c["person_id"] for c in core), default=0)
     maps = {(m["external_system"], m["external_id"]): m for m in id_map}
+    near = lambda a, b: a.split()[-1] == b.split()[-1] and a[0] == b[0] and similarity.jaro_winkler_text(a, b) >= load.NEAR_NAME
     for r in sorted(clean, key=lambda r: r["clean_id"]):
         m = maps.get((r["external_system"], r["external_id"]))
         if not (r["external_id"] or "").strip():
@@ -162,36 +178,56 @@ def plain_loads(clean, core, id_map):
         elif m:
             out[r["clean_id"]] = ("updated" if m["is_active"] else "reactivated", m["entity_id"])
         else:
-            of = lambda k, r=r: {p["person_id"] for p in people if r[k] is not None and p[k] == r[k]}
-            e, p, n = of("mail"), of("phone"), of("name")
+            e = {p["person_id"] for p in people if r["mail"] in p["mails"]}
+            p = {p["person_id"] for p in people if r["phone"] is not None and p["phone"] == r["phone"]}
+            n = {p["person_id"] for p in people if r["name"] is not None and p["name"] == r["name"]}
+            f = {p["person_id"] for p in people if r["name"] and p["name"] and near(r["name"], p["name"])}
             both = e & p
             match_ = min(both) if len(both) == 1 else min(e | p) if not both and len(e) + len(p) == 1 else None
             if match_ is not None:
                 out[r["clean_id"]] = ("deterministic_update", match_)
-            elif e or n:
-                out[r["clean_id"]] = ("skipped_duplicate", min(e) if e else min(n))
+            elif e:
+                out[r["clean_id"]] = ("skipped_duplicate", min(e))
+            elif n:
+                out[r["clean_id"]] = ("skipped_duplicate", min(n))
+                if r["mail"]:
+                    next(q for q in people if q["person_id"] == min(n))["mails"].add(r["mail"])
+            elif f:
+                out[r["clean_id"]] = ("skipped_duplicate_fuzzy", min(f))
             else:
                 ident = base + r["clean_id"]
-                people.append({"person_id": ident, **{k: r[k] for k in ("mail", "phone", "name")}})
+                people.append({"person_id": ident, "phone": r["phone"], "name": r["name"], "mails": {r["mail"]} - {None}})
                 out[r["clean_id"]] = ("inserted", ident)
     return out
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(3))
 def test_load_order(spark, seed):
     rng = random.Random(seed)
     pick = lambda kind, n: rng.choice([None, *[f"{kind}{i}" for i in range(n)]])
-    clean = [{"clean_id": i, "external_system": "s", "external_id": rng.choice([None, f"x{i}", f"x{i}"]), "mail": pick("m", 12), "phone": pick("p", 12), "name": pick("n", 20)} for i in range(1, 60)]
-    core = [{"person_id": i, "mail": pick("m", 12), "phone": pick("p", 12), "name": pick("n", 20)} for i in range(1, 8)]
+    named = lambda: rng.choice([None, *[f"{f} {l}" for f in ("christopher", "christophe", "christoph", "anna", "annabel") for l in ("bell", "bells", "gray")]])  # noqa: E731, E741
+    clean = [{"clean_id": i, "external_system": "s", "external_id": rng.choice([None, f"x{i}", f"x{i}"]), "mail": pick("m", 30), "phone": pick("p", 30), "name": named()} for i in range(1, 60)]
+    core = [{"person_id": i, "mail": pick("m", 12), "phone": pick("p", 12), "name": named()} for i in range(1, 5)]
     id_map = [{"external_system": "s", "external_id": f"x{i}", "entity_id": 1, "is_active": i % 2 == 0} for i in range(5, 12)]
+    last = F.element_at(F.split("name", " "), -1).alias("last")
     schema = "clean_id long, external_system string, external_id string, mail string, phone string, name string"
     got = load.decide_loads(
-        spark.createDataFrame([tuple(r.values()) for r in clean], schema), spark.createDataFrame([tuple(r.values()) for r in core], CORE),
+        spark.createDataFrame([tuple(r.values()) for r in clean], schema).select("*", last), spark.createDataFrame([tuple(r.values()) for r in core], "person_id long, mail string, phone string, name string").select("*", last),
         spark.createDataFrame([tuple(r.values()) for r in id_map], "external_system string, external_id string, entity_id long, is_active boolean"),
     ).collect()
     assert {r["clean_id"]: (r["load_action"], r["entity_id"]) for r in got} == plain_loads(clean, core, id_map)
 
 
+def test_long_chains_have_no_limit(spark):
+    """Each row shares an address with the row before and a number with the one after."""
+    rows = [(i, "s", f"x{i}", f"m{(i + 1) // 2}", f"p{i // 2}", None) for i in range(1, 13)]
+    clean = spark.createDataFrame(rows, "clean_id long, external_system string, external_id string, mail string, phone string, name string")
+    core = spark.createDataFrame([], "person_id long, mail string, phone string, name string")
+    got = load.decide_loads(clean, core, spark.createDataFrame([], "external_system string, external_id string, entity_id long, is_active boolean")).collect()
+    want = plain_loads([dict(zip(("clean_id", "external_system", "external_id", "mail", "phone", "name"), r, strict=True)) for r in rows], [], [])
+    assert {r["clean_id"]: (r["load_action"], r["entity_id"]) for r in got} == want
+
+
 def test_mapping_errors():
     for rows in ([{"target": "a", "source": "x"}, {"target": "a", "source": "y"}], [{"target": "a"}], [{"target": "a", "source": "x", "transform": "nope"}]):
         with pytest.raises(ValueError):
@@ -257,7 +293,13 @@ def test_sampling(spark):
 def test_slugs_after_taken(spark):
     rows = spark.createDataFrame([(1, "fair"), (2, "fair"), (3, "new")], "id long, base string")
     taken = spark.createDataFrame([("fair",), ("fair-3",)], "slug string")
-    assert [r["slug"] for r in load.unique_slugs(rows, "base", "id", taken).orderBy("id").collect()] == ["fair-4", "fair-5", "new"]
+    assert [r["slug"] for r in load.unique_slugs(rows, "base", "id", taken).orderBy("id").collect()] == ["fair-1", "fair-2", "new"]
+    rng = random.Random(3)
+    bases = [rng.choice(["fair", "fair-1", "fair-2", "gala", "fair-1-1"]) for _ in range(40)]
+    got = [r["slug"] for r in load.unique_slugs(spark.createDataFrame(list(enumerate(bases)), "id long, base string"), "base", "id", taken).orderBy("id").collect()]
+    assert len(set(got)) == 40 and not set(got) & {"fair", "fair-3"}
+    assert all(g == b or re.fullmatch(re.escape(b) + "-[1-9][0-9]*", g) for g, b in zip(got, bases, strict=True))
+    assert sorted(g for g, b in zip(got, bases, strict=True) if b == "gala") == sorted(["gala", *[f"gala-{i}" for i in range(1, bases.count("gala"))]])
 
 
 def test_search_parts(spark):
