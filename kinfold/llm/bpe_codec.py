@@ -92,7 +92,7 @@ class WordBpe:
     library; then pairs of neighbours are joined, level by level, by encoding a window of parts around the border anew.
     """
 
-    def __init__(self, path: str, cache: int = CACHE // 2, leaf: int = TEXT_LEAF):
+    def __init__(self, path: str, cache: int = CACHE, leaf: int = TEXT_LEAF):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -229,14 +229,14 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of docs: id, ids (array<int>) and decoded.
 
     Null and empty texts have no ids and decode to "". Rows that repeat an id are encoded each by itself; an empty table
-    gives none; other columns of docs, whatever their names, are not read. Memory follows one slice of texts (4 MB, or
+    gives none; other columns of docs, whatever their names, are not read. Memory follows one slice of texts (2 MB, or
     one text).
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         bpe = word_bpe(tokenizer)
         for batch in batches:
-            for a, b in bounded(batch["text"], 4 << 20):
+            for a, b in bounded(batch["text"]):
                 ids, decoded = bpe.encode_packed([t or "" for t in batch["text"][a:b].to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)]) // 4
                 values = np.frombuffer(b"".join(ids), "<i4")

@@ -86,11 +86,19 @@ def held(key: tuple, make: Callable[[], object]) -> object:
     global _held
     if _held is None or _held[0] != key:
         _held = None
+        few_arenas()
         trim()
         _held = (key, make())
     return _held[1]
 
 
+def few_arenas() -> None:
+    """Keeps the C library from giving each thread of a tokenizer memory of its own that it never gives back."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-8, 2)  # M_ARENA_MAX
+
+
 def trim() -> None:
     """Gives memory that is free in this process back to the system."""
     gc.collect()
@@ -129,7 +137,7 @@ def _arrow_schema(fields) -> pa.Schema:
     return to_arrow_schema(fields)
 
 
-def bounded(values: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def bounded(values: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """(from, to) slices of a batch of texts with at most that many bytes each, or one text."""
     import pyarrow.compute as pc
 

@@ -25,10 +25,10 @@ ROUNDS = 2
 SMOOTHING = 1e-3
 #: Words of more characters are scored one by one with rescaled sums, and give their counts to the fit in parts of so many.
 LONGEST_WORD = 48
-#: Words kept by a task, at about 150 bytes and 8 bytes a language each.
-CACHE = 200_000
+#: Words kept by a task, at about 200 bytes and 8 bytes a language each; as many again stay until they are wanted.
+CACHE = 80_000
 #: Characters times languages that are looked at together.
-PORTION = 400_000
+PORTION = 200_000
 UNDETERMINED = "und"
 
 
@@ -294,14 +294,19 @@ class Judge:
         self.model, self.trie = model, trie_of(model.name)
         self.known: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.languages)))
+        self.older, self.older_scores = self.known, self.scores[:0]
 
     def _learn(self, split: list[list[str]]) -> None:
         if len(self.known) > CACHE:
-            self.known = {}
+            self.older, self.older_scores = self.known, self.scores
+            self.known, self.scores = {}, np.zeros_like(self.scores)
         missing: set[str] = set()
         for words in split:
             missing.update(words)
-        new = list(missing.difference(self.known))
+        missing.difference_update(self.known)
+        back = [w for w in missing if w in self.older]
+        self._keep(back, self.older_scores[[self.older[w] for w in back]])
+        new = list(missing.difference(back))
         of = list(map(marked, new))
         names = list(set(of))  # words that differ in case or end marks alone are scored once
         short, long = [w for w in names if len(w) <= LONGEST_WORD], [w for w in names if len(w) > LONGEST_WORD]
@@ -311,11 +316,16 @@ class Judge:
         for k, w in enumerate(long, len(short)):
             logs[k] = long_forward(w, self.model.table, self.trie)
         at = {w: i for i, w in enumerate(short + long)}
+        self._keep(new, logs[[at[w] for w in of]])
+
+    def _keep(self, words: list[str], scores: np.ndarray) -> None:
         n = len(self.known)
-        if n + len(new) > len(self.scores):
-            self.scores = np.concatenate([self.scores[:n], np.zeros((n + 2 * len(new), len(self.model.languages)))])
-        self.scores[n : n + len(new)] = logs[[at[w] for w in of]] if new else 0
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        if not words:
+            return
+        if n + len(words) > len(self.scores):
+            self.scores = np.concatenate([self.scores[:n], np.zeros((n + 2 * len(words), len(self.model.languages)))])
+        self.scores[n : n + len(words)] = scores
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """(language, score) of each text."""

@@ -21,8 +21,8 @@ AWKWARD = re.compile(r"\s \s")
 WHITE = re.compile(r"\s")
 #: A line feed between characters that are no white space is a pre-token of its own.
 LINE = re.compile(r"(?<=\S)\n(?=\S)")
-#: Words kept, at about 200 bytes each.
-CACHE = 300_000
+#: Words kept, at about 200 bytes each; as many again stay until they are wanted or the next ones are put aside.
+CACHE = 150_000
 #: Words that the library encodes as one text.
 TOGETHER = 256
 LONGEST_CACHED = 64
@@ -57,6 +57,8 @@ class ByteBpe:
         self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.feed = self._whole(["\n"])[0]
         self.bare: dict[str, bytes] = {}
+        #: What was put aside, by the text before the word.
+        self.older: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
         self.joinable = len(self.feed) == 4 and not any(" " in s for s in self.specials)
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -85,7 +87,12 @@ class ByteBpe:
 
     def _known(self, kept: dict[str, bytes], wanted: set[str], before: str) -> dict[str, bytes]:
         """Ids of all wanted words; those of ordinary length are kept."""
-        words = list(wanted.difference(kept))
+        words, older = [], self.older[before]
+        for w in wanted.difference(kept):
+            if (ids := older.get(w)) is None:
+                words.append(w)
+            else:
+                kept[w] = ids
         found = self._each(words, before)
         long = {w: found.pop(w) for w in words if len(w) > LONGEST_CACHED} if max(map(len, words), default=0) > LONGEST_CACHED else {}
         kept.update(found)
@@ -105,8 +112,8 @@ class ByteBpe:
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         if len(self.spaced) + len(self.bare) > self.most:
-            self.spaced.clear()
-            self.bare.clear()
+            self.older = {" ": self.spaced, "": self.bare}
+            self.spaced, self.bare = {}, {}
         heads: set[str] = set()
         tails: set[str] = set()
         for lines in cut.values():
