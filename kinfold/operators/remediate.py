@@ -51,7 +51,7 @@ def remediate(violations: DataFrame, edits: DataFrame, core: DataFrame, id_map:
     loaded, after, log = apply_updates(rows, core, ("first_name", "last_name", "email", "phone_e164", "notes"))
     loaded = cut(loaded.select("clean_id", "load_action", "entity_id"), "loaded")
     outcome = F.coalesce("refusal", F.when(F.size("violations") > 0, "validation_failed").otherwise("succeeded"))
-    results = judged.join(loaded.withColumnRenamed("clean_id", "violation_id"), "violation_id", "left").select("violation_id", outcome.alias("outcome"), F.transform("violations", lambda v: v["rule_code"]).alias("rule_codes"), "diff", "load_action", "entity_id")
+    results = judged.join(loaded.withColumnRenamed("clean_id", "violation_id"), "violation_id", "left").select("violation_id", outcome.alias("outcome"), F.when(F.col("refusal").isNull(), F.transform("violations", lambda v: v["rule_code"])).otherwise(F.array().cast("array<string>")).alias("rule_codes"), "diff", "load_action", "entity_id")
     fixed = results.filter("outcome = 'succeeded'").select("violation_id", F.lit(True).alias("_fixed")).distinct()
     marked = violations.join(fixed, "violation_id", "left").withColumns({"status": F.when(F.col("_fixed"), "fixed").otherwise(F.col("status")), "remediated_at": F.when(F.col("_fixed"), at)}).drop("_fixed")
     return {"results": results, "violations": marked, "core": after, "log": log}

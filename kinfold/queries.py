@@ -153,10 +153,10 @@ def block_name_initial_counts(spark, sf_dir):
     return blocks.filter("last is not null and initial is not null and n > 1").select("last", "initial", F.expr("n * (n - 1) div 2").alias("n_pairs"))
 
 
-@query("with n as (select distinct lower(p_name) as a from part) select x.a as name_a, y.a as name_b, round(jaro_winkler_similarity(x.a, y.a), 6) as sim from n x join n y on x.a < y.a")
+@query("with n as (select distinct lower(p_name) as a from part) select x.a as name_a, y.a as name_b, round(jaro_winkler_similarity(x.a, y.a), 6) as sim from n x join n y on x.a < y.a and split_part(x.a, ' ', 2) = split_part(y.a, ' ', 2)")
 def jw_name_pairs(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name_a")).distinct()
-    pairs = names.join(names.withColumnRenamed("name_a", "name_b"), F.col("name_a") < F.col("name_b"))  # a fixed, small list of names
+    pairs = names.withColumn("l", F.element_at(F.split("name_a", " "), -1)).join(names.select(F.col("name_a").alias("name_b"), F.element_at(F.split("name_a", " "), -1).alias("l")), "l").filter("name_a < name_b")
     return pairs.select("name_a", "name_b", F.round(similarity.jaro_winkler("name_a", "name_b"), 6).alias("sim"))
 
 
@@ -290,10 +290,10 @@ def overlaps(rows):
     return both.select(F.col("a.row_id").alias("row_a"), F.col("b.row_id").alias("row_b"), score.alias("overlap"))
 
 
-@query(rf"""with {CONTACTS_SQL}, t as (select row_id, regexp_replace(lower(email), '^([^@+]*)\+[^@]*@', '\1@') as e, case when phone <> '555' then phone end as p from contacts where row_id <= 200)
+@query(rf"""with {CONTACTS_SQL}, t as (select row_id, regexp_replace(lower(email), '^([^@+]*)\+[^@]*@', '\1@') as e, case when phone <> '555' then phone end as p from contacts)
 select a.row_id as row_a, b.row_id as row_b, case when coalesce(a.e = b.e, false) or coalesce(a.p = b.p, false) then 1.0 else 0.0 end as overlap from t a join t b on b.row_id = a.row_id + 130""")
 def contact_overlap(spark, sf_dir):
-    return overlaps(contacts(spark, sf_dir).filter("row_id <= 200"))
+    return overlaps(contacts(spark, sf_dir))
 
 
 @query(rf"""with {CONTACTS_SQL}, t as (select row_id, regexp_replace(lower(email), '^([^@+]*)\+[^@]*@', '\1@') as e, case when phone <> '555' then phone end as p from contacts)
@@ -684,15 +684,42 @@ def field_import_stats(spark, sf_dir):
     return mapping.field_stats(mapped_customers(spark, sf_dir), SPEC)
 
 
-@query()
-def load_decisions(spark, sf_dir):
-    """Rows of one run that meet the core and each other; tests hold it against a row-by-row version."""
+PROBE_SQL = "list_distinct([x.p for x in keys if x.k = '{kind}' and x.v = w.{kind}])"
+LOAD_SQL = rf"""with recursive {CONTACTS_SQL.strip()}, w as (select row_number() over (order by row_id) as i, row_id as id, nullif(regexp_replace(lower(trim(email)), '^([^@+]*)\+[^@]*@', '\1@'), '') as mail, case when phone <> '555' then phone end as phone,
+  'p' || (row_id % 400) as name, row_id % 6 = 0 as mapped, row_id % 12 = 0 as active from contacts),
+st(i, id, load_action, skip_reason, entity_id, ambiguous, keys) as (
+  select cast(0 as bigint), cast(null as bigint), '', '', cast(null as bigint), false, (select list({{'k': k, 'v': v, 'p': person_id}}) from (select 'mail' as k, email as v, person_id from stored union all select 'phone', phone, person_id from stored union all select 'name', 's' || person_id, person_id from stored))
+  union all
+  select i, id, action, case when action = 'skipped_duplicate' then case when len(e) > 0 then 'DUPLICATE_EMAIL' else 'DUPLICATE_NAME' end end, case when action = 'inserted' then new_id when action in ('updated', 'reactivated') then 1 when hit is not null then hit when len(e) > 0 then list_min(e) else list_min(n) end,
+    action in ('skipped_duplicate', 'inserted') and len(e) + len(p) > 0,
+    case when action = 'inserted' then list_concat(keys, [x for x in [{{'k': 'mail', 'v': mail, 'p': new_id}}, {{'k': 'phone', 'v': phone, 'p': new_id}}, {{'k': 'name', 'v': name, 'p': new_id}}] if x.v is not null])
+      when action = 'skipped_duplicate' and len(e) = 0 and mail is not null then list_append(keys, {{'k': 'mail', 'v': mail, 'p': list_min(n)}}) else keys end
+  from (select *, case when mapped then case when active then 'updated' else 'reactivated' end when hit is not null then 'deterministic_update' when len(e) > 0 or len(n) > 0 then 'skipped_duplicate' else 'inserted' end as action
+    from (select *, case when len(list_intersect(e, p)) = 1 then list_intersect(e, p)[1] when len(list_intersect(e, p)) = 0 and len(e) + len(p) = 1 then list_concat(e, p)[1] end as hit
+      from (select w.*, keys, id_base + w.id as new_id, {PROBE_SQL.format(kind='mail')} as e, {PROBE_SQL.format(kind='phone')} as p, {PROBE_SQL.format(kind='name')} as n from st join w on w.i = st.i + 1, (select max(person_id) as id_base from stored)))))
+select id as clean_id, load_action, skip_reason, entity_id, ambiguous from st where i > 0"""
+
+
+def loaded_contacts(spark, sf_dir):
     rows = contacts(spark, sf_dir).select(F.col("row_id").alias("clean_id"), F.lit("crm").alias("external_system"), F.col("row_id").cast("string").alias("external_id"), scalar.normalize_email("email").alias("mail"), scalar.normalize_phone("phone").alias("phone"), F.concat(F.lit("p"), F.col("row_id") % 400).alias("name"))
     core = stored(spark, sf_dir).select("person_id", F.col("email").alias("mail"), "phone", F.concat(F.lit("s"), "person_id").alias("name"))
     id_map = rows.filter("clean_id % 6 = 0").select("external_system", "external_id", F.lit(1).cast("long").alias("entity_id"), (F.col("clean_id") % 12 == 0).alias("is_active"))
     return load.decide_loads(rows, core, id_map)
 
 
+@query(LOAD_SQL)
+def load_decisions(spark, sf_dir):
+    """Rows of one run that meet the core and each other; the SQL goes row by row."""
+    return loaded_contacts(spark, sf_dir).select("clean_id", "load_action", "skip_reason", "entity_id", "ambiguous")
+
+
+@query(LOAD_SQL.rsplit("select id as clean_id", 1)[0] + """select count(*) as rows_processed, count(*) filter (load_action = 'inserted') as rows_created, count(*) filter (load_action in ('updated', 'deterministic_update')) as rows_updated, count(*) filter (load_action = 'reactivated') as rows_reactivated,
+  cast(0 as bigint) as rows_skipped_no_change, count(*) filter (load_action = 'skipped_duplicate') as rows_skipped_duplicates, count(*) filter (load_action = 'deterministic_update') as rows_deduped_auto, cast(0 as bigint) as rows_missing_external_id,
+  count(*) filter (load_action = 'inserted') as potential_inserts, count(distinct w.mail) filter (skip_reason = 'DUPLICATE_EMAIL') as duplicate_emails from st join w using (id) where st.i > 0""")
+def load_counters(spark, sf_dir):
+    return load.load_summary(loaded_contacts(spark, sf_dir))
+
+
 # --- increments and samples ---------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinfold.operators import completeness, merge, runs, sampling, search, survivorship
+from kinfold.operators import completeness, load, match, merge, remediate, runs, sampling, search, survivorship
 from kinfold.registry import query, table
 from kinfold.sources import exports
 
@@ -292,3 +292,97 @@ SURVIVORS = ["c_custkey as id", "case when c_custkey % 7 = 0 then 'set by hand'
 def survivorship_totals(spark, sf_dir):
     resolved = survivorship.apply_survivorship(view(spark, sf_dir, "customer", SURVIVORS), keep=("id",))
     return survivorship.survivorship_totals(survivorship.decisions(resolved, ("id",)))
+
+
+# --- updates of the core, candidates and remediation --------------------------------------------------------------
+
+UPDATES = [
+    "o_orderkey as clean_id", "o_custkey as entity_id", "case o_orderstatus when 'F' then 'updated' when 'O' then 'deterministic_update' else 'reactivated' end as load_action", "case when o_orderkey % 50 = 0 then 'crm' else 'csv' end as external_system",
+    "case when o_orderkey % 3 = 0 then ' ' else concat('Ann', o_orderkey % 2) end as first_name", "case when o_orderkey % 4 = 0 then null else concat('mail', o_orderkey % 3) end as email",
+]
+STOCK = ["c_custkey as person_id", "'csv' as source", "c_custkey % 5 = 0 as email_verified", "case when c_custkey % 2 = 0 then 'Ann0' end as first_name", "case when c_custkey % 7 = 0 then null else 'mail1' end as email"]
+UPDATES_SQL = f"""with {sql_view('u', 'orders', UPDATES)}, {sql_view('c', 'customer', STOCK)},
+x as (select clean_id, entity_id, load_action, unnest(['first_name', 'email', 'source']) as field, unnest([nullif(trim(u.first_name), ''), case when not (email_verified and c.email is not null) then nullif(trim(u.email), '') end, external_system]) as new_value,
+  unnest([c.first_name, c.email, c.source]) as core_value from u join c on person_id = entity_id),
+y as (select *, coalesce(last_value(new_value ignore nulls) over (partition by entity_id, field order by clean_id rows between unbounded preceding and 1 preceding), core_value) as old_value from x),
+changes as (select clean_id, entity_id, load_action, field, old_value, new_value from y where new_value is not null and new_value is distinct from old_value)"""
+
+
+def applied(spark, sf_dir):
+    return load.apply_updates(view(spark, sf_dir, "orders", UPDATES), view(spark, sf_dir, "customer", STOCK), ("first_name", "email"))
+
+
+@query(UPDATES_SQL + " select clean_id, entity_id, field, old_value, new_value from changes")
+def core_change_log(spark, sf_dir):
+    return applied(spark, sf_dir)[2]
+
+
+@query(UPDATES_SQL + """ select u.clean_id, case when u.clean_id in (select clean_id from changes) or u.load_action = 'reactivated' then u.load_action when u.load_action = 'updated' then 'skipped_no_change' else 'deterministic_no_change' end as load_action from u join c on person_id = entity_id""")
+def core_update_actions(spark, sf_dir):
+    return applied(spark, sf_dir)[0].select("clean_id", "load_action")
+
+
+@query(UPDATES_SQL + """, l as (select entity_id, field, arg_max(new_value, clean_id) filter (new_value is not null) as v from x group by 1, 2), p as (select entity_id, max(v) filter (field = 'first_name') as f, max(v) filter (field = 'email') as e, max(v) filter (field = 'source') as s from l group by 1)
+select person_id, coalesce(s, source) as source, case when e is not null and e is distinct from email then false else email_verified end as email_verified, coalesce(f, first_name) as first_name, coalesce(e, email) as email from c left join p on entity_id = person_id""")
+def core_after_updates(spark, sf_dir):
+    return applied(spark, sf_dir)[1]
+
+
+def persons(spark, sf_dir, name: str, key: str, ident: str, every: int):
+    """People with names, births, postal codes and an address that some share."""
+    k = F.col(key)
+    given = F.element_at(F.array(*[F.lit(x) for x in ("Annabel", "Annabell", "Anna", "Bob", "Bobby")]), (k % 5 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, name).select(
+        k.alias(ident), given.alias("first_name"), F.concat(F.lit("Family"), (k % 40).cast("string")).alias("last_name"), F.when(k % 9 != 0, F.date_format(F.date_add(F.to_date(F.lit("1990-01-01")), (k % 800).cast("int")), "yyyy-MM-dd")).alias("dob"),
+        none.alias("street"), none.alias("city"), F.when(k % 4 != 0, (k % 6).cast("string")).alias("postal_code"), none.alias("employer"), none.alias("school"),
+        F.when(k % every == 0, F.array(F.concat(F.lit("m"), (k % 30).cast("string"), F.lit("@x.org")))).alias("emails"), F.lit(None).cast("array<string>").alias("phones"),
+    )
+
+
+def person_sql(alias: str, name: str, key: str, ident: str, every: int) -> str:
+    return f"""{alias} as (select {key} as {ident}, ['Annabel', 'Annabell', 'Anna', 'Bob', 'Bobby'][cast({key} % 5 + 1 as int)] as f, 'Family' || ({key} % 40) as l, case when {key} % 9 <> 0 then date '1990-01-01' + cast({key} % 800 as int) end as dob,
+  case when {key} % 4 <> 0 then cast({key} % 6 as varchar) end as zip, case when {key} % {every} = 0 then 'm' || ({key} % 30) || '@x.org' end as mail from {name})"""
+
+
+CANDIDATES_SQL = f"""with {person_sql('a', 'customer', 'c_custkey', 'row_id', 3)}, {person_sql('b', 'supplier', 's_suppkey', 'person_id', 5)},
+considered as (select *, case when dob is null and zip is null and mail is null then 'skipped_no_signals' when row_id % 10 = 3 then 'skipped_deterministic' else 'compared' end as state from a),
+cmp as (select * from considered where state = 'compared'),
+direct as (select distinct row_id, person_id from cmp join b on cmp.mail = b.mail or (lower(cmp.l) = lower(b.l) and left(lower(cmp.f), 1) = left(lower(b.f), 1) and cmp.zip = b.zip)),
+more as (select row_id, person_id from cmp join b on lower(cmp.l) = lower(b.l) and left(lower(cmp.f), 1) = left(lower(b.f), 1) where row_id not in (select row_id from direct) qualify row_number() over (partition by row_id order by person_id) <= 10),
+pairs as (select * from direct union all select * from more),
+scored as (select row_id, person_id, round(0.25 * jaro_winkler_similarity(lower(a.f || ' ' || a.l), lower(b.f || ' ' || b.l)) + 0.20 * coalesce(greatest(0.0, 1 - abs(a.dob - b.dob) / 730.0), 0.0) + 0.20 * coalesce((a.mail = b.mail)::int, 0), 4) as score from pairs join a using (row_id) join b using (person_id)),
+banded as (select *, case when score >= 0.95 then 'high' when score >= 0.60 then 'review' else 'low' end as match_type from scored)"""
+
+
+def generated(spark, sf_dir):
+    incoming = persons(spark, sf_dir, "customer", "c_custkey", "row_id", 3).withColumn("matched", F.col("row_id") % 10 == 3)
+    existing = spark.createDataFrame([], "row_id long, person_id long")
+    return match.generate_candidates(incoming, persons(spark, sf_dir, "supplier", "s_suppkey", "person_id", 5), existing)
+
+
+@query(CANDIDATES_SQL + " select row_id, person_id, score, match_type, 'pending' as decision from banded where match_type <> 'low'")
+def fuzzy_candidates(spark, sf_dir):
+    return generated(spark, sf_dir)[0].select("row_id", "person_id", "score", "match_type", "decision")
+
+
+@query(CANDIDATES_SQL + """ select (select count(*) from considered) as rows_considered, (select count(*) from considered where state = 'skipped_no_signals') as skipped_no_signals, (select count(*) from considered where state = 'skipped_deterministic') as skipped_deterministic,
+  (select count(*) from cmp where row_id not in (select row_id from pairs)) as skipped_no_candidates, count(*) filter (match_type <> 'low') as suggestions_created, count(*) filter (match_type = 'high') as high_pairs, count(*) filter (match_type = 'review') as review_pairs, count(*) filter (match_type = 'low') as low_pairs from banded""")
+def fuzzy_run_summary(spark, sf_dir):
+    return generated(spark, sf_dir)[1]
+
+
+@query("""select o_orderkey as violation_id, case when o_orderstatus = 'P' then 'not_open' when o_orderkey % 4 = 0 then 'validation_failed' else 'succeeded' end as outcome, case when o_orderstatus <> 'P' and o_orderkey % 4 = 0 then 'VOL_EMAIL_FORMAT' else '' end as rule_codes,
+  case when o_orderstatus <> 'P' and o_orderkey % 4 <> 0 then case when o_orderkey % 6 = 0 then 'error_missing_external_id' else 'inserted' end end as load_action from orders""")
+def remediation_outcomes(spark, sf_dir):
+    """Every open row gets a new address, some of them bad ones; what is good is loaded."""
+    k = F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    text = lambda s: F.concat(F.lit(s), k.cast("string"))
+    payload = F.create_map(F.lit("external_id"), F.when(k % 6 != 0, text("x")), F.lit("first_name"), text("First"), F.lit("last_name"), text("Last"), F.lit("email"), F.lit("broken"))
+    violations = table(spark, sf_dir, "orders").select(k.alias("violation_id"), F.when(F.col("o_orderstatus") == "P", "fixed").otherwise("open").alias("status"), payload.alias("payload"))
+    edits = table(spark, sf_dir, "orders").select(k.alias("violation_id"), F.create_map(F.lit("email"), F.when(k % 4 == 0, "still broken").otherwise(F.concat(text("m"), F.lit("@x.org"))), F.lit("stray"), F.lit("dropped")).alias("edits"))
+    core = spark.createDataFrame([], "person_id long, first_name string, last_name string, email string, phone_e164 string, notes string, email_verified boolean, source string, name string")
+    id_map = spark.createDataFrame([], "external_system string, external_id string, entity_id long, is_active boolean")
+    done = remediate.remediate(violations, edits, core, id_map, F.to_timestamp(F.lit("2024-01-01")))["results"]
+    return done.select("violation_id", "outcome", F.array_join("rule_codes", ",").alias("rule_codes"), "load_action")

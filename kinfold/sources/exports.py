@@ -52,7 +52,7 @@ def run_artifact(changes: DataFrame, run_id: int, dry_run: bool) -> DataFrame:
 
 def write_artifact(artifact: DataFrame, path: str) -> dict:
     """Writes the single row as a JSON file beside the run and gives it back."""
-    artifact.write.mode("overwrite").text(path)
+    artifact.coalesce(1).write.mode("overwrite").text(path)
     return json.loads(artifact.head()[0])
 
 
