@@ -1,10 +1,11 @@
 """Near-duplicate groups by MinHash: universal hash minima, banding, signature verification, full check, star components.
 
 Texts with equal shingle sets are one node from the start. Nodes that share a band are grouped around the least id of
-the band (its leader), never as pairs. Within such a group, cut into blocks if it is large, signatures decide which
-members can have a partner at all; only those get their full shingle sets, which are compared in blocks inside tasks,
-and only a spanning forest of the confirmed links leaves a task. Components come from alternating large-star and
-small-star rounds over these links.
+the band (its leader), never as pairs. Every member is first compared with its leader alone, which joins most of a group
+of copies in a number of steps that grows with its members. Only members that are then in another component than their
+leader are compared with the rest of the group, block by block. Signatures decide which members can have a partner at
+all; only those get their full shingle sets, and only a spanning forest of the confirmed links leaves a task. Components
+come from alternating large-star and small-star rounds over these links.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ PERCENT = 75
 HASHES = 128
 #: A pair at the least similarity may share no band with this probability at most.
 MISSED = 1e-5
-#: Members of a group that are compared with each other in one piece of work.
-BLOCK = 384
+#: Members of a group that are compared with each other, and those compared with their leader alone, in one piece of work.
+BLOCK, STAR_BLOCK = 384, 64
 CACHE = 200_000
 
 _multipliers = np.array([int.from_bytes(hashlib.blake2b(b"a%d" % i, digest_size=8).digest(), "little") | 1 for i in range(HASHES)], np.uint64)
@@ -144,12 +145,28 @@ def leader_groups(nodes: DataFrame, by: Banding) -> DataFrame:
     return members
 
 
+def stars(members: DataFrame, block: int) -> DataFrame:
+    """(leader, node, own, i, j): every member beside its leader, in pieces of about so many members (own: i, the leader's: -1)."""
+    sizes = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
+    placed = members.join(sizes, "leader").select("leader", "node", own, F.lit(False).alias("is_leader"))
+    leaders = sizes.select("leader", F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.lit(True).alias("is_leader"))
+    return placed.unionByName(leaders).select("leader", "node", F.when(F.col("is_leader"), -1).otherwise(F.col("own")).alias("own"), F.col("own").alias("i"), F.lit(-1).alias("j"))
+
+
 def in_blocks(members: DataFrame, block: int) -> DataFrame:
-    """(leader, node, own, i, j): members (leaders included) in every pair i <= j of blocks that their own block is in."""
-    sizes = members.groupBy("leader").agg(F.ceil((F.count(F.lit(1)) + 1) / F.lit(block)).cast("int").alias("blocks"))
-    both = members.join(sizes, "leader").unionByName(sizes.withColumn("node", F.col("leader")))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = both.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """(leader, node, own, i, j): the pairs of blocks in which members still have to be compared.
+
+    members: leader, node (leaders included) and joined: whether the node is in the leader's component already. Those
+    that are not are compared with each other and with all others; nodes that are joined need no comparison.
+    """
+    count = lambda c: F.ceil(F.count_if(c) / F.lit(block)).cast("int")
+    sizes = members.groupBy("leader").agg(count(~F.col("joined")).alias("apart"), count(F.col("joined")).alias("rest")).filter("apart > 0")
+    both = members.join(sizes, "leader")
+    hashed = F.xxhash64("node")
+    own = F.when(F.col("joined"), F.col("apart") + F.pmod(hashed, F.greatest("rest", F.lit(1)))).otherwise(F.pmod(hashed, "apart")).cast("int")
+    upto = F.when(F.col("joined"), F.col("apart")).otherwise(F.col("apart") + F.col("rest")) - 1
+    placed = both.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), upto)))
     return placed.select("leader", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
@@ -279,6 +296,22 @@ def star_components(edges: DataFrame) -> DataFrame:
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
 
 
+def _links(read: DataFrame, nodes: DataFrame, placed: DataFrame, by: Banding, percent: int) -> DataFrame:
+    """(u, v): the links of pieces of work, confirmed on full sets; only nodes with a partner by the signatures get theirs."""
+    found = cut(promising(placed.join(nodes.select("node", "sig"), "node").select(*KEY, "own", "node", "sig"), by), "promising")
+    wanted = found.select(F.col("node").alias("id")).distinct()
+
+    def sets(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            for a, b in bounded(batch["text"]):
+                made = [shingle_set(t) for t in batch["text"][a:b].to_pylist()]
+                full = [k for k, s in enumerate(made) if len(s)]
+                yield {"node": batch["id"][a:b].take(pa.array(full, pa.int64())), "shingles": [made[k].tobytes() for k in full]}
+
+    full = map_columns(read.join(wanted, "id", "left_semi"), sets, "node long, shingles binary")
+    return confirmed(found.join(full, "node").select(*KEY, "own", "node", "shingles"), percent)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the least id that links reach), kept (id = component_id).
 
@@ -292,21 +325,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(_signed(read), "signed")
     some = signed.filter("digest is not null and id is not null")
     nodes = cut(some.groupBy("digest").agg(F.min("id").alias("node"), F.first("sig").alias("sig")), "nodes")
-    placed = in_blocks(cut(leader_groups(nodes, by), "groups"), block).join(nodes.select("node", "sig"), "node")
-    found = cut(promising(placed.select(*KEY, "own", "node", "sig"), by), "promising")
-    wanted = found.select(F.col("node").alias("id")).distinct()
-
-    def sets(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            for a, b in bounded(batch["text"]):
-                made = [shingle_set(t) for t in batch["text"][a:b].to_pylist()]
-                full = [k for k, s in enumerate(made) if len(s)]
-                yield {"node": batch["id"][a:b].take(pa.array(full, pa.int64())), "shingles": [made[k].tobytes() for k in full]}
-
-    full = map_columns(read.join(wanted, "id", "left_semi"), sets, "node long, shingles binary")
-    links = confirmed(found.join(full, "node").select(*KEY, "own", "node", "shingles"), percent)
-    stars = star_components(links)
-    of = nodes.select("digest", "node").join(stars.select(F.col("u").alias("node"), F.col("v").alias("to")), "node", "left")
+    members = cut(leader_groups(nodes, by), "groups")
+    links = cut(_links(read, nodes, stars(members, min(block, STAR_BLOCK)), by, percent), "links")
+    joined = star_components(links)
+    component = nodes.select("node").join(joined.select(F.col("u").alias("node"), F.col("v").alias("to")), "node", "left").select("node", F.coalesce("to", "node").alias("c"))
+    both = members.unionByName(members.select("leader", F.col("leader").alias("node")).distinct()).join(component, "node")
+    heads = component.select(F.col("node").alias("leader"), F.col("c").alias("leader_c"))
+    apart = both.join(heads, "leader").select("leader", "node", (F.col("c") == F.col("leader_c")).alias("joined"))
+    more = _links(read, nodes, in_blocks(cut(apart, "apart"), block), by, percent)
+    found = star_components(joined.unionByName(more))
+    of = nodes.select("digest", "node").join(found.select(F.col("u").alias("node"), F.col("v").alias("to")), "node", "left")
     of = of.select("digest", F.coalesce("to", "node").alias("component_id"))
     out = some.select("id", "n_shingles", "digest").join(of, "digest").select("id", "n_shingles", "component_id")
     rest = signed.filter("digest is null or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
