@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.scalar import checksum, first_present
+from kinfold.operators.materialize import cut
 
 # Canonical headers and the other names they go by; the first two in REQUIRED must be there.
 HEADERS = {
@@ -78,19 +79,48 @@ def is_blank(names: list[str]) -> Column:
     return blank
 
 
+def canonical(rows: DataFrame) -> DataFrame:
+    """Columns under their canonical names, trimmed; unknown ones are dropped, and of two names for one field the first stays."""
+    known, taken = aliases(), {}
+    for c in rows.columns:
+        name = known.get(header_token(c))
+        if name is not None:
+            taken.setdefault(name, c)
+    return rows.select(*[F.trim(F.col(f"`{c}`")).alias(n) for n, c in taken.items()])
+
+
+def missing_headers(columns: list[str]) -> list[str]:
+    """Required fields that no column stands for."""
+    there = {aliases().get(header_token(c)) for c in columns}
+    return [n for n in REQUIRED if n not in there]
+
+
 def read_people(spark: SparkSession, path: str, skip_blank: bool = True) -> DataFrame:
     """sequence_number and the canonical columns as trimmed text.
 
-    Rows are numbered from 1 in file order before blank ones go, so gaps remain. The number comes from the row's place
-    in its file: a multi-line CSV file is read by one task as it is, and numbering needs no shuffle.
+    Rows are numbered from 1 before blank ones go, so gaps remain: in a file by their place, which needs no shuffle, and
+    over the files of a folder in the order of their names. Multi-line files are read whole, one task each, so a large
+    export should come as many files.
     """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     names = resolve_headers(raw.columns)
-    rows = raw.toDF(*names).select(*[F.trim(F.col(n)).alias(n) for n in names])
-    numbered = rows.select((F.monotonically_increasing_id() + 1).alias("sequence_number"), "*")
+    file = raw.select(F.col("_metadata.file_path").alias("_file"), *[F.trim(F.col(f"`{c}`")).alias(n) for c, n in zip(raw.columns, names, strict=True)])
+    placed = file.withColumn("sequence_number", F.monotonically_increasing_id() + 1)
+    if len(raw.inputFiles()) > 1:
+        placed = cut(placed, "csv")
+        files = placed.groupBy("_file").agg(F.min("sequence_number").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
+        placed = placed.join(F.broadcast(files.select("_file", "_first", before.alias("_before"))), "_file").withColumn("sequence_number", F.col("sequence_number") - F.col("_first") + F.col("_before") + 1)
+    numbered = placed.select("sequence_number", *names)
     return numbered.filter(~is_blank(names)) if skip_blank else numbered
 
 
+def scan_counts(rows: DataFrame) -> DataFrame:
+    """rows_read, rows_skipped_blank and rows_kept, from rows that were read with their blank ones."""
+    blank = is_blank([c for c in rows.columns if c != "sequence_number"])
+    return rows.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(blank).alias("rows_skipped_blank"), F.count_if(~blank).alias("rows_kept"))
+
+
 def column_population(rows: DataFrame, names: list[str]) -> DataFrame:
     """(field, populated, population_rate) in one pass; white space alone counts as a value."""
     aggs = [F.count(F.when(F.coalesce(F.col(n), F.lit("")) != "", 1)).alias(n) for n in names]
@@ -114,7 +144,22 @@ def stage_people(rows: DataFrame, run_id: int, source_system: str) -> DataFrame:
     )
 
 
-READERS = {"csv": read_people}
+def _crm(object_name: str):
+    """A reader of dropped pages of one CRM object; the columns are those that extraction needs."""
+
+    def read(spark: SparkSession, path: str) -> DataFrame:
+        from kinfold.sources import crm
+
+        return crm.read_pages(spark, path, list(crm.COLUMNS[object_name]))
+
+    return read
+
+
+def _later(spark: SparkSession, path: str) -> DataFrame:
+    raise NotImplementedError("sheets are a placeholder: export them as CSV")
+
+
+READERS = {"csv": read_people, **{f"crm_{n}": _crm(n) for n in ("contacts", "accounts", "affiliations", "sessions")}, "sheets": _later}
 
 
 def reader(name: str):

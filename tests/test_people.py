@@ -116,7 +116,7 @@ def test_headers():
         with pytest.raises(people_csv.HeaderError):
             people_csv.resolve_headers(bad)
     with pytest.raises(KeyError):
-        people_csv.reader("sheets")
+        people_csv.reader("letters")
 
 
 def test_csv_gaps(spark, tmp_path):
@@ -127,6 +127,28 @@ def test_csv_gaps(spark, tmp_path):
     assert stats == {"first_name": 2, "email": 1}
 
 
+def test_csv_folder_and_counts(spark, tmp_path):
+    for n in ("a", "b"):
+        put(tmp_path, f"{n}.csv", f"First,Last,Email\n{n}1,X,\n,,\n{n}2,X,\n")
+    rows = people_csv.read_people(spark, str(tmp_path), skip_blank=False)
+    assert {r["sequence_number"]: r["first_name"] for r in rows.collect()} == {1: "a1", 2: None, 3: "a2", 4: "b1", 5: None, 6: "b2"}
+    assert tuple(people_csv.scan_counts(rows).head()) == (6, 2, 4)
+    odd = spark.createDataFrame([(" Ann ", "9", "Lee")], "`Given Name` string, shoe string, surname string")
+    assert people_csv.canonical(odd).head().asDict() == {"first_name": "Ann", "last_name": "Lee"} and people_csv.missing_headers(["shoe", "Surname"]) == ["first_name"]
+
+
+def test_crm_order_and_pages(spark, tmp_path):
+    raw = spark.createDataFrame([("1", "B", None, "2024-01-01"), ("2", "A", "Business", "2024-01-02"), ("3", "C", "School", "2024-01-03")], "Id string, Name string, Type string, SystemModstamp string")
+    assert [r["Id"] for r in crm.accounts(raw).collect()] == ["2", "1"] and [r["Id"] for r in crm.accounts(raw, "2024-01-01", 1).collect()] == ["2"]
+    starts = spark.createDataFrame([("1", "Confirmed", "Fair", "2024-01-01", "2024-01-01"), ("2", "Confirmed", None, "2024-02-01", "2024-01-01"), ("3", "Draft", "Fair", None, "2024-01-01")], "Id string, Session_Status string, Session_Type string, Start string, SystemModstamp string")
+    assert [r["Id"] for r in crm.sessions(starts).collect()] == ["2", "1"]
+    links = spark.createDataFrame([("9", "1", "2024-01-01"), ("8", "2", "2024-01-02")], "Id string, Contact string, SystemModstamp string")
+    people = spark.createDataFrame([("1", "Student"), ("2", "")], "Id string, Type string")
+    assert [r["Id"] for r in crm.affiliations(links, people).collect()] == ["8"] and [r["Id"] for r in crm.affiliations(links, people, volunteers_only=False).collect()] == ["9", "8"]
+    crm.pages(raw.coalesce(1), str(tmp_path / "pages"), 2)
+    assert people_csv.reader("crm_accounts")(spark, str(tmp_path / "pages")).count() == 3 and len(list((tmp_path / "pages").glob("*.csv"))) == 2
+
+
 def run(spark, tmp_path, body, core=None, id_map=None, run_id=1):
     core = core if core is not None else spark.createDataFrame([], CORE)
     id_map = id_map if id_map is not None else spark.createDataFrame([], ID_MAP)
