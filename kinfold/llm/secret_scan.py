@@ -24,9 +24,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Parts of names that receive secrets, and how much each says.
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "pass": 2, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3, "bearer": 2, "auth": 1, "private": 1, "access": 1, "api": 1, "key": 1, "signing": 1, "client": 1, "encryption": 1}
-#: Texts without a match hold no name that scores 2 or more: that takes one part of 2 or more, or two others in one name.
-STRONG, WEAK = ("|".join(p for p, n in SENSITIVE.items() if (n >= 2) == strong) for strong in (True, False))
-HINTS = re.compile(rf"{STRONG}|(?:{WEAK})[A-Za-z0-9_$.\-]*?(?:{WEAK})", re.ASCII | re.IGNORECASE)
+#: Texts without a hint hold no name that scores 2 or more: that takes one part of 2 or more, or two others in one name.
+STRONG, WEAK = ([p for p, n in SENSITIVE.items() if (n >= 2) == strong] for strong in (True, False))
+TWO_WEAK = re.compile(rf"(?:{'|'.join(WEAK)})[a-z0-9_$.\-]*?(?:{'|'.join(WEAK)})")
+#: What a base match of kind assign begins with.
+ASSIGNED = ("password", "passwd", "secret", "token", "api_key", "apikey")
+
+
+def hinted(lower: str) -> bool:
+    """Whether a lower-case text may hold a sensitive name; plain searches first, as most texts hold none of the parts."""
+    return any(p in lower for p in STRONG) or (any(p in lower for p in WEAK) and TWO_WEAK.search(lower) is not None)
+
+
 NAME = r"(?P<name>[A-Za-z_$][A-Za-z0-9_$]*+(?:[.\-][A-Za-z0-9_$]++)*+)"
 #: A name and what makes it a target: a type and "=", an assignment, a key's colon, or the bracket of a call.
 TARGET = re.compile(
@@ -136,7 +145,7 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     the argument after them. Literals may have prefixes or triple quotes, and of those joined together each is a span.
     Comments are read as code, since secrets in them leak too; a name may be assigned several times.
     """
-    if not HINTS.search(text):
+    if not hinted(text.lower()):
         return []
     pairs = Pairs()
     for m in MARKED.finditer(text):
@@ -167,7 +176,8 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the three plain patterns, leftmost and without overlap in each kind."""
-    found = [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    lower = text.lower()
+    found = [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6] if any(p in lower for p in ASSIGNED) else []
     if "AKIA" in text:
         found += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]

@@ -230,7 +230,7 @@ SCAN_PARTS = ["\n", " ", "_", ".", "-", "=", ": ", '"', "'", "x", "Monkey", "a8F
 
 def without_hints(text):
     with pytest.MonkeyPatch.context() as m:
-        m.setattr(secret_scan, "HINTS", re.compile(""))
+        m.setattr(secret_scan, "hinted", lambda lower: True)
         return secret_scan.scan_text(text)
 
 
@@ -253,7 +253,7 @@ def test_hints_know_every_sensitive_name():
 
 def test_hints_are_linear():
     for t in ("auth" + "x" * 300_000, "access " * 100_000, "api-" + "a." * 200_000, "autx" * 100_000, "api" + "clien_" * 100_000):
-        secret_scan.HINTS.search(t)
+        secret_scan.hinted(t)
 
 
 def test_redact(spark):
