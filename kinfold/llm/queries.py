@@ -1,4 +1,8 @@
-"""The queries of the corpus operators: each applies one operator to its whole table."""
+"""The queries of the corpus operators: each applies one operator to its whole table, with its production parameters.
+
+Null texts count as empty, rows that repeat an id are taken each by itself as their operator says, ties are settled by
+the least id, an empty table gives no rows, and further columns are not read.
+"""
 
 from __future__ import annotations
 
@@ -16,20 +20,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays for its text; null and empty texts are one group."""
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is left of its bytes without strings that start earlier; nothing of empty ones."""
     done = suffix_dedup.strip_repeats(documents(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
     return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts and verdict; empty ones fail the base rule."""
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score, learned from the labels that are not held out; empty ones have the score of no evidence."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(remainder("doc_id", 5) != 0)
     scored = toxicity.score_toxicity(docs, toxicity.fit(docs, labels))
@@ -37,14 +45,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the least one that links reach; empty ones are linked with nothing."""
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document and their places; empty ones are the end id alone."""
     return packing.pack(documents(spark, sf_dir))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language, learned from those that are not held out; `und` without a letter."""
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs.filter(remainder("doc_id", 3) != 1), "doc_id", "text", "lang")
     judged = language_id.predict(docs, model)
@@ -52,6 +63,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with digests of its ids and of what they decode to; empty ones have none and decode to nothing."""
     done = bpe_codec.encode_decode(documents(spark, sf_dir))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return done.select(
@@ -67,6 +79,7 @@ def joined_spans(spans) -> F.Column:
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its base spans' counts and digest and all spans; empty ones have none."""
     found = secret_scan.scan_secrets(documents(spark, sf_dir))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
