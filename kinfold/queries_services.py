@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinfold.operators import completeness, load, match, merge, remediate, runs, sampling, search, survivorship
+from kinfold.functions import scalar
+from kinfold.operators import completeness, dq, load, match, merge, remediate, reports, runs, sampling, search, survivorship
 from kinfold.registry import query, table
 from kinfold.sources import exports
 
@@ -386,3 +387,120 @@ def remediation_outcomes(spark, sf_dir):
     id_map = spark.createDataFrame([], "external_system string, external_id string, entity_id long, is_active boolean")
     done = remediate.remediate(violations, edits, core, id_map, F.to_timestamp(F.lit("2024-01-01")))["results"]
     return done.select("violation_id", "outcome", F.array_join("rule_codes", ",").alias("rule_codes"), "load_action")
+
+
+# --- further reports and lookups ----------------------------------------------------------------------------------
+
+MAPS = ["event_id as map_id", "lpad(cast(event_id as string), 7, '0') as external_id", "user_id as run_id", "event_type <> 'error' as is_active", "ts as first_seen_at", "case when event_id % 3 = 0 then ts else ts + interval 1 day end as last_seen_at"]
+
+
+@query("""select count(*) filter (user_id = 8) as touched, count(*) filter (user_id = 8 and event_id % 3 = 0) as "new", count(*) filter (event_type <> 'error') as total_active,
+  array_to_string((select list(x order by x) from (select lpad(cast(event_id as varchar), 7, '0') as x from events where user_id = 8 and event_id % 3 = 0 order by 1 limit 5)), ',') as examples from events""")
+def id_map_changes(spark, sf_dir):
+    return reports.id_map_changes(view(spark, sf_dir, "events", MAPS), F.lit(8)).withColumn("examples", F.array_join("examples", ","))
+
+
+@query("select count(*) as total, count(*) filter (o_orderstatus <> 'F') as active, count(*) filter (o_orderdate >= timestamp '1998-01-01') as recent, count(*) filter (o_orderdate + interval 5 day >= timestamp '1998-01-24') as logins from orders")
+def admin_counters(spark, sf_dir):
+    users = view(spark, sf_dir, "orders", ["o_orderstatus <> 'F' as is_active", "o_orderdate as created_at", "o_orderdate + interval 5 day as last_login"])
+    return reports.recent_counts(users, F.to_timestamp(F.lit("1998-01-31 00:00:00")))
+
+
+@query(f"with {V} select distinct rule_code from v")
+def distinct_rule_codes(spark, sf_dir):
+    return reports.distinct_values(view(spark, sf_dir, "lineitem", VIOLATIONS), "rule_code")
+
+
+@query("""with e as (select o_orderkey, o_orderpriority as rule_code, o_orderdate as made, case when o_orderkey % 3 = 0 then 'success' else 'validation_failed' end as outcome, unnest(case when o_orderkey % 2 = 0 then ['email'] else ['email', 'phone'] end) as field from orders),
+r as (select *, unnest(case when outcome = 'success' then [rule_code] else ['R1', 'R2'] end) as code from e where made >= timestamp '1998-01-01')
+select field, outcome, code as rule_code, count(*) as n from r group by 1, 2, 3""")
+def remediation_stats(spark, sf_dir):
+    k = F.col("o_orderkey")
+    diff = F.when(k % 2 == 0, F.create_map(F.lit("email"), F.lit("x"))).otherwise(F.create_map(F.lit("email"), F.lit("x"), F.lit("phone"), F.lit("y")))
+    audit = F.array(F.struct(F.col("o_orderdate").cast("timestamp").alias("at"), F.when(k % 3 == 0, "success").otherwise("validation_failed").alias("outcome"), F.array(F.lit("R1"), F.lit("R2")).alias("rule_codes"), diff.alias("diff")))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("rule_code"), audit.alias("audit"))
+    return reports.remediation_stats(rows, F.to_timestamp(F.lit("1998-01-01 00:00:00")))
+
+
+CHILDREN = ["l_suppkey as person_id", "l_extendedprice as value", "l_linenumber = 1 as is_primary", "struct(l_orderkey, l_partkey, l_linenumber, l_extendedprice) as place"]
+
+
+@query("select l_suppkey as person_id, arg_min(l_extendedprice, (case when l_linenumber = 1 then 0 else 1 end, l_orderkey, l_partkey, l_linenumber, l_extendedprice)) as value from lineitem group by 1")
+def first_or_primary_child(spark, sf_dir):
+    return search.first_child(view(spark, sf_dir, "lineitem", CHILDREN), "person_id", "value", F.col("is_primary"), "place")
+
+
+@query("select n_nationkey, string_agg(s_suppkey || ' ' || s_name, ',' order by s_suppkey) as children from nation left join supplier on s_nationkey = n_nationkey group by 1")
+def nested_children(spark, sf_dir):
+    nested = search.nested_children(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", table(spark, sf_dir, "supplier"), "s_nationkey", "children", ["s_suppkey", "s_name"])
+    return nested.select("n_nationkey", F.array_join(F.transform("children", lambda c: F.concat_ws(" ", c["s_suppkey"].cast("string"), c["s_name"])), ",").alias("children"))
+
+
+GRANTS = ["n_regionkey as role_id", "n_name as permission"]
+
+
+@query("""with m as (select distinct user_id, event_id % 25 as organization_id, event_id % 5 as role_id from events where event_type <> 'error'), g as (select n_regionkey as role_id, n_name as permission from nation)
+select distinct user_id, organization_id, permission from m join g using (role_id) union select c_custkey, null, permission from customer, g where c_custkey % 40 = 0""")
+def role_permissions(spark, sf_dir):
+    users = view(spark, sf_dir, "customer", ["c_custkey as user_id", "c_custkey % 40 = 0 as is_super_admin"])
+    members = view(spark, sf_dir, "events", ["user_id", "event_id % 25 as organization_id", "cast(event_id % 5 as int) as role_id", "event_type <> 'error' as is_active"])
+    return search.permissions_of(users, members, view(spark, sf_dir, "nation", GRANTS))
+
+
+@query("select n_nationkey as role_id, n_regionkey as level from nation where n_regionkey <= 2")
+def roles_up_to_level(spark, sf_dir):
+    return search.roles_up_to(view(spark, sf_dir, "nation", ["n_nationkey as role_id", "n_regionkey as level"]), 2)
+
+
+@query("select n_nationkey as id, n_name as name from nation where n_regionkey <> 2 and (n_name ilike '%ion_1%' or 'x' ilike '%ion_1%') order by n_name, n_nationkey limit 20")
+def autocomplete_organizations(spark, sf_dir):
+    rows = view(spark, sf_dir, "nation", ["n_nationkey as id", "n_name as name", "'x' as slug", "n_regionkey <> 2 as is_active"])
+    return search.autocomplete(rows, "ion_1").select("id", "name")
+
+
+@query("select c_custkey as person_id from customer where not coalesce(case when c_custkey % 3 = 0 then null else c_custkey % 2 = 0 end, false) and c_custkey % 5 = 0")
+def contact_preference_filter(spark, sf_dir):
+    rows = view(spark, sf_dir, "customer", ["c_custkey as person_id", "case when c_custkey % 3 = 0 then null else c_custkey % 2 = 0 end as do_not_email", "c_custkey % 5 = 0 as local"])
+    return rows.filter(search.preference("do_not_email", False) & search.preference("local", True) & search.preference("do_not_email", None)).select("person_id")
+
+
+@query("""select o_orderkey as id, concat_ws(',', case when o_orderkey % 7 = 0 then 'EVENT_TITLE_REQUIRED' end, case when o_orderkey % 5 = 0 then 'EVENT_START_DATE_REQUIRED' end, case when o_orderkey % 5 <> 0 and o_orderkey % 3 = 0 then 'EVENT_DATE_VALIDATION' end) as codes from orders""")
+def event_rule_violations(spark, sf_dir):
+    rows = view(spark, sf_dir, "orders", ["o_orderkey as id", "case when o_orderkey % 7 = 0 then ' ' else 'Fair' end as title", "case when o_orderkey % 5 = 0 then '' else '2024-01-02T10:00:00Z' end as start_date", "case when o_orderkey % 3 = 0 then '2024-01-02T10:00:00Z' else 'later' end as end_date"])
+    return dq.judge(rows, dq.event_rules()).select("id", F.array_join(F.transform("violations", lambda v: v["rule_code"]), ",").alias("codes"))
+
+
+@query("select c_custkey as id, concat_ws(',', case when c_custkey % 4 = 0 then 'AFF_CONTACT_REQUIRED' end, case when c_custkey % 6 = 0 then 'AFF_ORGANIZATION_REQUIRED' end) as codes, case when c_custkey % 4 = 0 or c_custkey % 6 = 0 then 'quarantined' else 'validated' end as status from customer")
+def affiliation_rule_violations(spark, sf_dir):
+    rows = view(spark, sf_dir, "customer", ["c_custkey as id", "case when c_custkey % 4 = 0 then ' ' else 'c' end as contact_id", "case when c_custkey % 6 = 0 then null else 'o' end as organization_id"])
+    return dq.judge(rows, dq.affiliation_rules()).select("id", F.array_join(F.transform("violations", lambda v: v["rule_code"]), ",").alias("codes"), "status")
+
+
+@query("select c_custkey as id, case c_custkey % 5 when 0 then 'x' || c_custkey when 1 then 's' || c_custkey when 2 then 'seq-' || c_custkey else 'row-' || c_custkey end as record_key from customer")
+def record_keys(spark, sf_dir):
+    k = F.col("c_custkey")
+    key = scalar.record_key(F.when(k % 5 == 0, F.concat(F.lit("x"), k)), F.when(k % 5 == 1, F.concat(F.lit("s"), k)), F.when(k % 5 == 2, k), k)
+    return table(spark, sf_dir, "customer").select(k.alias("id"), key.alias("record_key"))
+
+
+@query("""select c_custkey as id, case c_custkey % 4 when 0 then 'a@x.org' when 1 then 'work@x.org' when 2 then 'plain@x.org' end as email, case c_custkey % 4 when 0 then '1' when 1 then '2' when 2 then 'Plain@X.org' end as phone,
+  case c_custkey % 3 when 0 then 'Likes' || chr(10) || 'Skills: SQL' when 1 then 'Department: IT' || chr(10) || 'Skills: SQL' else 'Skills: SQL' end as notes from customer""")
+def extracted_contact_fields(spark, sf_dir):
+    k = F.col("c_custkey")
+    raw = F.when(k % 4 == 0, "{'primary': 'A@x.org', 'home': 'b@x.org'}").when(k % 4 == 1, '{"primary": "", "work": "work@x.org"}').when(k % 4 == 2, " Plain@X.org ")
+    number = F.when(k % 4 == 0, "{'mobile': '1', 'work': '2'}").when(k % 4 == 1, '{"home": " ", "work": "2"}').when(k % 4 == 2, " Plain@X.org ")
+    notes = scalar.compose_notes(F.when(k % 3 < 2, "IT"), F.when(k % 3 == 0, "Likes"), F.lit("SQL"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), scalar.extract_email(raw).alias("email"), scalar.extract_phone(number).alias("phone"), notes.alias("notes"))
+
+
+@query("select o_orderkey as id, o_orderdate >= date '1996-05-06' as after_first, o_orderdate < date '1997-05-07' as before_last from orders")
+def filter_date_bounds(spark, sf_dir):
+    day = F.col("o_orderdate").cast("timestamp")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (day >= scalar.filter_date(F.lit("5/6/1996"))).alias("after_first"), (day <= scalar.filter_date(F.lit("1997-05-06"), True)).alias("before_last"))
+
+
+@query("select p_partkey as id, case when p_size < 13 then 'small' else 'event' end as slug_base, case when p_size % 4 = 0 then null when p_size % 4 = 1 then 5 when p_size % 4 = 2 then -3 end as whole from part")
+def loose_coercions(spark, sf_dir):
+    k = F.col("p_size")
+    text = F.when(k % 4 == 0, "5.5").when(k % 4 == 1, " 5 ").when(k % 4 == 2, "-3").otherwise("x")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), scalar.slugify(F.when(k < 13, " Small!_").otherwise("???")).alias("slug_base"), scalar.coerce_int(text).alias("whole"))

@@ -3,9 +3,11 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kinfold.functions import scalar
+from kinfold.functions import scalar, similarity
 from kinfold.operators import completeness, crm_load, load, match, merge, remediate, runs, sampling, search, survivorship
 from kinfold.operators.ranking import number_within
 from kinfold.sources import exports
@@ -43,6 +45,13 @@ def test_scalars(spark):
     assert one(spark, scalar.enum_or(t("VIRTUAL"), ("virtual",), "in_person"), scalar.enum_or(t("?"), ("virtual",), "in_person")) == ("virtual", "in_person")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("abcdé ", max_size=9), st.text("abcdé ", max_size=9)), min_size=1, max_size=8))
+def test_jaro_winkler_together(pairs):
+    got = similarity.jaro_winkler_together([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == pytest.approx([similarity.jaro_winkler_text(a, b) for a, b in pairs], abs=1e-12)
+
+
 def test_number_within_spreads_one_group(spark):
     rows = spark.range(1000).select(F.lit("all").alias("g"), (F.col("id") * 7 % 1000).alias("k"))
     got = number_within(rows, ["g"], ["k"]).collect()
