@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import map_columns
+from kinfold.llm.common import bounded, map_columns
 
 LENGTH = 100
 #: Text bytes of one sorted run and of one slice that is hashed at a time.
@@ -446,8 +446,8 @@ def sorted_runs(batches: Iterator[dict], s: Shape, splitters: np.ndarray, parts:
         for p, (a, b) in enumerate(zip(borders, borders[1:], strict=False)):
             if b > a:
                 put(p, None, None, front_coded(rows[a:b], ids[a:b], keys[a:b], at[a:b]))
-        for ident, key, data in spans.rows():
-            put(key % parts, ident, key, data)
+        for ident, key, data in spans.rows():  # they only pass through; copies of one text go to different parts
+            put((ident * 0x9E3779B1 + key) % parts, ident, key, data)
         return out
 
     total = 0
@@ -555,20 +555,20 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both = read.join(found.hint("shuffle_hash"), ["id", "key"], "left").select("own", "text", "spans")
 
     def strip(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
+        for batch, a, b in ((batch, a, b) for batch in batches for a, b in bounded(batch["text"])):
             out: dict[str, list] = {"n_bytes": [], "spans": [], "kept": []}
-            for text, packed in zip(batch["text"], batch["spans"], strict=True):
+            for text, packed in zip(batch["text"][a:b], batch["spans"][a:b], strict=True):
                 data = text.as_py().encode()
                 kept, ranges = data, []
                 if packed.is_valid:
                     got = np.concatenate([np.frombuffer(p, "<i8").reshape(-1, 2) for p in packed.as_py()])
                     ranges = joined(*got[np.argsort(got[:, 0], kind="stable")].T).tolist()
                     borders = [0, *[x for r in ranges for x in r], len(data)]
-                    kept = b"".join([data[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True)])
+                    kept = b"".join([data[i:j] for i, j in zip(borders[::2], borders[1::2], strict=True)])
                 out["n_bytes"].append(len(data))
-                out["spans"].append([{"begin": a, "end": b} for a, b in ranges])
+                out["spans"].append([{"begin": i, "end": j} for i, j in ranges])
                 out["kept"].append(kept)
-            yield {"id": batch["own"], **out}
+            yield {"id": batch["own"][a:b], **out}
 
     kind = docs.schema[id_col].dataType.simpleString()
     types = f"id {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"
