@@ -2,8 +2,8 @@
 
 Texts with equal shingle sets are one node from the start. Nodes that share a band are grouped around the least id of
 the band (its leader), never as pairs. Every member is first compared with its leader alone, which joins most of a group
-of copies in a number of steps that grows with its members. Only members that are then in another component than their
-leader are compared with the rest of the group, block by block. Signatures decide which members can have a partner at
+of copies in a number of steps that grows with its members. Only members without such a link are compared with the rest
+of the group, block by block. Signatures decide which members can have a partner at
 all; only those get their full shingle sets, and only a spanning forest of the confirmed links leaves a task. Components
 come from alternating large-star and small-star rounds over these links.
 """
@@ -157,8 +157,8 @@ def stars(members: DataFrame, block: int) -> DataFrame:
 def in_blocks(members: DataFrame, block: int) -> DataFrame:
     """(leader, node, own, i, j): the pairs of blocks in which members still have to be compared.
 
-    members: leader, node (leaders included) and joined: whether the node is in the leader's component already. Those
-    that are not are compared with each other and with all others; nodes that are joined need no comparison.
+    members: leader, node (leaders included) and joined: whether the node is the leader or linked with it. Those that
+    are not are compared with each other and with all others; nodes that are joined need no comparison.
     """
     count = lambda c: F.ceil(F.count_if(c) / F.lit(block)).cast("int")
     sizes = members.groupBy("leader").agg(count(~F.col("joined")).alias("apart"), count(F.col("joined")).alias("rest")).filter("apart > 0")
@@ -327,13 +327,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(some.groupBy("digest").agg(F.min("id").alias("node"), F.first("sig").alias("sig")), "nodes")
     members = cut(leader_groups(nodes, by), "groups")
     links = cut(_links(read, nodes, stars(members, min(block, STAR_BLOCK)), by, percent), "links")
-    joined = star_components(links)
-    component = nodes.select("node").join(joined.select(F.col("u").alias("node"), F.col("v").alias("to")), "node", "left").select("node", F.coalesce("to", "node").alias("c"))
-    both = members.unionByName(members.select("leader", F.col("leader").alias("node")).distinct()).join(component, "node")
-    heads = component.select(F.col("node").alias("leader"), F.col("c").alias("leader_c"))
-    apart = both.join(heads, "leader").select("leader", "node", (F.col("c") == F.col("leader_c")).alias("joined"))
-    more = _links(read, nodes, in_blocks(cut(apart, "apart"), block), by, percent)
-    found = star_components(joined.unionByName(more))
+    with_leader = links.select(F.col("u").alias("node"), F.col("v").alias("leader"), F.lit(True).alias("joined"))
+    judged = members.join(with_leader, ["leader", "node"], "left").select("leader", "node", F.coalesce("joined", F.lit(False)).alias("joined"))
+    heads = members.select("leader", F.col("leader").alias("node"), F.lit(True).alias("joined")).distinct()
+    more = _links(read, nodes, in_blocks(cut(judged.unionByName(heads), "judged"), block), by, percent)
+    found = star_components(links.unionByName(more))
     of = nodes.select("digest", "node").join(found.select(F.col("u").alias("node"), F.col("v").alias("to")), "node", "left")
     of = of.select("digest", F.coalesce("to", "node").alias("component_id"))
     out = some.select("id", "n_shingles", "digest").join(of, "digest").select("id", "n_shingles", "component_id")
