@@ -58,14 +58,20 @@ def id_map_changes(id_map: DataFrame, run_id: Column, examples: int = 5) -> Data
     return counts.join(F.broadcast(some))  # one row each
 
 
-def sorted_page(frame: DataFrame, sort: str, allowed: dict[str, str], ident: str, page: int, size: int, most: int = 100) -> DataFrame:
-    """A page of rows by a whitelisted field ("-field": descending), the id as tiebreak."""
+def sorted_page(frame: DataFrame, sort: str, allowed: dict[str, str | tuple[str, ...]], ident: str, page: int, size: int, most: int = 100) -> DataFrame:
+    """A page of rows by a whitelisted field ("-field": descending), which may stand for several columns, the id as tiebreak."""
     name, down = sort.removeprefix("-"), sort.startswith("-")
     if name not in allowed:
         raise ValueError(f"can't sort by {name!r}")
     size = max(1, min(most, size))
-    c = F.col(allowed[name])
-    return frame.orderBy(c.desc_nulls_last() if down else c.asc_nulls_first(), ident).offset((max(1, page) - 1) * size).limit(size)
+    columns = allowed[name] if isinstance(allowed[name], tuple) else (allowed[name],)
+    order = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c in columns]
+    return frame.orderBy(*order, ident).offset((max(1, page) - 1) * size).limit(size)
+
+
+def latest(frame: DataFrame, stamp: str, ident: str, n: int) -> DataFrame:
+    """The n newest rows, for lists of runs and logs."""
+    return frame.orderBy(F.desc_nulls_last(stamp), F.desc(ident)).limit(n)
 
 
 def page_count(total: int, size: int) -> int:

@@ -504,3 +504,15 @@ def loose_coercions(spark, sf_dir):
     k = F.col("p_size")
     text = F.when(k % 4 == 0, "5.5").when(k % 4 == 1, " 5 ").when(k % 4 == 2, "-3").otherwise("x")
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), scalar.slugify(F.when(k < 13, " Small!_").otherwise("???")).alias("slug_base"), scalar.coerce_int(text).alias("whole"))
+
+
+@query("select c_custkey as id, c_mktsegment as last_name, c_nationkey as first_name from customer order by c_mktsegment desc, c_nationkey desc, c_custkey limit 30 offset 60")
+def page_by_names(spark, sf_dir):
+    """The third page by last and first name, descending."""
+    rows = view(spark, sf_dir, "customer", ["c_custkey as id", "c_mktsegment as last_name", "c_nationkey as first_name"])
+    return reports.sorted_page(rows, "-name", {"name": ("last_name", "first_name")}, "id", 3, 30)
+
+
+@query(f"with {R} select run_id from r order by started_at desc, run_id desc limit 25")
+def latest_runs(spark, sf_dir):
+    return reports.latest(view(spark, sf_dir, "orders", RUNS), "started_at", "run_id", 25).select("run_id")

@@ -43,6 +43,11 @@ class Watermarks:
         self.spark.createDataFrame([((last or 0) + 1, mark)], "epoch long, mark string").write.mode("append").json(place)
 
 
+    def reset(self, adapter: str, name: str, mark: str | None = None) -> None:
+        """Goes back to an earlier mark, or (null) to the begin, so that late rows are read again."""
+        self.put(adapter, name, mark)
+
+
 def stream_files(spark: SparkSession, path: str, schema, apply: Callable[[DataFrame, int], None], checkpoint: str, files_per_batch: int = 100, fmt: str = "parquet"):
     """Runs a batch function over files as they come; ends when what is there is done."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from kinfold.functions import scalar, similarity
 from kinfold.operators import completeness, crm_load, load, match, merge, remediate, runs, sampling, search, survivorship
 from kinfold.operators.ranking import number_within
-from kinfold.sources import exports
+from kinfold.sources import crm_pages, exports
+from kinfold.streaming import incremental
 
 FIELDS = "first_name string, last_name string, dob string, street string, city string, postal_code string, employer string, school string, emails array<string>, phones array<string>"
 
@@ -191,3 +192,26 @@ def test_load_reports(spark):
     assert [tuple(r) for r in load.duplicate_emails(rows).collect()] == [("a@x.org", 2)]
     diff = spark.createDataFrame([({"a": "1", "b": "2"}, {"a": "1", "b": "3", "c": "4"})], "x map<string,string>, y map<string,string>")
     assert set(diff.select(load.payload_diff("x", "y").alias("d")).head()["d"]) == {"b", "c"}
+
+
+def test_crm_pages(spark, tmp_path):
+    spark.dataSource.register(crm_pages.CrmPages)
+    (tmp_path / "a.csv").write_text('Id,Name,More\n1,"A, B",x\n2,,y\n')
+    (tmp_path / "b.csv").write_text("Id\n3\n")
+    (tmp_path / "job.json").write_text('{"state": "JobComplete"}')
+    rows = spark.read.format("crm_pages").schema("Id string, Name string").load(str(tmp_path))
+    assert sorted(map(tuple, rows.collect())) == [("1", "A, B"), ("2", None), ("3", None)] and rows.rdd.getNumPartitions() == 2
+    assert spark.read.format("crm_pages").load(str(tmp_path)).columns == ["Id", "Name", "More"]
+    for state in ("Failed", "InProgress"):
+        (tmp_path / "job.json").write_text(f'{{"state": "{state}"}}')
+        with pytest.raises(Exception, match=state):
+            spark.read.format("crm_pages").schema("Id string").load(str(tmp_path)).collect()
+
+
+def test_marks_go_back(spark, tmp_path):
+    marks = incremental.Watermarks(spark, f"file://{tmp_path}/marks")
+    marks.put("crm", "contact", "2024-01-02")
+    marks.reset("crm", "contact", "2024-01-01")
+    assert marks.get("crm", "contact") == "2024-01-01"
+    marks.reset("crm", "contact")
+    assert marks.get("crm", "contact") is None
