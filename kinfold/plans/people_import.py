@@ -43,8 +43,9 @@ def clean_rows(judged: DataFrame) -> DataFrame:
 def load_people(clean: DataFrame, core: DataFrame, id_map: DataFrame, seen_at: Column, emails: DataFrame | None = None, dry_run: bool = False) -> dict[str, DataFrame]:
     """loaded, summary, core, emails, id_map, change_log, skips and suggestions of loading clean rows.
 
-    Inserted people are in the core before the run's updates are applied, so later rows of the run update them. A dry
-    run gives the summary and the decisions, and the tables as they were.
+    Inserted people are in the core before the run's updates are applied, so later rows of the run update them; people
+    that the id map knows but the core lost are made again under their ids. A dry run gives the summary and the
+    decisions, and the tables as they were.
     """
     spark = clean.sparkSession
     emails = emails if emails is not None else spark.createDataFrame([], EMAILS)
@@ -53,7 +54,9 @@ def load_people(clean: DataFrame, core: DataFrame, id_map: DataFrame, seen_at: C
         return {"loaded": decided, "summary": load.load_summary(decided, True), "core": core, "emails": emails, "id_map": id_map}
     new = decided.filter("load_action = 'inserted'")
     rows = new.select(F.col("entity_id").alias("person_id"), *FIELDS, F.lit(False).alias("email_verified"), F.col("external_system").alias("source"))
-    loaded, after, log = load.apply_updates(decided, core.unionByName(rows), FIELDS)
+    lost = decided.filter(F.col("load_action").isin("updated", "reactivated")).join(core.select(F.col("person_id").alias("entity_id")), "entity_id", "left_anti")
+    again = lost.groupBy(F.col("entity_id").alias("person_id")).agg(F.min_by(F.struct(*FIELDS, F.lit(False).alias("email_verified"), F.col("external_system").alias("source")), "clean_id").alias("p")).select("person_id", "p.*")
+    loaded, after, log = load.apply_updates(decided, core.unionByName(rows).unionByName(again), FIELDS)
     loaded = cut(loaded, "loaded")
     mails = emails.unionByName(load.created_tables(new.withColumns({"phone": F.col("phone_e164"), **{c: F.lit(None).cast("string") for c in ("street", "city", "state_code", "postal_code", "country_code", "dob")}}))["emails"])
     return {

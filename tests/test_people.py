@@ -164,6 +164,8 @@ def test_golden_runs(spark, tmp_path):
     assert actions(first) == {"inserted": 3} and first["violations"].count() == 0
     again = run(spark, tmp_path, VALID, first["core"], first["id_map"], 2)
     assert actions(again) == {"skipped_no_change": 3} and again["core"].count() == 3 and again["change_log"].count() == 0
+    lost = run(spark, tmp_path, VALID, first["core"].filter("first_name <> 'Maxwell'"), first["id_map"], 8)
+    assert actions(lost) == {"skipped_no_change": 3} and lost["core"].count() == 3
     moved = VALID.replace("max@x.org", "maxwell@x.org")
     third = run(spark, tmp_path, moved, first["core"], first["id_map"], 6)
     assert actions(third) == {"skipped_no_change": 2, "updated": 1}
