@@ -127,9 +127,9 @@ def by_slug(rows: DataFrame, slug: str) -> DataFrame:
     return rows.filter(F.col("slug") == slug)
 
 
-def map_metadata(contacts: DataFrame, id_map: DataFrame) -> DataFrame:
-    """contacts with the metadata of their last seen CRM entry."""
-    own = id_map.filter("entity_type = 'contact' and external_system = 'salesforce'")
+def map_metadata(contacts: DataFrame, id_map: DataFrame, system: str = "crm") -> DataFrame:
+    """contacts with the metadata of their last seen entry of a system."""
+    own = id_map.filter((F.col("entity_type") == "contact") & (F.col("external_system") == system))
     last = own.groupBy("entity_id").agg(F.max_by("metadata", F.struct("last_seen_at", "external_id")).alias("metadata"))
     return contacts.join(last.withColumnRenamed("entity_id", "person_id"), "person_id", "left")
 

@@ -208,7 +208,7 @@ def visible_organizations(spark, sf_dir):
 
 @query("select c_custkey as person_id, max_by(props, (ts, cast(event_id as varchar))) as metadata from customer left join events on user_id = c_custkey and event_type <> 'error' group by 1")
 def contact_map_metadata(spark, sf_dir):
-    maps = view(spark, sf_dir, "events", ["user_id as entity_id", "case when event_type = 'error' then 'event' else 'contact' end as entity_type", "'salesforce' as external_system", "cast(event_id as string) as external_id", "ts as last_seen_at", "props as metadata"])
+    maps = view(spark, sf_dir, "events", ["user_id as entity_id", "case when event_type = 'error' then 'event' else 'contact' end as entity_type", "'crm' as external_system", "cast(event_id as string) as external_id", "ts as last_seen_at", "props as metadata"])
     return search.map_metadata(view(spark, sf_dir, "customer", ["c_custkey as person_id"]), maps)
 
 
