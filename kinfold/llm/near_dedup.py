@@ -30,6 +30,8 @@ HASHES = 128
 MISSED = 1e-5
 #: Members of a group that are compared with each other, and those compared with their leader alone, in one piece of work.
 BLOCK, STAR_BLOCK = 384, 64
+#: Parts over which the members of one leader are spread where they meet its sizes.
+SPREAD = 16
 CACHE = 200_000
 
 _multipliers = np.array([int.from_bytes(hashlib.blake2b(b"a%d" % i, digest_size=8).digest(), "little") | 1 for i in range(HASHES)], np.uint64)
@@ -145,11 +147,18 @@ def leader_groups(nodes: DataFrame, by: Banding) -> DataFrame:
     return members
 
 
+def with_sizes(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """members with the sizes of their leader; a leader's members are dealt by a part of their hash as well, so none is hot."""
+    part = F.pmod(F.xxhash64("node"), F.lit(SPREAD)).alias("part")
+    each = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("part"))
+    return members.select("*", part).join(each, ["leader", "part"]).drop("part")
+
+
 def stars(members: DataFrame, block: int) -> DataFrame:
     """(leader, node, own, i, j): every member beside its leader, in pieces of about so many members (own: i, the leader's: -1)."""
     sizes = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
-    placed = members.join(sizes, "leader").select("leader", "node", own, F.lit(False).alias("is_leader"))
+    placed = with_sizes(members, sizes).select("leader", "node", own, F.lit(False).alias("is_leader"))
     leaders = sizes.select("leader", F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.lit(True).alias("is_leader"))
     return placed.unionByName(leaders).select("leader", "node", F.when(F.col("is_leader"), -1).otherwise(F.col("own")).alias("own"), F.col("own").alias("i"), F.lit(-1).alias("j"))
 
@@ -162,7 +171,7 @@ def in_blocks(members: DataFrame, block: int) -> DataFrame:
     """
     count = lambda c: F.ceil(F.count_if(c) / F.lit(block)).cast("int")
     sizes = members.groupBy("leader").agg(count(~F.col("joined")).alias("apart"), count(F.col("joined")).alias("rest")).filter("apart > 0")
-    both = members.join(sizes, "leader")
+    both = with_sizes(members, sizes)
     hashed = F.xxhash64("node")
     own = F.when(F.col("joined"), F.col("apart") + F.pmod(hashed, F.greatest("rest", F.lit(1)))).otherwise(F.pmod(hashed, "apart")).cast("int")
     upto = F.when(F.col("joined"), F.col("apart")).otherwise(F.col("apart") + F.col("rest")) - 1
