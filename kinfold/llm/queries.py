@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe_codec, exact_dedup, language_id, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, token_rollup, toxicity
+from kinfold.llm import bpe_codec, exact_dedup, language_id, merkle, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, token_rollup, toxicity
 from kinfold.llm.common import cut, remainder, scratch_path
 
 
@@ -110,6 +110,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its leaf, roots and proof, and what its text without line ends (for every other one) folds to."""
+    docs = documents(spark, sf_dir)
+    tampered = F.when(remainder("doc_id", 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    claimed = merkle.leaf_hash(*[tampered if c == "text" else F.col(c) for c in merkle.FIELDS])
+    found = merkle.manifest(docs, carry={"claimed": claimed})
+    folded = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("proof")).alias("proof_sha256"), merkle.fold(F.col("claimed"), F.col("proof")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
