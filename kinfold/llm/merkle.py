@@ -19,7 +19,7 @@ from kinfold.llm.common import cut
 FANOUT = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Rows that a bucket of a histogram should hold; one with four times as many is counted by longer prefixes.
-BUCKET = 4096
+BUCKET = 512
 #: Nodes that are reduced in one row: so many digits of a rank as fit.
 WIDTH = 2187
 #: Digits of a histogram that are added up in one window, and parts over which a heavy bucket is spread when it is split.
