@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe_codec, exact_dedup, language_id, merkle, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, token_rollup, toxicity
+from kinfold.llm import bpe_codec, exact_dedup, language_id, merkle, near_dedup, packing, quality_rules, secret_scan, simhash, suffix_dedup, token_rollup, toxicity
 from kinfold.llm.common import cut, remainder, scratch_path
 
 
@@ -120,6 +120,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the least document that links reach; empty ones have fingerprint zero."""
+    found = simhash.simhash_groups(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
