@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe_codec, exact_dedup, language_id, merkle, near_dedup, packing, quality_rules, secret_scan, simhash, suffix_dedup, token_rollup, toxicity
+from kinfold.llm import bpe_codec, exact_dedup, language_id, merkle, near_dedup, packing, prefix_trie, quality_rules, secret_scan, simhash, suffix_dedup, token_rollup, toxicity
 from kinfold.llm.common import cut, remainder, scratch_path
 
 
@@ -126,6 +126,14 @@ def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations, each rebuilt with the first turns of the first of its hundred."""
+    own = prefix_trie.sequences_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    head = remainder("id", 6).cast("int")
+    mixed = prefix_trie.rebuilt(cut(own, "conversations"), F.col("id") - F.col("id") % 100, head, 5)
+    return prefix_trie.prefix_trie(mixed).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
