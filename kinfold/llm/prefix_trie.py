@@ -22,6 +22,8 @@ from kinfold.llm.common import cut, map_columns
 KEY = 16
 #: Bytes of sequences in a sorted run and in a range; paths of so many ranges are joined by one task.
 RUN_BYTES, RANGE_BYTES, JOINED = 1 << 20, 8 << 20, 32
+#: Parts over which the children of one node are spread where they meet its least conversation.
+SPREAD = 16
 #: Ids of one node that are one row on their way to its hash.
 IDS = 4096
 
@@ -379,6 +381,8 @@ def prefix_trie(conversations: DataFrame, run_bytes: int = RUN_BYTES, range_byte
     lone = nodes.filter("parent_conv_id is null and parent is not null")
     rest = nodes.filter("parent_conv_id is not null or parent is null")
     wanted = parents.join(lone.select("parent").distinct(), "parent", "left_semi")  # nodes on borders alone
-    placed = rest.unionByName(lone.join(wanted, "parent").withColumn("parent_conv_id", F.col("known")).select(*rest.columns))
+    wanted = wanted.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    lone = lone.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"))
+    placed = rest.unionByName(lone.join(wanted, ["parent", "part"]).withColumn("parent_conv_id", F.col("known")).select(*rest.columns))
     ends = ids_hashes(members.select("node", "id"))
     return placed.join(ends, "node", "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest())))
