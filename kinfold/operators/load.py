@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.scalar import parse_birthdate, present
-from kinfold.functions.similarity import jaro_winkler
+from kinfold.operators.alike import alike_names
+from kinfold.operators.components import components
 from kinfold.operators.materialize import cut, scratch_path
 from kinfold.operators.ranking import number_within
 
@@ -16,6 +21,8 @@ KINDS = ("mail", "phone", "name")
 
 #: Names this alike count as the same person while loading.
 NEAR_NAME = 0.95
+#: Rounds over all rows before what is left is decided by components, and the rows of a component that one task takes.
+ROUNDS, LARGEST = 2, 200_000
 NO_CHANGE = {"updated": "skipped_no_change", "deterministic_update": "deterministic_no_change"}
 
 
@@ -28,24 +35,22 @@ def _keys(rows: DataFrame, ident: str) -> DataFrame:
 def near_names(clean: DataFrame, core: DataFrame, least: float = NEAR_NAME) -> DataFrame:
     """(name, near): different names of both sides alike enough, of one last name and first initial.
 
-    Each distinct name is compared once with those of its block. Without a column `last` on both sides there are none.
+    Pairs come from a join with filters (operators/alike.py); of names that only the core has none are compared with
+    each other. Without a column `last` on both sides there are none.
     """
     if "last" not in clean.columns or "last" not in core.columns:
         return clean.select("name", F.col("name").alias("near")).limit(0)
-    names = clean.select("name", "last").unionByName(core.select("name", "last")).filter("name is not null and last is not null").distinct()
-    names = names.withColumn("initial", F.substring("name", 1, 1))
-    mine = names.join(clean.select("name").distinct(), "name", "left_semi")
-    pairs = mine.join(names.withColumnRenamed("name", "near"), ["last", "initial"]).filter("name <> near")
-    return pairs.filter(jaro_winkler("name", "near") >= least).select("name", "near").distinct()
+    both = clean.select("name", "last", F.lit(True).alias("wanted")).unionByName(core.select("name", "last", F.lit(False).alias("wanted")))
+    pairs = alike_names(both, least).select(F.array(F.struct(F.col("a").alias("name"), F.col("b").alias("near")), F.struct(F.col("b").alias("name"), F.col("a").alias("near"))).alias("p"))
+    turned = pairs.select(F.explode("p").alias("p")).select("p.*")
+    return turned.join(clean.select("name").distinct(), "name", "left_semi").distinct()
 
 
-def _settle(ready: DataFrame, core_keys: DataFrame, probes: DataFrame) -> DataFrame:
-    """The decision of rows whose keys no undecided earlier row can change any more."""
-    met = probes.join(ready.select("clean_id"), "clean_id", "left_semi").join(core_keys, ["kind", "value"]).groupBy("clean_id", "person_id").agg(
-        *[F.max((F.col("as_kind") == k).cast("int")).alias(k[0]) for k in (*KINDS, "fuzzy")]
-    )
+def _met(probed: DataFrame) -> DataFrame:
+    """What each row meets: (clean_id, n_mail, n_phone, n_both, both_id, contact_id, mail_id, name_id, near_id) of probes with person_id."""
+    met = probed.groupBy("clean_id", "person_id").agg(*[F.max((F.col("as_kind") == k).cast("int")).alias(k[0]) for k in (*KINDS, "fuzzy")])
     both = F.col("m") + F.col("p")
-    found = met.groupBy("clean_id").agg(
+    return met.groupBy("clean_id").agg(
         F.sum("m").alias("n_mail"),
         F.sum("p").alias("n_phone"),
         F.count_if(both == 2).alias("n_both"),
@@ -55,6 +60,11 @@ def _settle(ready: DataFrame, core_keys: DataFrame, probes: DataFrame) -> DataFr
         F.min(F.when(F.col("n") == 1, F.col("person_id"))).alias("name_id"),
         F.min(F.when(F.col("f") == 1, F.col("person_id"))).alias("near_id"),
     )
+
+
+def _settle(ready: DataFrame, core_keys: DataFrame, probes: DataFrame) -> DataFrame:
+    """The decision of rows whose keys no undecided earlier row can change any more."""
+    found = _met(probes.join(ready.select("clean_id"), "clean_id", "left_semi").join(core_keys, ["kind", "value"]))
     done = ready.join(found, "clean_id", "left").fillna(0, ["n_mail", "n_phone", "n_both"])
     one = ((F.col("n_phone") == 0) & (F.col("n_mail") == 1)) | ((F.col("n_mail") == 0) & (F.col("n_phone") == 1))
     match = F.when(F.col("n_both") == 1, F.col("both_id")).when((F.col("n_both") == 0) & one, F.col("contact_id"))
@@ -67,16 +77,108 @@ def _settle(ready: DataFrame, core_keys: DataFrame, probes: DataFrame) -> DataFr
     return done.select(*ready.columns, action.alias("load_action"), reason.cast("string").alias("skip_reason"), entity.alias("entity_id"), ambiguous.alias("ambiguous"))
 
 
-def decide_loads(clean: DataFrame, core: DataFrame, id_map: DataFrame, least_near: float = NEAR_NAME) -> DataFrame:
+def _free(probes: DataFrame, waiting: DataFrame, core_keys: DataFrame) -> DataFrame:
+    """Probes of waiting rows at keys that nobody holds so far."""
+    here = probes.join(waiting.select("clean_id"), "clean_id", "left_semi")
+    return here.join(core_keys.select("kind", "value").distinct(), ["kind", "value"], "left_anti")
+
+
+class _Group:
+    """What the earlier rows of one group have added: the holder of each free address and name, the number of holders of each number."""
+
+    def __init__(self) -> None:
+        self.mail: dict[str, int] = {}
+        self.name: dict[str, int] = {}
+        self.phones: Counter[str] = Counter()
+        self.first: dict[str, int] = {}
+        self.own: dict[int, str | None] = {}
+
+    def decide(self, r: dict, base: int) -> tuple[str, str | None, int | None, bool]:
+        """(action, reason, entity, ambiguous) of the next row, in the order of clean_id."""
+        holder = self.mail.get(r["mail"]) if r["mail"] is not None else None
+        phones = r["n_phone"] + (self.phones[r["phone"]] if r["phone"] is not None else 0)
+        mails, shared = r["n_mail"] + (holder is not None), r["n_both"]
+        match = None
+        if holder is not None:  # an address that the core lacks has one holder at most
+            has_phone = r["phone"] is not None and (self.own.get(holder) == r["phone"] or holder in r["also"])
+            shared = int(has_phone)
+            if shared:
+                match = holder
+        elif shared == 1:
+            match = r["both_id"]
+        if shared == 0 and mails + phones == 1:
+            match = holder if holder is not None else r["contact_id"] if r["contact_id"] is not None else self.first.get(r["phone"])
+        ambiguous = match is None and mails + phones > 0
+        if match is not None:
+            return "deterministic_update", None, match, False
+        if mails:
+            return "skipped_duplicate", "DUPLICATE_EMAIL", holder if holder is not None else r["mail_id"], ambiguous
+        named = r["name_id"] if r["name_id"] is not None else self.name.get(r["name"])
+        if named is not None:
+            if r["mail"] is not None:
+                self.mail[r["mail"]] = named
+            return "skipped_duplicate", "DUPLICATE_NAME", named, ambiguous
+        near = [p for p in (r["near_id"], *(self.name.get(n) for n in r["near"])) if p is not None]
+        if near:
+            return "skipped_duplicate_fuzzy", "DUPLICATE_FUZZY", min(near), ambiguous
+        new = base + r["clean_id"]
+        self.own[new] = r["phone"]
+        if r["mail"] is not None:
+            self.mail[r["mail"]] = new
+        if r["name"] is not None:
+            self.name[r["name"]] = new
+        if r["phone"] is not None:
+            self.phones[r["phone"]] += 1
+            self.first.setdefault(r["phone"], new)
+        return "inserted", None, new, ambiguous
+
+
+def _fold(waiting: DataFrame, groups: DataFrame, core_keys: DataFrame, probes: DataFrame, base: int) -> DataFrame:
+    """(clean_id, load_action, skip_reason, entity_id, ambiguous) of whole groups of rows, each group in order by one task.
+
+    groups: clean_id, group. What a row meets in the core comes as counts and least ids. The only persons of the core
+    whose addresses can change on the way are the first of a known name; `also` has those of them in the row's group that
+    hold the row's number.
+    """
+    rows = waiting.select("clean_id", *KINDS).join(groups, "clean_id")
+    mine = probes.join(groups, "clean_id").join(core_keys, ["kind", "value"])
+    met = _met(mine)
+    named = mine.filter("as_kind = 'name'").groupBy("group", "clean_id").agg(F.min("person_id").alias("person_id")).select("group", "person_id").distinct()
+    also = mine.filter("as_kind = 'phone'").join(named, ["group", "person_id"]).groupBy("clean_id").agg(F.collect_set("person_id").alias("also"))
+    near = probes.filter("as_kind = 'fuzzy'").join(groups.select("clean_id"), "clean_id", "left_semi").groupBy("clean_id").agg(F.collect_set("value").alias("near"))
+    counts, ids = ["n_mail", "n_phone", "n_both"], ["both_id", "contact_id", "mail_id", "name_id", "near_id"]
+    given = rows.join(met, "clean_id", "left").join(also, "clean_id", "left").join(near, "clean_id", "left")
+    given = given.select("group", "clean_id", *KINDS, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], *ids, F.coalesce("also", F.array().cast("array<long>")).alias("also"), F.coalesce("near", F.array().cast("array<string>")).alias("near"))
+    schema = "clean_id long, load_action string, skip_reason string, entity_id long, ambiguous boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, _Group()
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["group"] != now:
+                    now, state = r["group"], _Group()
+                out.append((r["clean_id"], *state.decide(r, base)))
+            if out:
+                types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
+
+    return given.repartition("group").sortWithinPartitions("group", "clean_id").mapInArrow(run, schema)
+
+
+def decide_loads(clean: DataFrame, core: DataFrame, id_map: DataFrame, least_near: float = NEAR_NAME, rounds: int = ROUNDS, largest: int = LARGEST) -> DataFrame:
     """clean with load_action, skip_reason, entity_id and ambiguous.
 
     clean: clean_id, external_system, external_id, mail, phone, name (normalised) and, for similar names, last. core:
     person_id, mail, phone, name, last. id_map: external_system, external_id, entity_id, is_active. Rows are taken in
-    the order of clean_id and see what earlier rows of the run inserted or added to a person of the same name. A row is
-    decided once each of its keys is in the core (then no later row can be inserted under it) or is held by no
-    undecided earlier row, so a key of many rows takes two rounds; rows that hang together by a chain of different keys
-    take a round a link, without a limit. Each round writes the rows that it decides and appends their keys. Inserted
-    rows get entity ids after the core's largest, by clean_id.
+    the order of clean_id and see what earlier rows of the run inserted or added to a person of the same name. Inserted
+    rows get entity ids after the core's largest, by clean_id; two loads into one core must not run at a time.
+
+    First rounds over all rows: a row is decided once each of its keys is in the core (then no later row can be inserted
+    under it) or is held by no undecided earlier row; so a key of any number of rows is settled by two rounds. What is
+    left hangs together by chains of different keys. Its rows are grouped into components by the keys that nobody holds,
+    and each component of `largest` rows at most is decided in order by one task, all of them in one pass. Larger ones go
+    on by rounds, a link of a chain each, without a limit.
     """
     spark = clean.sparkSession
     known = id_map.select("external_system", "external_id", F.col("entity_id").alias("mapped"), "is_active")
@@ -95,26 +197,38 @@ def decide_loads(clean: DataFrame, core: DataFrame, id_map: DataFrame, least_nea
     keys_at, out_at = scratch_path(spark, "core_keys"), scratch_path(spark, "settled")
     _keys(core, "person_id").distinct().write.parquet(keys_at)
     read_keys = lambda: spark.read.schema("person_id long, kind string, value string").parquet(keys_at)
-    rounds = 0
+    done, folded = 0, False
+
+    def write(settled: DataFrame) -> DataFrame:
+        """Writes a round's rows and appends their keys; gives the rows still waiting."""
+        nonlocal done
+        settled.select(*fixed.columns).write.parquet(f"{out_at}/round={done}")
+        rows = spark.read.schema(fixed.schema).parquet(f"{out_at}/round={done}")
+        new = rows.filter("load_action = 'inserted'").withColumn("person_id", F.col("entity_id"))
+        added = rows.filter("skip_reason = 'DUPLICATE_NAME' and mail is not null").select(F.col("entity_id").alias("person_id"), F.lit("mail").alias("kind"), F.col("mail").alias("value"))
+        _keys(new, "person_id").unionByName(added).distinct().write.mode("append").parquet(keys_at)
+        done += 1
+        return cut(waiting.join(rows.select("clean_id"), "clean_id", "left_anti"), "waiting")
+
     while not waiting.isEmpty():
-        core_keys = read_keys()
-        here = probes.join(waiting.select("clean_id"), "clean_id", "left_semi") if rounds else probes
-        free = here.join(core_keys.select("kind", "value").distinct(), ["kind", "value"], "left_anti")
+        free = _free(probes, waiting, read_keys())
+        if done >= rounds and not folded:
+            folded = True
+            holders = free.groupBy("kind", "value").agg(F.min("clean_id").alias("a"))
+            groups = components(free.join(holders, ["kind", "value"]).select("a", F.col("clean_id").alias("b")))
+            groups = cut(groups.select(F.col("node").alias("clean_id"), F.col("component").alias("group")), "groups")
+            sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= largest)
+            groups = cut(groups.join(sizes.select("group"), "group", "left_semi"), "groups")
+            waiting = write(waiting.join(_fold(waiting, groups, read_keys(), probes, base), "clean_id"))
+            continue
         least = free.filter("as_kind <> 'fuzzy'").groupBy("kind", "value").agg(F.min("clean_id").alias("first_id"))
         held = free.join(least, ["kind", "value"]).filter("clean_id > first_id").select("clean_id").distinct()
-        settled = _settle(waiting.join(held, "clean_id", "left_anti"), core_keys, probes)
-        settled = settled.withColumn("entity_id", F.coalesce("entity_id", F.when(F.col("load_action") == "inserted", F.col("clean_id") + base)))
-        settled.write.mode("append").parquet(f"{out_at}/round={rounds}")
-        settled = spark.read.schema(settled.schema).parquet(f"{out_at}/round={rounds}")
-        new = settled.filter("load_action = 'inserted'").withColumn("person_id", F.col("entity_id"))
-        added = settled.filter("skip_reason = 'DUPLICATE_NAME' and mail is not null").select(F.col("entity_id").alias("person_id"), F.lit("mail").alias("kind"), F.col("mail").alias("value"))
-        _keys(new, "person_id").unionByName(added).distinct().write.mode("append").parquet(keys_at)
-        waiting = cut(waiting.join(settled.select("clean_id"), "clean_id", "left_anti"), "waiting")
-        rounds += 1
-    if not rounds:
+        settled = _settle(waiting.join(held, "clean_id", "left_anti"), read_keys(), probes)
+        waiting = write(settled.withColumn("entity_id", F.coalesce("entity_id", F.when(F.col("load_action") == "inserted", F.col("clean_id") + base))))
+    if not done:
         return fixed
-    done = spark.read.schema(fixed.schema).option("basePath", out_at).parquet(*[f"{out_at}/round={r}" for r in range(rounds)])
-    return fixed.unionByName(done.select(*fixed.columns))
+    out = spark.read.schema(fixed.schema).option("basePath", out_at).parquet(*[f"{out_at}/round={r}" for r in range(done)])
+    return fixed.unionByName(out.select(*fixed.columns))
 
 
 def apply_updates(loaded: DataFrame, core: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import picklists, scalar, similarity
-from kinfold.operators import completeness, dq, load, mapping, match, merge, reports, sampling, search, survivorship
+from kinfold.operators import alike, completeness, dq, load, mapping, match, merge, reports, sampling, search, survivorship
 from kinfold.operators.materialize import cut
 from kinfold.registry import oracle_sql, queries, query, sql_of, table  # noqa: F401
 from kinfold.sources.sinks import guarded
@@ -80,7 +80,42 @@ def block_name_initial_pairs(spark, sf_dir):
     return match.block_pairs(rows, ["last", "initial", "p_brand"], "id")
 
 
-# The three queries above also block by brand, as their SQL does. Those below compare people of all brands; their rows are
+ALIKE_SQL = """with names as (select left(md5(cast(c_custkey // 3 as varchar)), 7) || (c_custkey % 3) || ' l' || (c_custkey // 3 % 5) as name, 'l' || (c_custkey // 3 % 5) as last from customer)
+select a.name, b.name as near, round(jaro_winkler_similarity(a.name, b.name), 6) as similarity from names a join names b on a.last = b.last and left(a.name, 1) = left(b.name, 1) and a.name < b.name"""
+
+
+@query(f"{ALIKE_SQL} where jaro_winkler_similarity(a.name, b.name) >= 0.85")
+def alike_names(spark, sf_dir):
+    """Pairs of nearly equal names, by a join with filters."""
+    k = F.floor(F.col("c_custkey") / 3)
+    first, last = F.concat(F.left(F.md5(k.cast("string").cast("binary")), F.lit(7)), F.col("c_custkey") % 3), F.concat(F.lit("l"), k % 5)
+    names = table(spark, sf_dir, "customer").select(F.concat_ws(" ", first, last).alias("name"), last.alias("last"))
+    found = alike.alike_names(names, 0.85)
+    return found.select(F.col("a").alias("name"), F.col("b").alias("near"), F.round("similarity", 6).alias("similarity"))
+
+
+DUPLICATES_SQL = f"""with {PEOPLE_SQL}, p as (select id, lower(first) as f, lower(last) as l, p_size, case when id % 3 = 0 then cast(p_retailprice as varchar) end as mail from people where first <> '' and last <> ''),
+pairs as (select a.id as primary_id, b.id as candidate_id, a.f = b.f as same, case when a.f = b.f then 1.0 else jaro_winkler_similarity(a.f || ' ' || a.l, b.f || ' ' || b.l) end as name,
+    greatest(0.0, 1 - abs(a.p_size - b.p_size) * 73 / 730.0) as dob, case when a.mail = b.mail then 1.0 else 0.0 end as contact
+  from p a join p b on a.l = b.l and left(a.f, 1) = left(b.f, 1) and a.id < b.id),
+scored as (select *, case when same then least(1.0, 0.90 + dob * 0.05 + contact * 0.02) else name * 0.25 + dob * 0.20 + contact * 0.20 end as score from pairs where name >= 0.80)
+select primary_id, candidate_id, round(name, 4) as name, round(score, 4) as score, case when round(score, 4) >= 0.95 then 'high' else 'review' end as match_type from scored where round(score, 4) >= 0.60"""
+
+
+@query(DUPLICATES_SQL)
+def scan_duplicates(spark, sf_dir):
+    """The library's scan over all people: pairs of a block with alike names, scored by name, date of birth and contact."""
+    mail = F.when(F.col("id") % 3 == 0, F.col("p_retailprice").cast("string"))
+    none = F.lit(None).cast("string")
+    rows = people(spark, sf_dir).select(
+        F.col("id").alias("person_id"), F.col("first").alias("first_name"), F.col("last").alias("last_name"), F.date_add(F.lit("1950-01-01").cast("date"), (F.col("p_size") * 73).cast("int")).cast("string").alias("dob"),
+        *[none.alias(c) for c in ("street", "city", "postal_code", "employer", "school")], F.array(F.concat(mail, F.lit("@x.org"))).alias("emails"), F.array().cast("array<string>").alias("phones"),
+    )
+    existing = spark.createDataFrame([], "primary_id long, candidate_id long")
+    return match.scan_duplicates(rows, existing).select("primary_id", "candidate_id", F.round("name", 4).alias("name"), "score", "match_type")
+
+
+# duplicate_scan_banded, weighted_score_band and block_name_initial_pairs also block by brand, as their SQL does. Those below compare people of all brands; their rows are
 # classes with counts, so they don't grow with the square of a block.
 
 WHOLE_SQL = SCAN_SQL.replace(" and a.p_brand = b.p_brand", "").replace("select a.id as primary_id, b.id as candidate_id,", "select a.id as primary_id, b.id as candidate_id, a.first as fa, b.first as fb, lower(a.last) as l, a.p_size as sa, b.p_size as sb,").replace(
@@ -700,6 +735,20 @@ st(i, id, load_action, skip_reason, entity_id, ambiguous, keys) as (
 select id as clean_id, load_action, skip_reason, entity_id, ambiguous from st where i > 0"""
 
 
+# The same with names that are nearly alike: four of each kind, and a last name.
+NEAR_NAME_SQL = "left(md5(cast((row_id % 400) // 4 as varchar)), 8) || (row_id % 4) || ' l' || ((row_id % 400) // 4 % 5)"
+NEAR_PROBE = "[x.p for x in keys if x.k = 'name' and x.v <> w.name and split_part(x.v, ' ', 2) = split_part(w.name, ' ', 2) and left(x.v, 1) = left(w.name, 1) and jaro_winkler_similarity(x.v, w.name) >= 0.95]"
+LOAD_NEAR_SQL = (
+    LOAD_SQL.replace("'p' || (row_id % 400) as name", f"{NEAR_NAME_SQL} as name")
+    .replace("'s' || person_id, person_id from stored", "'s' || person_id || ' l0', person_id from stored")
+    .replace(f"{PROBE_SQL.format(kind='name')} as n", f"{PROBE_SQL.format(kind='name')} as n, {NEAR_PROBE} as f")
+    .replace("then 'skipped_duplicate' else 'inserted' end as action", "then 'skipped_duplicate' when len(f) > 0 then 'skipped_duplicate_fuzzy' else 'inserted' end as action")
+    .replace("case when action = 'skipped_duplicate' then case", "case when action = 'skipped_duplicate_fuzzy' then 'DUPLICATE_FUZZY' when action = 'skipped_duplicate' then case")
+    .replace("else list_min(n) end,", "when len(n) > 0 then list_min(n) else list_min(f) end,")
+    .replace("action in ('skipped_duplicate', 'inserted')", "action in ('skipped_duplicate', 'skipped_duplicate_fuzzy', 'inserted')")
+)
+
+
 def loaded_contacts(spark, sf_dir):
     rows = contacts(spark, sf_dir).select(F.col("row_id").alias("clean_id"), F.lit("crm").alias("external_system"), F.col("row_id").cast("string").alias("external_id"), scalar.normalize_email("email").alias("mail"), scalar.normalize_phone("phone").alias("phone"), F.concat(F.lit("p"), F.col("row_id") % 400).alias("name"))
     core = stored(spark, sf_dir).select("person_id", F.col("email").alias("mail"), "phone", F.concat(F.lit("s"), "person_id").alias("name"))
@@ -713,6 +762,18 @@ def load_decisions(spark, sf_dir):
     return loaded_contacts(spark, sf_dir).select("clean_id", "load_action", "skip_reason", "entity_id", "ambiguous")
 
 
+@query(LOAD_NEAR_SQL)
+def load_decisions_near_names(spark, sf_dir):
+    """The same with last names, so that rows meet names that are nearly theirs."""
+    k = F.floor(F.col("row_id") % 400 / 4)
+    name = F.concat(F.left(F.md5(k.cast("string").cast("binary")), F.lit(8)), F.col("row_id") % 4, F.lit(" l"), k % 5)
+    last = F.split("name", " ")[1].alias("last")
+    rows = contacts(spark, sf_dir).select(F.col("row_id").alias("clean_id"), F.lit("crm").alias("external_system"), F.col("row_id").cast("string").alias("external_id"), scalar.normalize_email("email").alias("mail"), scalar.normalize_phone("phone").alias("phone"), name.alias("name")).select("*", last)
+    core = stored(spark, sf_dir).select("person_id", F.col("email").alias("mail"), "phone", F.concat(F.lit("s"), "person_id", F.lit(" l0")).alias("name")).select("*", last)
+    id_map = rows.filter("clean_id % 6 = 0").select("external_system", "external_id", F.lit(1).cast("long").alias("entity_id"), (F.col("clean_id") % 12 == 0).alias("is_active"))
+    return load.decide_loads(rows, core, id_map).select("clean_id", "load_action", "skip_reason", "entity_id", "ambiguous")
+
+
 @query(LOAD_SQL.rsplit("select id as clean_id", 1)[0] + """select count(*) as rows_processed, count(*) filter (load_action = 'inserted') as rows_created, count(*) filter (load_action in ('updated', 'deterministic_update')) as rows_updated, count(*) filter (load_action = 'reactivated') as rows_reactivated,
   cast(0 as bigint) as rows_skipped_no_change, count(*) filter (load_action = 'skipped_duplicate') as rows_skipped_duplicates, count(*) filter (load_action = 'deterministic_update') as rows_deduped_auto, cast(0 as bigint) as rows_missing_external_id,
   count(*) filter (load_action = 'inserted') as potential_inserts, count(distinct w.mail) filter (skip_reason = 'DUPLICATE_EMAIL') as duplicate_emails from st join w using (id) where st.i > 0""")
