@@ -34,12 +34,12 @@ def test_alike_names_equal_brute_force(spark, least, part):
 
 def test_few_pairs_of_a_large_block_are_compared(spark):
     rng = random.Random(1)
-    names = {invented(rng) + invented(rng, "") for _ in range(60_000)}
-    rows = spark.createDataFrame([(f"{n} smith", "smith") for n in sorted(names)[:20_000]], "name string, last string")
+    names = {invented(rng) + invented(rng, "") for _ in range(15_000)}
+    rows = spark.createDataFrame([(f"{n} smith", "smith") for n in sorted(names)[:5_000]], "name string, last string")
     n = rows.count()
-    assert n == 20_000
+    assert n == 5_000
     compared = alike.name_candidates(rows, load.NEAR_NAME).count()
-    assert compared < 0.1 * n * (n - 1) / 2
+    assert compared < 0.02 * n * (n - 1) / 2
 
 
 def test_only_wanted_names_are_paired(spark):
@@ -90,8 +90,7 @@ def test_a_star_takes_two_rounds(spark):
     assert counts == {"inserted": (1, 1), "deterministic_update": (99_999, 1)}
 
 
-@pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("how", [{"rounds": 0}, {"rounds": 1, "largest": 3}])
+@pytest.mark.parametrize(("seed", "how"), [(0, {"rounds": 0}), (1, {"rounds": 0}), (2, {"rounds": 1, "largest": 3})])
 def test_components_decide_as_rows_in_order(spark, seed, how):
     """Few keys, so rows hang together in many ways: numbers of several people, addresses added to known names, near names."""
     rng = random.Random(seed)
