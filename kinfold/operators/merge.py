@@ -117,25 +117,78 @@ def candidate_details(suggestions: DataFrame, people: DataFrame, profile: Profil
     return both.select("suggestion_id", "primary_id", "candidate_id", "primary", "candidate", F.array(*kept).alias("preview"))
 
 
+def final_persons(links: DataFrame) -> DataFrame:
+    """(person_id, final_id) for links (person_id, into_id; one for each person): where the links end.
+
+    A ring ends at its least person. Links are followed by doubling: each round a person points twice as far and knows
+    the least person on the way, until all that are pointed at lie on rings (a person without a link is a ring of its
+    own) and know the least of theirs; so a chain costs its logarithm in rounds.
+    """
+    ends = links.select(F.col("into_id").alias("person_id")).distinct().join(links, "person_id", "left_anti").select("person_id", F.col("person_id").alias("into_id"))
+    step = cut(links.select("person_id", "into_id").unionByName(ends), "step")
+    now = step.select("person_id", F.col("into_id").alias("to"), "person_id").toDF("person_id", "to", "low")
+    while True:
+        reached = now.select(F.col("to").alias("person_id")).distinct()
+        here = reached.join(step, "person_id").join(now.select("person_id", F.col("low").alias("low")), "person_id")
+        beyond = now.select(F.col("person_id").alias("into_id"), F.col("low").alias("next_low"))
+        state = here.join(beyond, "into_id").agg(F.count(F.lit(1)), F.count_distinct("into_id"), F.count_if(F.col("low") != F.col("next_low"))).head()
+        low_of = now.select(F.col("person_id").alias("to"), F.col("to").alias("far"), F.col("low").alias("far_low"))
+        if state[0] == state[1] and not state[2]:
+            return now.join(low_of, "to").select("person_id", F.col("far_low").alias("final_id"))
+        now = cut(now.join(low_of, "to").select("person_id", F.col("far").alias("to"), F.least("low", "far_low").alias("low")), "step")
+
+
 def resolved_pairs(pairs: DataFrame) -> DataFrame:
     """pairs with each primary replaced by the person it is merged into itself, down to the one that stays.
 
-    A candidate of several pairs goes with the first by suggestion; pairs that would close a ring are dropped. Chains
-    are followed by doubling, so their length costs its logarithm in rounds.
+    A candidate of several pairs goes with the first by suggestion. Of persons that are merged in a ring, of whatever
+    length, the least stays and all others go into it. Nulls and pairs of a person with itself are no merges.
+    """
+    real = pairs.filter("primary_id is not null and candidate_id is not null and primary_id <> candidate_id")
+    first = real.groupBy("candidate_id").agg(F.min_by(F.struct("suggestion_id", "primary_id"), "suggestion_id").alias("p"))
+    links = cut(first.select(F.col("candidate_id").alias("person_id"), F.col("p.primary_id").alias("into_id"), F.col("p.suggestion_id").alias("suggestion_id")), "links")
+    ended = links.join(final_persons(links), "person_id").filter("person_id <> final_id")
+    return ended.select("suggestion_id", F.col("final_id").alias("primary_id"), F.col("person_id").alias("candidate_id"))
+
+
+def replay(own: DataFrame, merges: DataFrame, fields: list[str]) -> DataFrame:
+    """own (person_id, fields) after merges (suggestion_id, primary_id, candidate_id; one for each candidate), as if done one by one.
+
+    A merge gives a survivor the values that it lacks, and what the candidate has got from earlier merges comes with it.
+    So a field has the first value that is there among the survivor, then its candidates in the order of their merges,
+    each followed by its own candidates: the order of the merges on the way up. That way is found by doubling too.
     """
-    first = pairs.groupBy("candidate_id").agg(F.min_by(F.struct("suggestion_id", "primary_id"), "suggestion_id").alias("p"))
-    links = cut(first.select("candidate_id", F.col("p.primary_id").alias("primary_id"), F.col("p.suggestion_id").alias("suggestion_id")), "links")
-    # A ring is broken at its least person: that one stays.
-    now = links
-    seen = -1
+    up = cut(merges.select(F.col("candidate_id").alias("person_id"), F.col("primary_id").alias("to"), F.array("suggestion_id").alias("way")), "merges")
     while True:
-        up = now.select(F.col("candidate_id").alias("primary_id"), F.col("primary_id").alias("_up"))
-        now = cut(now.join(up, "primary_id", "left").select("suggestion_id", "candidate_id", F.when(F.col("_up") == F.col("candidate_id"), F.least("candidate_id", "primary_id")).otherwise(F.coalesce("_up", "primary_id")).alias("primary_id")).filter("candidate_id <> primary_id"), "links")
-        left = now.join(now.select(F.col("candidate_id").alias("primary_id")).distinct(), "primary_id", "left_semi").count()
-        if not left or left == seen:
+        above = up.select(F.col("person_id").alias("to"), F.col("to").alias("far"), F.col("way").alias("far_way"))
+        if up.join(above.select("to"), "to", "left_semi").isEmpty():
             break
-        seen = left
-    return now.join(now.select(F.col("candidate_id").alias("primary_id")).distinct(), "primary_id", "left_anti").select("suggestion_id", "primary_id", "candidate_id")
+        up = cut(up.join(above, "to", "left").select("person_id", F.coalesce("far", "to").alias("to"), F.concat(F.coalesce("far_way", F.array().cast(up.schema["way"].dataType)), "way").alias("way")), "merges")
+    placed = own.join(up, "person_id", "left").select(F.coalesce("to", "person_id").alias("root"), F.coalesce("way", F.array().cast(up.schema["way"].dataType)).alias("way"), *fields)
+    first = lambda f: F.coalesce(F.min_by(F.col(f), F.when(present(F.col(f).cast("string")).isNotNull(), F.col("way"))), F.min_by(F.col(f), F.when(F.size("way") == 0, F.col("way"))))
+    return placed.groupBy(F.col("root").alias("person_id")).agg(*[first(f).alias(f) for f in fields])
+
+
+def undo_by_replay(people: DataFrame, log: DataFrame, undone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(people, log) after undoing merges (suggestion_id), as if they had never been; other merges stay, in any order.
+
+    log: all merges so far, as merge_people writes them, in the order of suggestion_id, and a flag `undone` once some
+    are; the log that comes back has it and is the one to go on with. A person's own values are those before its first
+    merge. The merges that are not undone are replayed over them; what was changed by hand since (a value that the merges
+    don't give) is kept. Persons that no merge touched, and undone ids that the log lacks, change nothing.
+    """
+    fields = log.schema["primary_before"].dataType.names
+    sides = log.select("suggestion_id", F.explode(F.array(F.struct(F.col("primary_id").alias("person_id"), F.col("primary_before").alias("v")), F.struct(F.col("candidate_id").alias("person_id"), F.col("candidate_before").alias("v")))).alias("s"))
+    own = cut(sides.groupBy("s.person_id").agg(F.min_by("s.v", "suggestion_id").alias("v")).select("person_id", "v.*"), "own")
+    log = log if "undone" in log.columns else log.withColumn("undone", F.lit(False))
+    marked = log.join(undone.select("suggestion_id", F.lit(True).alias("_now")).distinct(), "suggestion_id", "left")
+    rest = marked.withColumn("undone", F.col("undone") | F.coalesce("_now", F.lit(False))).select(*log.columns)
+    was = replay(own, log.filter("not undone"), fields).select("person_id", F.struct(*fields).alias("was"))
+    now = replay(own, rest.filter("not undone"), fields).select("person_id", F.struct(*fields).alias("now"))
+    new = now.join(was, "person_id", "left").join(people, "person_id", "left")
+    by_hand = lambda f: F.col("was").isNotNull() & ~F.col(f).eqNullSafe(F.col(f"was.{f}"))
+    new = new.select(*[F.when(by_hand(c), F.col(c)).otherwise(F.col(f"now.{c}")).alias(c) if c in fields else F.col(c) for c in people.columns])
+    return people.join(own.select("person_id"), "person_id", "left_anti").select(*people.columns).unionByName(new), rest
 
 
 def repointed_rows(id_map: DataFrame, log: DataFrame) -> DataFrame:

@@ -516,3 +516,30 @@ def page_by_names(spark, sf_dir):
 @query(f"with {R} select run_id from r order by started_at desc, run_id desc limit 25")
 def latest_runs(spark, sf_dir):
     return reports.latest(view(spark, sf_dir, "orders", RUNS), "started_at", "run_id", 25).select("run_id")
+
+
+# Suppliers are merged into the one before them, in blocks of seven, in an order that has nothing to do with their ids.
+@query("""with s as (select s_suppkey as id, case when s_suppkey % 3 = 1 then concat('n', s_nationkey) end as phone, case when s_suppkey % 4 = 2 then s_name end as name, s_suppkey % 7 = 1 or s_suppkey % 5 = 0 as stays from supplier),
+g as (select *, max(case when stays then id end) over (order by id rows between unbounded preceding and current row) as root from s)
+select root as person_id, arg_min(phone, id) filter (phone is not null) as phone, arg_min(name, id) filter (name is not null) as name from g group by 1""")
+def merges_undone_by_replay(spark, sf_dir):
+    """A history of merges, one batch after the other, of which every fifth is undone."""
+    k = F.col("s_suppkey")
+    own = table(spark, sf_dir, "supplier").select(k.alias("person_id"), F.when(k % 3 == 1, F.concat(F.lit("n"), "s_nationkey")).alias("phone"), F.when(k % 4 == 2, F.col("s_name")).alias("name"))
+    merges = own.filter("person_id % 7 <> 1 and person_id > 0").select((F.col("person_id") * 7919 % 1000003).alias("suggestion_id"), (F.col("person_id") - 1).alias("primary_id"), F.col("person_id").alias("candidate_id"))
+    side = lambda name: own.select(F.col("person_id").alias(f"{name}_id"), F.struct("phone", "name").alias(f"{name}_before"))
+    log = merges.join(side("primary"), "primary_id").join(side("candidate"), "candidate_id")
+    people = merge.replay(own, merges, ["phone", "name"])
+    return merge.undo_by_replay(people, log, merges.filter("candidate_id % 5 = 0"))[0]
+
+
+@query("""with recursive l as (select c_custkey as id, case when c_custkey % 10 = 9 then c_custkey - (c_custkey // 10) % 9 else c_custkey + 1 end as to_id from customer where c_custkey % 10 <> 5),
+w as (select id, id as at, 0 as n from l union all select w.id, l.to_id, n + 1 from w join l on l.id = w.at where n < 24),
+e as (select id, max(case when l.id is null then w.at end) as stop, min(case when n >= 12 then w.at end) as least from w left join l on l.id = w.at group by w.id)
+select id as candidate_id, coalesce(stop, least) as primary_id from e where id <> coalesce(stop, least)""".replace("select id, max(", "select w.id as id, max("))
+def rings_of_merges(spark, sf_dir):
+    """Chains that end, and chains that run into rings of up to nine; of a ring the least person stays."""
+    k = F.col("c_custkey")
+    to = F.when(k % 10 == 9, k - F.floor(k / 10) % 9).otherwise(k + 1)
+    pairs = table(spark, sf_dir, "customer").filter(k % 10 != 5).select(k.alias("suggestion_id"), to.alias("primary_id"), k.alias("candidate_id"))
+    return merge.resolved_pairs(pairs).select("candidate_id", "primary_id")
