@@ -23,7 +23,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Parts of names that receive secrets, and how much each says.
-SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "pass": 2, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3, "bearer": 2, "auth": 1, "private": 1, "access": 1, "api": 1, "key": 1, "signing": 1, "client": 1, "encryption": 1}
+SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "pass": 2, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3, "bearer": 2, "authorization": 3, "jwt": 3, "auth": 2, "private": 1, "access": 1, "api": 1, "key": 1, "signing": 1, "client": 1, "encryption": 1}
 #: Texts without a hint hold no name that scores 2 or more: that takes one part of 2 or more, or two others in one name.
 STRONG, WEAK = ([p for p, n in SENSITIVE.items() if (n >= 2) == strong] for strong in (True, False))
 TWO_WEAK = re.compile(rf"(?:{'|'.join(WEAK)})[a-z0-9_$.\-]*?(?:{'|'.join(WEAK)})")
@@ -57,6 +57,18 @@ OPERAND = re.compile(
 #: What joins an operand to the next one: a plus (lines may end there), PHP's dot, or nothing between two literals.
 OPEN = re.compile(r"""\([\x20\t\n]*+(?=[rRbBuUfF]{0,2}["'])""")
 JOINED = re.compile(r"""[\x20\t]*+(?:\+[\x20\t\n\\]*+|\.[\x20\t]*+(?=["'$])|(?:\\\n[\x20\t]*+)?(?=["']))""")
+#: The same inside a bracket, where lines may end anywhere.
+JOINED_INSIDE = re.compile(r"""[\x20\t\n\\]*+(?:[+.][\x20\t\n\\]*+)?(?=[rRbBuUfF]{0,2}["'])""")
+#: A list or a map of literals: it goes on over literals, plain words, separators and brackets.
+CONTAINER = re.compile(r"[\[{(][\x20\t\r\n]*+(?=[\[{(]|[rRbBuUfF]{0,2}[\"'])")
+INSIDE = re.compile(
+    r"""(?P<open>[\[{(])|(?P<close>[\]})])|(?:[rRbBuUfF]{1,2}(?=["']))?+(?P<q>["'`])(?P<quoted>(?:(?!(?P=q))[^\\\n]|\\.)*+)(?P=q)(?P<key>[\x20\t]*+(?::|=>))?+|[\x20\t\r\n,;:=>+]++|[A-Za-z0-9_.\-]++""",
+    re.DOTALL,
+)
+#: A block of deeper lines, as YAML has it.
+BLOCK = re.compile(r"[|>][+\-]?[0-9]?[+\-]?[\x20\t]*+\n")
+#: Lines that give a name a value by white space alone: of a container file, and a login's password.
+SPACED = re.compile(rf"^[\x20\t]*+(?:ENV|ARG|setenv|SetEnv)[\x20\t]++{NAME}[\x20\t]++|^[^\n]*?\blogin[\x20\t]++[^\s]++[\x20\t\n]++(?P<login>password)[\x20\t]++", re.MULTILINE)
 IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:[.\-][A-Za-z0-9_$]+)*")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: A literal is reported at this score or more.
@@ -67,7 +79,8 @@ PLACEHOLDERS = {"none", "null", "true", "false", "undefined", "changeme", "examp
 
 
 def name_score(name: str) -> int:
-    return min(4, sum(SENSITIVE.get(p.lower(), 0) for p in PARTS.findall(name)))
+    """What the parts of a name say together; plurals count as their singulars."""
+    return min(4, sum(SENSITIVE.get(p, SENSITIVE.get(p.removesuffix("s"), 0)) for p in map(str.lower, PARTS.findall(name))))
 
 
 def literal_score(literal: str, quoted: bool) -> float:
@@ -92,6 +105,9 @@ class Pairs:
         """Reads the operands of an expression from there; gives its end and whether it holds a quoted literal."""
         parts: list[str] = []
         spans: list[tuple[int, int]] = []
+        if name_score(name) >= 2:
+            self.container(text, name, at)
+            self.block(text, name, at)
         if opened := OPEN.match(text, at):
             at = opened.end()
         quoted, end = False, at
@@ -105,13 +121,16 @@ class Pairs:
                     until -= 1
                 if IDENTIFIER.fullmatch(literal):
                     self.sources.setdefault(name, set()).add(literal)
-                if not spans and not quoted:
+                if text[until : until + 1] == "(":  # a call is no literal, but its fallback may be one
+                    if key := KEYED.match(text, until + 1):
+                        self.value(text, name, key.end())
+                elif not spans and not quoted:
                     self.literals.append((name, literal, [(begin, until)], False))
             elif until > begin:
                 quoted = True
                 parts.append(literal)
                 spans.append((begin, until))
-            more = JOINED.match(text, end)
+            more = (JOINED_INSIDE if opened else JOINED).match(text, end)
             if not more or (group == "bare" and more.end() == end):
                 break
             at = more.end()
@@ -119,6 +138,38 @@ class Pairs:
             self.literals.append((name, "".join(parts), spans, True))
         return end, quoted
 
+    def container(self, text: str, name: str, at: int) -> None:
+        """Every literal of a list or map is a value of its name; keys of a map are none. Names inside are targets of their own."""
+        if not CONTAINER.match(text, at):
+            return
+        depth = 0
+        while m := INSIDE.match(text, at):
+            at = m.end()
+            if m["q"] is not None and m["key"] is None and m["quoted"]:
+                self.literals.append((name, m["quoted"], [m.span("quoted")], True))
+            depth += (m["open"] is not None) - (m["close"] is not None)
+            if depth <= 0:
+                return
+
+    def block(self, text: str, name: str, at: int) -> None:
+        """The lines of a block that stand deeper than the line of its name are one literal."""
+        m = BLOCK.match(text, at)
+        if not m:
+            return
+        begin = text.rfind("\n", 0, at) + 1
+        indent = lambda a, b: len(line := text[a:b]) - len(line.lstrip(" \t"))
+        own, spans, at = indent(begin, at), [], m.end()
+        while at < len(text):
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            if text[at:end].strip():
+                if indent(at, end) <= own:
+                    break
+                spans.append((at + indent(at, end), at + len(text[at:end].rstrip())))
+            at = end + 1
+        if spans:
+            self.literals.append((name, "".join(text[a:b] for a, b in spans), spans, True))
+
     def scores(self) -> dict[str, int]:
         """What each name says of its literals: its own score, or that of any name that takes its value, to a fixpoint."""
         best = {n: name_score(n) for n in {*self.sources, *(n for n, *_ in self.literals)}}
@@ -141,8 +192,9 @@ class Pairs:
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that a sensitive name receives, directly or through named constants, in any order.
 
-    Targets are assignments with or without a type, keys, tags, #define, calls with one literal, and quoted names with
-    the argument after them. Literals may have prefixes or triple quotes, and of those joined together each is a span.
+    Targets are assignments with or without a type, keys, tags, #define, ENV lines, logins, calls with one literal, and
+    quoted names with the argument after them. Literals may have prefixes or triple quotes, and of those joined together,
+    over lines inside a bracket, each is a span; so are those of a list or map, the fallback of a call and each line of a block.
     Comments are read as code, since secrets in them leak too; a name may be assigned several times.
     """
     if not hinted(text.lower()):
@@ -153,6 +205,8 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
             pairs.literals.append((m["tag"], text[m.end() : text.index("<", m.end())], [(m.end(), text.index("<", m.end()))], True))
         else:
             pairs.value(text, m["name"], m.end())
+    for m in SPACED.finditer(text):
+        pairs.value(text, m["name"] or m["login"], m.end())
     at = 0
     while m := TARGET.search(text, at):
         at, name = max(m.end("name"), m.start() + 1), m["name"]

@@ -200,7 +200,20 @@ S = "a8F3kLm29QzX77pT"
         (f'char password[] = "{S}";', [S]),
         (f'db.password = K\nK = "{S}"', [S]),
         ('secret = "a8F3kLm2" + "9QzX77pT"', ["a8F3kLm2", "9QzX77pT"]),
-        ('secret = ("a8F3kLm2"\n "9QzX77pT")', ["a8F3kLm2"]),
+        ('secret = ("a8F3kLm2"\n "9QzX77pT")', ["a8F3kLm2", "9QzX77pT"]),
+        ('secret = (\n "a8F3kLm29QzX"\n "77pTzzQ81kLm"\n)', ["a8F3kLm29QzX", "77pTzzQ81kLm"]),
+        ('secret = ("a8F3kLm29QzX" +\n b"77pTzzQ81kLm")\nx = 1', ["a8F3kLm29QzX", "77pTzzQ81kLm"]),
+        (f'passwords = ["{S}", "x8F3kLm29QzX77p"]', [S, "x8F3kLm29QzX77p"]),
+        (f'secrets = {{"a": "{S}",\n  "b": ["{S}x"]}}', [S, S + "x"]),
+        (f'"Authorization": "Bearer {S}"', [f"Bearer {S}"]),
+        (f"FROM x\nENV SECRET_KEY {S}\n", [S]),
+        (f"machine h login me password {S}", [S]),
+        (f"machine h\nlogin me\npassword {S}\n", [S]),
+        (f"private_key: |\n  {S}\n  {S}y\nother: 1", [S, S + "y"]),
+        (f'auth: "{S}"', [S]),
+        (f'jwt = "{S}"', [S]),
+        (f'api_tokens: ["{S}"', [S]),
+        (f'password = os.getenv("X", "{S}")', [S]),
         (f'signing_key = b"{S}"', [S]),
         (f'api_key = """{S}"""', [S]),
         (f'#define API_KEY "{S}"', [S]),
@@ -220,7 +233,7 @@ def test_secret_syntax(text, literals):
     assert [text[a:b] for a, k, b in secret_scan.scan_text(text) if k == "pair"] == literals
 
 
-@pytest.mark.parametrize("text", [f'x = "{S}"', "set_secret('signing_key', name)", f'name = "{S}"\nother = name', 'password = "changeme"', 'title = "a8F3kLm29QzX77pT"', "The secret: we were late again", "token = null", "key: value", "monkey = banana split"])
+@pytest.mark.parametrize("text", [f'x = "{S}"', "set_secret('signing_key', name)", f'name = "{S}"\nother = name', 'password = "changeme"', 'title = "a8F3kLm29QzX77pT"', "The secret: we were late again", "token = null", "key: value", "monkey = banana split", 'password = os.getenv("X")', "The password Tr0ub4dor was lost", "author: Jonathan Livingston", 'secrets = {"first_key_name": 1}'])
 def test_no_secret_pairs(text):
     assert not [k for _, k, _ in secret_scan.scan_text(text) if k == "pair"]
 
