@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.sources.run_store import Conflict, RunStore
+
 
 def after_mark(rows: DataFrame, stamp: str, mark) -> DataFrame:
     """Rows strictly after the mark (null: all). Late rows at or before it are never read again; reset the mark to read them."""
@@ -52,3 +54,37 @@ def stream_files(spark: SparkSession, path: str, schema, apply: Callable[[DataFr
     """Runs a batch function over files as they come; ends when what is there is done."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_stream(store: RunStore, rows: DataFrame, table: str, checkpoint: str, change: Callable[[DataFrame], DataFrame] | None = None, tries: int = 5) -> int | None:
+    """Appends a stream's rows (after `change`) to a table of the store, each batch once, until what is there is done.
+
+    Gives the number of the last batch (None: there was none).
+
+    A batch's rows and its number become visible in one step, so a batch that failed, or that is sent again after the
+    stream was killed, is there once. A checkpoint goes with its table: another one, which would read everything again, is
+    refused. If another run is published meanwhile the batch is written again on top of it.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        ident = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        stream = f"{table}/{ident}"
+        for left in reversed(range(tries)):
+            start = store.manifest()
+            others = [s for s in start["streams"] if s.startswith(f"{table}/") and s != stream]
+            if others:
+                raise ValueError(f"table {table!r} is filled by a stream with another checkpoint: {others}")
+            try:
+                store.commit(stream, number, {}, {table: change(batch) if change else batch}, start=start)
+                return
+            except Conflict:
+                if not left:
+                    raise
+
+    # Sources that can't bound a run do one batch a run, and after a failure that batch is the old one: run until none comes.
+    before, number = -1, None
+    while number != before:
+        run = rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        run.awaitTermination()
+        before, number = number, store.manifest()["streams"].get(f"{table}/{run.id}")
+    return number
