@@ -64,18 +64,25 @@ def edge_cases(frame: DataFrame, ident: str, limit: int = 20) -> DataFrame:
     return frame.filter(F.size("reasons") > 0).orderBy(F.size("reasons").desc(), ident).limit(limit)
 
 
+def seeded(ident: str, seed: int = 0) -> Column:
+    """The place of a row in a seeded order, the same in every engine: the MD5 of seed and id."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(ident).cast("string"), F.lit(""))))
+
+
 def stratified(frame: DataFrame, level: str, quotas: dict[str, int], ident: str, seed: int = 0) -> DataFrame:
-    """Up to its quota of rows of each level, in an order that the seed and the id fix.
+    """Up to its quota of rows of each level, in an order that the seed and the id fix; other levels give none.
 
-    Every task first keeps its own best rows of each level, so what is ranked together is bounded by tasks and quotas.
+    One read: the limit on the row number makes every task keep its own least rows of each level before the shuffle, so
+    what is ranked together is bounded by tasks and quotas. Samples of parts of a table merge: the sample of their union is
+    the sample of the whole.
     """
-    place = F.xxhash64(F.lit(seed), ident)
-    ranked = frame.withColumn("_place", place).withColumn("_part", F.spark_partition_id())
-    quota = F.create_map(*[F.lit(x) for k, v in quotas.items() for x in (k, v)])[F.col(level)]
-    own = Window.partitionBy(level, "_part").orderBy("_place", ident)
-    few = ranked.withColumn("_rn", F.row_number().over(own)).filter(F.col("_rn") <= quota)
-    whole = Window.partitionBy(level).orderBy("_place", ident)
-    return few.withColumn("_rn", F.row_number().over(whole)).filter(F.col("_rn") <= quota).drop("_place", "_part", "_rn")
+    rows = F.row_number().over(Window.partitionBy(level).orderBy("_place", ident))
+    most = max(quotas.values(), default=0)
+    ranked = frame.filter(F.col(level).isin(*quotas)).withColumn("_place", seeded(ident, seed)).withColumn("_rn", rows).filter(F.col("_rn") <= most)
+    quota = F.lit(0)
+    for name, n in quotas.items():
+        quota = F.when(F.col(level) == name, n).otherwise(quota)
+    return ranked.filter(F.col("_rn") <= quota).drop("_place", "_rn")
 
 
 def sample_report(frame: DataFrame, level: str, reasons: str, ident: str, n: int, seed: int = 0) -> DataFrame:

@@ -802,7 +802,7 @@ def edge_case_reasons(spark, sf_dir):
     return found.select("event_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query()
+@query("with l as (select doc_id, case when n_chars > 3000 then 'high' when n_chars > 1000 then 'medium' else 'low' end as level from documents), r as (select *, row_number() over (partition by level order by md5('7:' || coalesce(cast(doc_id as varchar), '')), doc_id) as rn from l) select doc_id, level from r where rn <= case level when 'low' then 16 else 17 end")
 def stratified_sample(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").withColumn("level", F.when(F.col("n_chars") > 3000, "high").when(F.col("n_chars") > 1000, "medium").otherwise("low"))
     return sampling.stratified(rows.select("doc_id", "level"), "level", {"high": 17, "medium": 17, "low": 16}, "doc_id", 7)
