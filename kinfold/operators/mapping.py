@@ -71,9 +71,14 @@ class Spec:
         return Spec.of(body["name"], body["fields"])
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def value_of(f: FieldMap, columns: list[str]) -> Column:
     """Source, else default; then the transform, with the trimmed original where that gives null; flags as booleans."""
-    source = scalar.present(f.source) if f.source in columns else F.lit(None).cast("string")
+    source = scalar.present(named(f.source)) if f.source in columns else F.lit(None).cast("string")
     if isinstance(f.default, bool):
         return scalar.loose_bool(F.coalesce(source, F.lit(str(f.default).lower())))
     text = source if f.default is None else F.coalesce(source, F.lit(f.default))
@@ -99,7 +104,7 @@ def apply_mapping(raw: DataFrame, spec: Spec, keep: tuple[str, ...] = ()) -> Dat
     mapped = {f.source for f in spec.fields if f.source}
     errors = [F.when(value_of(f, raw.columns).isNull(), F.lit(f"Missing required field: {f.source or f.target}")) for f in spec.fields if f.required]
     extra = [c for c in raw.columns if c not in mapped and c not in keep]
-    pairs = [F.when(scalar.present(c).isNotNull(), F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))) for c in extra]
+    pairs = [F.when(scalar.present(named(c)).isNotNull(), F.struct(F.lit(c).alias("key"), named(c).cast("string").alias("value"))) for c in extra]
     unmapped = F.map_from_entries(F.array_compact(F.array(*pairs))) if pairs else F.create_map().cast("map<string,string>")
     return raw.select(
         *keep,
@@ -117,7 +122,7 @@ def field_stats(raw: DataFrame, spec: Spec) -> DataFrame:
             first.setdefault(f.source, f)  # a source with two targets counts for the first
     aggs = []
     for i, (s, f) in enumerate(first.items()):
-        there = scalar.present(s).isNotNull()
+        there = scalar.present(named(s)).isNotNull()
         aggs += [F.count_if(there).alias(f"p{i}"), F.count_if(~there & F.lit(f.default is not None)).alias(f"d{i}"), F.count_if(~there & F.lit(f.required and f.default is None)).alias(f"m{i}")]
     one = raw.agg(F.count(F.lit(1)).alias("n"), *aggs)
     rows = [F.struct(F.lit(s).alias("source"), F.lit(f.target).alias("target"), F.col("n").alias("records"), *[F.col(f"{k}{i}").alias(a) for k, a in (("p", "populated"), ("d", "defaulted"), ("m", "missing_required"))]) for i, (s, f) in enumerate(first.items())]

@@ -816,4 +816,4 @@ def top_sources_by_language(spark, sf_dir):
 
 
 # The queries of the services and of the CRM loaders register themselves.
-from kinfold import queries_crm, queries_increments, queries_services  # noqa: E402, F401
+from kinfold import queries_crm, queries_increments, queries_profiles, queries_services  # noqa: E402, F401
