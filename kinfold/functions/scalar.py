@@ -233,7 +233,7 @@ def title_case(c: Column | str) -> Column:
 def enum_match(c: Column | str, values: tuple[str, ...]) -> Column:
     """The value that equals the text but for case, else null."""
     t = F.lower(F.trim(column(c)))
-    return F.coalesce(*[F.when(t == v.lower(), v) for v in values])
+    return F.coalesce(*[F.when(t == v.lower(), v) for v in values], F.lit(None).cast("string"))
 
 
 def flag_value(text: Column, kind: Column) -> Column:

@@ -217,6 +217,29 @@ def contact_fields(genders: tuple[str, ...], races: tuple[str, ...], education:
     }
 
 
+#: Fields that each record of a contact rewrites, given or not, and those that stay where a record doesn't give them.
+REWRITTEN = ("first_name", "last_name", "do_not_call", "do_not_email", "do_not_contact")
+KEPT_TEXTS = ("middle_name", "preferred_name", "type", "title", "internal_notes")
+
+
+def stored_contacts(core: DataFrame, decided: DataFrame, genders: tuple[str, ...], races: tuple[str, ...], education: tuple[str, ...]) -> DataFrame:
+    """core (entity_id, source and all contact fields) after the records of a run, with a row for each inserted one.
+
+    decided: seq, load_action, entity_id and the payload's columns. Records without changes rewrite fields as well. Of
+    several records of a contact the last by seq that gives a field holds. New contacts get ids after the core's largest,
+    by seq; deleted and skipped records change nothing here.
+    """
+    fields = {**{c: present(c) for c in (*REWRITTEN[:2], *KEPT_TEXTS)}, **contact_fields(genders, races, education)}
+    top = core.agg(F.coalesce(F.max("entity_id"), F.lit(0)).alias("_top"))
+    rows = decided.filter(F.col("load_action").isin("inserted", "updated", "no_change")).join(F.broadcast(top))  # one row
+    ident = F.when(F.col("load_action") == "inserted", F.col("_top") + F.col("seq")).otherwise(F.col("entity_id"))
+    rows = rows.select(ident.alias("entity_id"), "seq", *[v.alias(k) for k, v in fields.items()])
+    last = rows.groupBy("entity_id").agg(*[F.max_by(k, "seq" if k in REWRITTEN else F.when(F.col(k).isNotNull(), F.col("seq"))).alias(f"_{k}") for k in fields], F.lit(True).alias("_seen"))
+    both = core.join(last, "entity_id", "full_outer")
+    now = {k: F.when(F.col("_seen"), F.col(f"_{k}")).otherwise(F.col(k)) if k in REWRITTEN else F.coalesce(f"_{k}", k) for k in fields}
+    return both.select("entity_id", F.when(F.col("_seen"), "salesforce").otherwise(F.col("source")).alias("source"), *[v.alias(k) for k, v in now.items()])
+
+
 def events(incoming: DataFrame, id_map: DataFrame, core: DataFrame) -> DataFrame:
     """incoming (seq, external_id, hash, deleted, title, start_date) with load_action, skip_type and entity_id; title and a start are a must."""
     routed = routes(incoming, id_map, "event", core)

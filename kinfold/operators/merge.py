@@ -34,6 +34,16 @@ def aging(created: Column, as_of: Column) -> Column:
     return F.when(hours < 24, "under_24h").when(hours < 48, "24h_to_48h").otherwise("over_48h")
 
 
+def run_aging(suggestions: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
+    """One row: pending suggestions with a primary, by the age of the run that made them; those of unknown runs don't count.
+
+    Runs without a date are of no age. Suggestions are counted by run before they meet the runs.
+    """
+    waiting = suggestions.filter((F.col("decision") == "pending") & F.col("primary_id").isNotNull()).groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
+    aged = waiting.join(runs.select("run_id", aging(F.col("created_at"), as_of).alias("_age"), "created_at"), "run_id").filter("created_at is not null")
+    return aged.agg(*[F.coalesce(F.sum(F.when(F.col("_age") == b, F.col("_n"))), F.lit(0)).cast("long").alias(b) for b in ("under_24h", "24h_to_48h", "over_48h")])
+
+
 def change_decision(suggestions: DataFrame, ids: DataFrame, to: str, start_from: tuple[str, ...], note: Column | None = None) -> DataFrame:
     """suggestions with the decision of the given ids changed where their state allows it."""
     marked = suggestions.join(ids.select("suggestion_id", F.lit(True).alias("_hit")).distinct(), "suggestion_id", "left")

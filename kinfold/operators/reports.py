@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.functions.scalar import rate
+from kinfold.functions.scalar import age, age_group, rate
 
 
 def counts_by_each(frame: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -17,6 +17,13 @@ def counts_by_each(frame: DataFrame, dimensions: list[str]) -> DataFrame:
     return sets.select(name.alias("dimension"), value.alias("value"), "n")
 
 
+def counts_of_known(frame: DataFrame, column: str, known: tuple) -> DataFrame:
+    """(column, n) of every known value, zero where no row has it; other values don't count."""
+    values = F.explode(F.array(*[F.lit(k) for k in known])).alias(column)
+    counts = frame.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return frame.sparkSession.range(1).select(values).join(counts, column, "left").fillna(0, ["n"])
+
+
 def reason_prefix(reason: Column) -> Column:
     """What stands before the first colon, else the first fifty characters."""
     return F.when(reason.contains(":"), F.trim(F.substring_index(reason, ":", 1))).otherwise(F.substring(reason, 1, 50))
@@ -40,6 +47,17 @@ def hours_by(hours: DataFrame, owner: str) -> DataFrame:
     return hours.groupBy(owner).agg(F.coalesce(F.sum("hours"), F.lit(0.0)).alias("hours"), F.count(F.lit(1)).alias("sessions"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
+def total_hours(people: DataFrame, hours: DataFrame, owner: str) -> DataFrame:
+    """people with total_hours written again from the log of hours: 0 for those without any, null hours left out."""
+    sums = hours.groupBy(owner).agg(F.sum(F.col("hours").cast("double")).alias("_sum"))
+    return people.join(sums, owner, "left").withColumn("total_hours", F.coalesce("_sum", F.lit(0.0))).drop("_sum")
+
+
+def age_groups(people: DataFrame, birth: str, as_of: Column) -> DataFrame:
+    """people with age_group written again from their birthdates as of a day; null without one."""
+    return people.withColumn("age_group", age_group(age(birth, as_of)))
+
+
 def match_quality(staged: DataFrame, clean: DataFrame, skips: DataFrame) -> DataFrame:
     """Per run and over all (run_id null): attempted (the larger of staged and clean), skipped, matched and match_rate."""
     part = lambda f, name: f.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))

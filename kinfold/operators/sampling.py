@@ -85,12 +85,24 @@ def stratified(frame: DataFrame, level: str, quotas: dict[str, int], ident: str,
     return ranked.filter(F.col("_rn") <= quota).drop("_place", "_rn")
 
 
-def sample_report(frame: DataFrame, level: str, reasons: str, ident: str, n: int, seed: int = 0) -> DataFrame:
-    """A third of n from each level, then edge cases up to a fifth of n, cut to n rows."""
-    third = -(-n // 3)
-    base = stratified(frame, level, {k: third for k in ("high", "medium", "low")}, ident, seed).withColumn("is_edge", F.lit(False))
-    edge = edge_cases(frame.filter(F.size(reasons) > 0), ident, max(1, int(n * EDGE_SHARE))).withColumn("is_edge", F.lit(True))
-    return base.unionByName(edge.join(base.select(ident), ident, "left_anti")).orderBy("is_edge", ident).limit(n)
+def strata(n: int) -> dict[str, int]:
+    """How a sample of n rows is spread over the levels: at least one of each."""
+    high, medium = max(1, n * 3 // 10), max(1, n * 4 // 10)
+    return {"high": high, "medium": medium, "low": max(1, n - high - medium)}
+
+
+def sample_report(frame: DataFrame, ident: str, n: int, seed: int = 0) -> DataFrame:
+    """Rows of every level (0.3, 0.4 and 0.3 of n), then edge cases up to a fifth of n as far as there is room; n at most.
+
+    frame has level and reasons (an array, empty for ordinary rows). Both samples are in the seeded order, so a report can
+    be made again; is_edge tells which of the sampled rows are edge cases. Ids are unique.
+    """
+    base = stratified(frame, "level", strata(n), ident, seed).withColumn("_round", F.lit(0))
+    odd = frame.filter(F.size("reasons") > 0).withColumn("_all", F.lit("edge"))
+    edge = stratified(odd, "_all", {"edge": int(n * EDGE_SHARE)}, ident, seed + 1).drop("_all").withColumn("_round", F.lit(1))
+    both = base.unionByName(edge.join(base.select(ident), ident, "left_anti").select(*base.columns))
+    cutoff = both.orderBy("_round", F.when(F.col("_round") == 1, seeded(ident, seed + 1)), seeded(ident, seed), ident).limit(n)
+    return cutoff.drop("_round").withColumn("is_edge", F.size("reasons") > 0)
 
 
 def field_samples(frame: DataFrame, field: str, n: int, seed: int = 0) -> DataFrame:

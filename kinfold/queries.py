@@ -413,9 +413,7 @@ def status_stats_grouping_sets(spark, sf_dir):
 
 @query("select s.status as o_orderstatus, count(o_orderkey) as n from (values ('F'), ('O'), ('P'), ('X')) s(status) left join orders on o_orderstatus = s.status group by 1")
 def run_stats_by_status(spark, sf_dir):
-    known = spark.createDataFrame([("F",), ("O",), ("P",), ("X",)], "o_orderstatus string")
-    counts = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    return known.join(counts, "o_orderstatus", "left").fillna(0, ["n"])
+    return reports.counts_of_known(table(spark, sf_dir, "orders"), "o_orderstatus", ("F", "O", "P", "X"))
 
 
 @query("with s as (select event_type as skip_type, case when event_id % 2 = 0 then event_type || ' : ' || props else repeat(event_type, 9) end as r from events) select skip_type, case when contains(r, ':') then trim(split_part(r, ':', 1)) else left(r, 50) end as reason, count(*) as n from s group by 1, 2")
@@ -816,4 +814,4 @@ def top_sources_by_language(spark, sf_dir):
 
 
 # The queries of the services and of the CRM loaders register themselves.
-from kinfold import queries_crm, queries_increments, queries_profiles, queries_services  # noqa: E402, F401
+from kinfold import queries_crm, queries_increments, queries_profiles, queries_records, queries_services  # noqa: E402, F401
