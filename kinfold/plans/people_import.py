@@ -10,6 +10,7 @@ from kinfold.operators import dq, load, match
 from kinfold.operators.materialize import cut
 from kinfold.sources.people_csv import read_people, stage_people
 from kinfold.sources.run_store import RunStore
+from kinfold.streaming.incremental import file_names, run_stream
 
 FIELDS = ("first_name", "last_name", "middle_name", "preferred_name", "email", "phone_e164", "notes", "internal_notes")
 CORE = "person_id long, " + ", ".join(f"{f} string" for f in FIELDS) + ", email_verified boolean, source string"
@@ -83,7 +84,7 @@ def load_people(clean: DataFrame, core: DataFrame, id_map: DataFrame, seen_at: C
 
 
 def import_people(
-    spark: SparkSession, path: str, run_id: int, core: DataFrame, id_map: DataFrame, seen_at: Column, source: str = "csv",
+    spark: SparkSession, path: str | list[str], run_id: int, core: DataFrame, id_map: DataFrame, seen_at: Column, source: str = "csv",
     emails: DataFrame | None = None, promoted: DataFrame | None = None, dry_run: bool = False,
 ) -> dict[str, DataFrame]:
     """The run's tables: staged, violations, clean, and those of load_people.
@@ -123,7 +124,7 @@ CREATED = {"phones": PHONES, "addresses": ADDRESSES, "contacts": CONTACTS}
 RUN_TABLES = ("staged", "violations", "clean", "loaded", "change_log", "skips", "suggestions", "candidates")
 
 
-def import_run(store: RunStore, path: str, batch: int, seen_at: Column, source: str = "csv", stream: str = "people", marks: dict[str, str] | None = None) -> int:
+def import_run(store: RunStore, path: str | list[str], batch: int, seen_at: Column, source: str = "csv", stream: str = "people", marks: dict[str, str] | None = None) -> int:
     """Imports a file into the latest version of a store and publishes all its tables as the next one; gives the version.
 
     A batch that is there already is not run again. Core, e-mails and id map are replaced; phones, addresses and contacts
@@ -140,3 +141,19 @@ def import_run(store: RunStore, path: str, batch: int, seen_at: Column, source:
     run["candidates"], _ = import_candidates(run["loaded"], people_details(old["core"], old["emails"], old["addresses"], old["contacts"]), existing)
     stamped = {name: run[name].withColumn("run_id", F.lit(batch).cast("long")) for name in RUN_TABLES}
     return store.commit(stream, batch, {name: run[name] for name in SNAPSHOTS}, {**{name: run[name] for name in CREATED}, **stamped}, marks, start)
+
+
+def import_stream(store: RunStore, folder: str, checkpoint: str, seen_at: Column, source: str = "csv", stream: str = "people", files_per_batch: int = 1) -> int | None:
+    """Imports the files that come into a folder, each batch of them once, until all that are there are done.
+
+    A batch is a run of its own (run_id is its number), decided against the tables as earlier batches left them, and all
+    its tables, its number and what follows from it are published in one step: a batch that fails between any two writes,
+    or is sent again, leaves what one run leaves. Files of one batch have the same header; by default a batch is one file.
+    A file without rows is a run without rows. Gives the number of the last batch, None if there was none.
+    """
+
+    def publish(names: DataFrame, own: str, number: int) -> None:
+        files = sorted(r["path"] for r in names.collect())  # at most files_per_batch
+        import_run(store, files, number, seen_at, source, own, {"file": files[-1]} if files else None)
+
+    return run_stream(store, file_names(store.spark, folder, files_per_batch), stream, checkpoint, publish)

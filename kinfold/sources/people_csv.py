@@ -95,7 +95,7 @@ def missing_headers(columns: list[str]) -> list[str]:
     return [n for n in REQUIRED if n not in there]
 
 
-def read_people(spark: SparkSession, path: str, skip_blank: bool = True) -> DataFrame:
+def read_people(spark: SparkSession, path: str | list[str], skip_blank: bool = True) -> DataFrame:
     """sequence_number and the canonical columns as trimmed text.
 
     Rows are numbered from 1 before blank ones go, so gaps remain: in a file by their place, which needs no shuffle, and

@@ -56,26 +56,24 @@ def stream_files(spark: SparkSession, path: str, schema, apply: Callable[[DataFr
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def append_stream(store: RunStore, rows: DataFrame, table: str, checkpoint: str, change: Callable[[DataFrame], DataFrame] | None = None, tries: int = 5) -> int | None:
-    """Appends a stream's rows (after `change`) to a table of the store, each batch once, until what is there is done.
-
-    Gives the number of the last batch (None: there was none).
+def run_stream(store: RunStore, rows: DataFrame, name: str, checkpoint: str, publish: Callable[[DataFrame, str, int], None], tries: int = 5) -> int | None:
+    """Calls publish(rows, stream, number) for each batch of a stream until what is there is done; gives the last number.
 
-    A batch's rows and its number become visible in one step, so a batch that failed, or that is sent again after the
-    stream was killed, is there once. A checkpoint goes with its table: another one, which would read everything again, is
-    refused. If another run is published meanwhile the batch is written again on top of it.
+    publish makes a commit of the store under that stream and number. Rows and number become visible in one step, so a
+    batch that failed, or that is sent again after the stream was killed, is there once. A checkpoint goes with its name:
+    another one, which would read everything again, is refused. If another run is published meanwhile the batch is made
+    again on top of it. None: there was no batch.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         ident = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        stream = f"{table}/{ident}"
+        stream = f"{name}/{ident}"
         for left in reversed(range(tries)):
-            start = store.manifest()
-            others = [s for s in start["streams"] if s.startswith(f"{table}/") and s != stream]
+            others = [s for s in store.manifest()["streams"] if s.startswith(f"{name}/") and s != stream]
             if others:
-                raise ValueError(f"table {table!r} is filled by a stream with another checkpoint: {others}")
+                raise ValueError(f"{name!r} is filled by a stream with another checkpoint: {others}")
             try:
-                store.commit(stream, number, {}, {table: change(batch) if change else batch}, start=start)
+                publish(batch, stream, number)
                 return
             except Conflict:
                 if not left:
@@ -86,5 +84,20 @@ def append_stream(store: RunStore, rows: DataFrame, table: str, checkpoint: str,
     while number != before:
         run = rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         run.awaitTermination()
-        before, number = number, store.manifest()["streams"].get(f"{table}/{run.id}")
+        before, number = number, store.manifest()["streams"].get(f"{name}/{run.id}")
     return number
+
+
+def append_stream(store: RunStore, rows: DataFrame, table: str, checkpoint: str, change: Callable[[DataFrame], DataFrame] | None = None, tries: int = 5) -> int | None:
+    """Appends a stream's rows (after `change`) to a table of the store, each batch once; gives the last batch's number."""
+
+    def publish(batch: DataFrame, stream: str, number: int) -> None:
+        store.commit(stream, number, {}, {table: change(batch) if change else batch})
+
+    return run_stream(store, rows, table, checkpoint, publish, tries)
+
+
+def file_names(spark: SparkSession, folder: str, files_per_batch: int = 1, pattern: str = "*.csv") -> DataFrame:
+    """A stream of the paths of files as they come, oldest first; their contents are not read."""
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return rows.option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).load(folder).select("path")
