@@ -64,8 +64,7 @@ def cut_pieces(
         for batch in batches:
             for a, b in bounded(batch["text"], 2 << 20):
                 out: dict[str, list] = {n: [] for n in ("row", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-                texts = [t or "" for t in batch["text"][a:b].to_pylist()]
-                for row, ids in enumerate(bpe.packed(texts)):
+                for row, ids in enumerate(bpe.packed(batch["text"][a:b])):
                     ids += end
                     for at in range(0, len(ids), 4 * max_tokens):
                         piece = ids[at : at + 4 * max_tokens]

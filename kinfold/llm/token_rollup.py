@@ -34,8 +34,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bpe = byte_bpe(tokenizer)
         for batch in batches:
             for a, b in bounded(batch["text"]):
-                texts = [t or "" for t in batch["text"][a:b].to_pylist()]
-                yield {"id": batch["id"][a:b], **{f"k{i}": batch[f"k{i}"][a:b] for i in range(len(keep))}, "n_tokens": bpe.counts(texts)}
+                yield {"id": batch["id"][a:b], **{f"k{i}": batch[f"k{i}"][a:b] for i in range(len(keep))}, "n_tokens": bpe.counts(batch["text"][a:b])}
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(keep)])

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -10,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -307,6 +309,26 @@ def test_ids_are_the_librarys(texts):
         assert of(own, texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab'stE.,_#| \n\t\r1²ªµé×÷Ā\xa0ɏɐ漢\x1f\x85", max_size=12), max_size=8), st.integers(1, 4))
+def test_chunks_are_the_librarys(parts, n):
+    """Texts side by side, with marks after letters and signs, white space at their borders and characters at the ends of the plain range."""
+    own, library = both_of("byte_bpe_50k.json")
+    got = own.packed(pa.array([None, *parts, "".join(parts) * n])[1:])
+    want = [library.encode(t, add_special_tokens=False).ids for t in [*parts, "".join(parts) * n]]
+    assert [np.frombuffer(p, "<u4").tolist() for p in got] == want
+    assert own.counts([*parts, None]) == [*map(len, want[:-1]), 0]
+
+
+def test_marks_do_not_make_new_words():
+    """A word with a mark behind it is the word, so the library sees each word of a portion once."""
+    own, seen = tokens.ByteBpe(tokens.tokenizer_file("byte_bpe_50k.json")), []
+    each = own._each
+    own._each = lambda words, *rest: seen.extend(words) or each(words, *rest)
+    own.packed([f"so {''.join(w)} {''.join(w)}{m} end" for w in itertools.permutations("aeñst", 4) for m in ".,;:!?###***"])
+    assert len(seen) == len(set(seen)) < 200
+
+
 @functools.cache
 def both_of(name):
     """The operator's encoder of a file, with small leaves and caches, and the library's."""
