@@ -4,10 +4,11 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinfold.llm import exact_dedup, near_dedup, secret_scan
-from kinfold.llm.common import cut
+from kinfold.llm.common import BATCH_BYTES, cut, map_columns
 from tests.llm.conftest import EDGE
 from tests.llm.test_near import plain_components
 
@@ -94,3 +95,16 @@ def test_clashing_names(spark):
     assert sorted(map(tuple, exact_dedup.drop_exact_duplicates(frame).collect())) == want
     assert sorted(map(tuple, near_dedup.drop_near_duplicates(frame).collect())) == want
     assert sorted(map(tuple, secret_scan.redact(frame).collect())) == rows
+
+
+def test_batches_of_texts_are_small(spark):
+    """What goes to Python at once follows its bytes: a batch of 10,000 long texts would stand whole in the JVM and in the worker."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield {"n": [len(batch["text"])], "size": [batch["text"].nbytes]}
+
+    read = spark.range(3000, numPartitions=1).select(F.lpad(F.col("id").cast("string"), 10_000, "x").alias("text"))
+    got = map_columns(read, sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 3000
+    assert max(r["size"] for r in got) < 2 * BATCH_BYTES
