@@ -29,9 +29,10 @@ def queue_stats(suggestions: DataFrame) -> DataFrame:
 
 
 def aging(created: Column, as_of: Column) -> Column:
-    """Buckets of a day each, half open."""
-    hours = (F.unix_timestamp(as_of) - F.unix_timestamp(created)) / 3600
-    return F.when(hours < 24, "under_24h").when(hours < 48, "24h_to_48h").otherwise("over_48h")
+    """Buckets of a day each, half open, by the microsecond."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    age, day = micros(as_of) - micros(created), 24 * 3600 * 1_000_000
+    return F.when(age < day, "under_24h").when(age < 2 * day, "24h_to_48h").otherwise("over_48h")
 
 
 def run_aging(suggestions: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
