@@ -18,3 +18,29 @@ def test_aging_goes_by_the_microsecond(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     assert got == dict(con.sql(queries.oracle_sql()["aging_buckets"]).fetchall()) == {"under_24h": 2, "24h_to_48h": 4, "over_48h": 3}
+
+
+def against_sql(spark, name, tmp_path, **tables):
+    """The rows of a query over small tables, sorted, after holding them against its SQL."""
+    con = duckdb.connect()
+    for t, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    frame = queries.queries()[name](spark, str(tmp_path))
+    got = sorted((tuple(float(v) if c in ("score", "name_sim") else v for c, v in r.asDict().items()) for r in frame.collect()), key=str)
+    made = con.sql(f"select {', '.join(frame.columns)} from ({queries.oracle_sql()[name]})").fetchall()
+    assert got == sorted((tuple(float(v) if c in ("score", "name_sim") else v for c, v in zip(frame.columns, r, strict=True)) for r in made), key=str)
+    return got
+
+
+PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+
+
+def test_the_banded_scan_takes_pairs_of_all_brands(spark, tmp_path, monkeypatch):
+    """Equal, nearly equal and differently written names, over several chunks of a block; nothing hangs on the brand."""
+    monkeypatch.setattr("kinfold.operators.match.in_chunks.__defaults__", (3,))
+    names = ["cold ring", "old ring", "Cold ring", "new bolt", "newer bolt", "colds ring"]
+    rows = [(i * 7 % 60, names[i % 6], f"b{i % 5}", None if i % 11 == 0 else f"t{i % 2}", i % 4, None if i % 13 == 0 else float(i % 3)) for i in range(60)]
+    got = against_sql(spark, "duplicate_scan_banded", tmp_path, part=(rows, PART))
+    brand, name = ({r[0]: r[k] for r in rows} for k in (2, 1))
+    assert any(brand[a] != brand[b] for a, b, *_ in got) and any(name[a] != name[b] for a, b, *_ in got)
