@@ -1,11 +1,13 @@
 """Results at the edges of periods and blocks, and work that follows distinct values instead of pairs of rows."""
 
 import datetime
+import time
 
 import duckdb
 from pyspark.sql import functions as F
 
 from kinfold import queries
+from kinfold.operators import match
 
 
 def test_aging_goes_by_the_microsecond(spark, tmp_path):
@@ -44,3 +46,21 @@ def test_the_banded_scan_takes_pairs_of_all_brands(spark, tmp_path, monkeypatch)
     got = against_sql(spark, "duplicate_scan_banded", tmp_path, part=(rows, PART))
     brand, name = ({r[0]: r[k] for r in rows} for k in (2, 1))
     assert any(brand[a] != brand[b] for a, b, *_ in got) and any(name[a] != name[b] for a, b, *_ in got)
+
+
+def sharing(spark, ident, n):
+    """n rows with one address and one number."""
+    return spark.range(n).select(F.col("id").alias(ident), F.lit("box1@org.test").alias("email"), F.lit("+14155550100").alias("phone"))
+
+
+def test_a_shared_address_is_met_once(spark):
+    """30,000 rows and 30,000 people of one address and number: not 900 million pairs. Rows of one id are taken together."""
+    began = time.monotonic()
+    got = match.match_by_contact(sharing(spark, "row_id", 30_000), sharing(spark, "person_id", 30_000), prefix=True)
+    assert got.groupBy("outcome").count().collect() == [("ambiguous", 30_000)]
+    assert time.monotonic() - began < 60
+    schema = "long, email string, phone string"
+    left = spark.createDataFrame([(1, "a@x.org", None), (1, None, "+14155550101"), (2, "a@x.org", "+14155550101"), (3, "b@x.org", None), (None, "b@x.org", None)], f"row_id {schema}")
+    right = spark.createDataFrame([(7, "a@x.org", "+14155550101"), (7, "a@x.org", "+14155550101"), (8, "a@x.org", None), (9, "b+1@x.org", None)], f"person_id {schema}")
+    got = match.match_by_contact(left, right, prefix=True).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "combined", 7), (1, "combined", 7), (2, "combined", 7), (3, "email", 9), (None, "none", None)]
