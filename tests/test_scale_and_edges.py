@@ -64,3 +64,35 @@ def test_a_shared_address_is_met_once(spark):
     right = spark.createDataFrame([(7, "a@x.org", "+14155550101"), (7, "a@x.org", "+14155550101"), (8, "a@x.org", None), (9, "b+1@x.org", None)], f"person_id {schema}")
     got = match.match_by_contact(left, right, prefix=True).collect()
     assert sorted(map(tuple, got), key=str) == [(1, "combined", 7), (1, "combined", 7), (2, "combined", 7), (3, "email", 9), (None, "none", None)]
+
+
+FIELDS = "first_name string, last_name string, dob string, street string, city string, postal_code string, employer string, school string, emails array<string>, phones array<string>"
+
+
+def alike_people(spark, ident, n, mail="a@x.org"):
+    given = {"first_name": "Ann", "last_name": "Lee", "dob": "1990-01-01"}
+    columns = [F.lit(given.get(f)).cast("string").alias(f) for f in ("first_name", "last_name", "dob", "street", "city", "postal_code", "employer", "school")]
+    return spark.range(1, n + 1).select(F.col("id").alias(ident), *columns, F.array(F.lit(mail)).alias("emails"), F.lit(None).cast("array<string>").alias("phones"))
+
+
+def test_people_of_the_same_values_are_compared_once(spark):
+    """20,000 rows and 20,000 people alike in everything: 400 million pairs are counted, not formed."""
+    none = spark.createDataFrame([], "row_id long, person_id long")
+    rows = alike_people(spark, "row_id", 20_000).withColumn("matched", F.lit(False))
+    began = time.monotonic()
+    counts = match.generate_candidates(rows, alike_people(spark, "person_id", 20_000), none)[1].head().asDict()
+    assert counts["review_pairs"] == counts["suggestions_created"] == 400_000_000 and counts["skipped_no_candidates"] == 0
+    assert time.monotonic() - began < 90
+
+
+def test_fallback_takes_people_not_profiles(spark):
+    """Twelve people of one profile and one of another in the name block: the first ten by id, whatever their profile."""
+    rows = alike_people(spark, "row_id", 2, "other@x.org").withColumn("matched", F.lit(False))
+    people = alike_people(spark, "person_id", 13).withColumn("dob", F.when(F.col("person_id") == 4, "1990-06-01").otherwise(F.col("dob")))
+    existing = spark.createDataFrame([(1, 1)], "row_id long, person_id long")
+    new, counts = match.generate_candidates(rows, people, existing)
+    assert counts.head()["low_pairs"] == 20 and new.count() == 0
+    rows = rows.withColumn("emails", F.when(F.col("row_id") == 1, F.array(F.lit("a@x.org"))))
+    new, counts = match.generate_candidates(rows, people, existing)
+    assert {(r["row_id"], r["person_id"]) for r in new.collect()} == {(1, i) for i in range(2, 14) if i != 4} | ({(1, 4)} if 0.45 + 0.2 * (1 - 151 / 730) >= 0.6 else set())
+    assert counts.head()["low_pairs"] == 10 and counts.head()["suggestions_created"] == 13
