@@ -96,3 +96,12 @@ def test_fallback_takes_people_not_profiles(spark):
     new, counts = match.generate_candidates(rows, people, existing)
     assert {(r["row_id"], r["person_id"]) for r in new.collect()} == {(1, i) for i in range(2, 14) if i != 4} | ({(1, 4)} if 0.45 + 0.2 * (1 - 151 / 730) >= 0.6 else set())
     assert counts.head()["low_pairs"] == 10 and counts.head()["suggestions_created"] == 13
+
+
+def test_a_scan_of_alike_people_scores_them_once(spark):
+    """10,000 people alike in everything are 50 million pairs of one score."""
+    began = time.monotonic()
+    found = match.scan_duplicates(alike_people(spark, "person_id", 10_000), spark.createDataFrame([(2, 3)], "primary_id long, candidate_id long"))
+    counts = found.groupBy("name", "score", F.expr("primary_id < candidate_id")).count().collect()
+    assert [tuple(r) for r in counts] == [(1.0, 0.97, True, 10_000 * 9_999 // 2 - 1)]
+    assert time.monotonic() - began < 90
