@@ -1,11 +1,12 @@
 """First-wins decisions: of the rows with the same keys within a period (a run's start, a day), the first by an order stays.
 
-`decide` does it for a table, `decide_stream` for a stream, with a row of state for each key that is open. Both give
+`decide` does it for a table, `decide_stream` for a stream, with a state for each bucket of the keys that are open. Both give
 (keys, order, period, decision): first, duplicate, unkeyed (a key is null: nothing to share) or undated (no period).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 #: Groups that rows spread over once it is known that they are not the first.
 SPREAD = 64
+#: Parts of the open keys of a period, each with one state.
+BUCKETS = 64
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -62,43 +65,53 @@ def _behind(keys: list[str], order: str, period: str):
 
 
 class FirstWins(StatefulProcessor):
-    """Holds the first order of each open key; a timer forgets it when the watermark reaches its period."""
+    """Holds the first orders of the open keys of one bucket of a period; a timer forgets them when the watermark reaches it.
 
-    def __init__(self, columns: list[str], order: str):
-        self.columns, self.order = columns, order
+    A bucket's state is a list that each batch appends its new keys to, so its reads follow the keys of the buckets that a
+    batch touches, not a call for each key.
+    """
+
+    def __init__(self, columns: list[str], keys: list[str], order: str):
+        self.columns, self.keys, self.order = columns, keys, order
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "first long")
+        self.held = handle.getListState("held", "keys string")
 
-    def _out(self, rows: pd.DataFrame, decision: str) -> pd.DataFrame:
+    def _out(self, rows: pd.DataFrame, decision) -> pd.DataFrame:
         return rows[self.columns].assign(decision=decision)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        """Rows go through one block at a time, so a key may have any number of them."""
-        *_, at, known, _salt = key
+        """Rows go through one block at a time; of the keys that are new one row each waits for the end."""
+        _bucket, at, known, _salt = key
         if known != "":
             for block in rows:
                 yield self._out(block, known)
             return
-        held, best = self.first.exists(), None
+        held, best = None, None
         for block in rows:
-            rest = block
-            if not held and len(block):
-                block = block.reset_index(drop=True)
-                i = block[self.order].idxmin()
-                if best is None or block.at[i, self.order] < best[self.order].iloc[0]:
-                    rest = block.drop(index=i) if best is None else pd.concat([block.drop(index=i), best])
-                    best = block.loc[[i]]
-            if len(rest):
-                yield self._out(rest, "duplicate")
-        if best is not None:
-            self.first.update((int(best[self.order].iloc[0]),))
+            if not len(block):
+                continue
+            if held is None:
+                held = {tuple(k) for (packed,) in self.held.get() for k in json.loads(packed)}
+            named = pd.Series(list(zip(*[block[k] for k in self.keys], strict=True)), index=block.index)
+            there = named.map(held.__contains__).astype(bool)
+            if there.any():
+                yield self._out(block[there], "duplicate")
+            waiting = block[~there] if best is None else pd.concat([best, block[~there]], ignore_index=True)
+            by = waiting.sort_values(self.order, kind="stable")
+            behind = by.duplicated(self.keys)
+            if behind.any():
+                yield self._out(by[behind], "duplicate")
+            best = by[~behind]
+        if best is not None and len(best):
+            new = list(zip(*[best[k] for k in self.keys], strict=True))
+            self.held.appendValue((json.dumps(new),))
             self.handle.registerTimer(int(at))
             yield self._out(best, "first")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.first.clear()
+        self.held.clear()
         return iter(())
 
     def close(self) -> None:
@@ -113,19 +126,20 @@ def decide_stream(rows: DataFrame, keys: list[str], order: str, period: str, lat
     latest period less the lateness, reaches it; rows of closed periods are dropped and counted (`late_rows`).
 
     Rows behind another one of their Arrow batch are known to be duplicates before the shuffle and spread over tasks, so a
-    key with a third of all rows brings about one row a batch to its state. Each key costs a call of Python, which is why
-    `decide` does without. Needs the state store that `keep_state` sets.
+    key with a third of all rows brings about one row a batch to its state. The keys of a period are dealt into BUCKETS, and
+    a bucket costs a few calls between Python and the state store a batch. Needs the state store that `keep_state` sets;
+    checkpoints of streams that held a state for each key can't be carried on.
     """
     narrow = _narrow(rows, keys, order, period).withColumn("_known", _known(keys, period)).withColumn("_salt", F.lit(0))
     marked = narrow.mapInPandas(_behind(keys, order, period), narrow.schema)
     columns = [*keys, order, period]
     is_open = F.col("_known").isNull()
     # Decided rows go by their salt alone. No group column is null: pandas would turn a number with nulls into a float.
-    groups = [F.when(is_open, F.col(k)).otherwise("").alias(f"_key{i}") for i, k in enumerate(keys)]
+    bucket = F.when(is_open, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))).otherwise(0).alias("_bucket")
     at = F.when(is_open, F.unix_millis(period)).otherwise(0).alias("_at")
-    ready = marked.select(*columns, *groups, at, F.coalesce("_known", F.lit("")).alias("_known"), "_salt").withWatermark(period, lateness)
+    ready = marked.select(*columns, bucket, at, F.coalesce("_known", F.lit("")).alias("_known"), "_salt").withWatermark(period, lateness)
     out = ", ".join([*[f"`{k}` string" for k in keys], f"`{order}` long", f"`{period}` timestamp", "decision string"])
-    return ready.groupBy(*[f"_key{i}" for i in range(len(keys))], "_at", "_known", "_salt").transformWithStateInPandas(FirstWins(columns, order), out, "append", "eventTime")
+    return ready.groupBy("_bucket", "_at", "_known", "_salt").transformWithStateInPandas(FirstWins(columns, keys, order), out, "append", "eventTime")
 
 
 def keep_state(spark: SparkSession) -> None:

@@ -4,10 +4,12 @@ import datetime
 import time
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from kinfold import queries
 from kinfold.operators import load, match
+from kinfold.streaming import first_wins
 
 
 def test_aging_goes_by_the_microsecond(spark, tmp_path):
@@ -115,3 +117,38 @@ def test_rows_meet_a_shared_key_once(spark):
     met = load._met(probes, keys).groupBy("n_mail", "n_phone", "n_both", "both_id", "contact_id", "mail_id").count().collect()
     assert [tuple(r) for r in met] == [(2, 2, 2, 0, 0, 0, 30_000)]
     assert time.monotonic() - began < 60
+
+
+class Held:
+    """A list state that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def getListState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def appendValue(self, row):
+        self.calls += 1
+        self.rows.append(row)
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+
+def test_a_bucket_of_keys_costs_a_few_calls():
+    """1,000 keys in two blocks and a later batch: three calls a batch, not three a key."""
+    state = Held()
+    wins = first_wins.FirstWins(["k", "seq"], ["k"], "seq")
+    wins.init(state)
+    block = lambda ids: pd.DataFrame({"k": [f"k{i % 1000}" for i in ids], "seq": list(ids)})
+    for batch, firsts in (([range(1000, 2000), range(500, 1000), range(1999, 2500)], 1000), ([range(3000, 4000)], 0)):
+        state.calls = 0
+        out = pd.concat(wins.handleInputRows((0, 5, "", 0), map(block, batch), None))
+        assert len(out) == sum(map(len, batch)) and (out.decision == "first").sum() == firsts and state.calls <= 3
+        if firsts:
+            assert set(out[out.decision == "first"].seq) == set(range(500, 1000)) | set(range(1000, 1500))
