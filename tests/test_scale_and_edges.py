@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from kinfold import queries
-from kinfold.operators import load, match
+from kinfold.operators import alike, load, match
 from kinfold.streaming import first_wins
 
 
@@ -152,3 +152,12 @@ def test_a_bucket_of_keys_costs_a_few_calls():
         assert len(out) == sum(map(len, batch)) and (out.decision == "first").sum() == firsts and state.calls <= 3
         if firsts:
             assert set(out[out.decision == "first"].seq) == set(range(500, 1000)) | set(range(1000, 1500))
+
+
+def test_names_under_low_limits_are_compared_in_arrays(spark):
+    """12,000 names of one length in one block: 72 million pairs, which must not go through a join one by one."""
+    names = spark.range(12_000).select(F.concat(F.lit("a"), F.left(F.md5(F.col("id").cast("string").cast("binary")), F.lit(9)), F.lit(" l")).alias("name"), F.lit("l").alias("last"))
+    began = time.monotonic()
+    got = alike.alike_names(names, 0.88).agg(F.count(F.lit(1)), F.min("similarity"), F.count_if(F.col("a") >= F.col("b"))).head()
+    assert got[0] > 1_000 and got[1] >= 0.88 and got[2] == 0
+    assert time.monotonic() - began < 45
